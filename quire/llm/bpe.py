@@ -14,19 +14,22 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain, repeat
+from operator import itemgetter
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm.common import TwoGenerationCache, batch_of, per_batch
+from quire.llm.common import Memo, batch_of, per_batch
 
 #: Fixed: the published pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _NONE = 1 << 60
-_CACHED = 150_000
+_CACHED = 400_000
+_FIRST, _SECOND = itemgetter(0), itemgetter(1)
 
 
 def byte_letters() -> dict[int, str]:
@@ -43,11 +46,12 @@ class PairTree:
         self.size = 1
         while self.size < len(ranks):
             self.size *= 2
-        self.node = [_NONE] * self.size + ranks + [_NONE] * (self.size - len(ranks))
-        node = self.node
-        for i in range(self.size - 1, 0, -1):
-            a, b = node[2 * i], node[2 * i + 1]
-            node[i] = a if a <= b else b
+        level = ranks + [_NONE] * (self.size - len(ranks))
+        levels = [level]
+        while len(level) > 1:
+            level = list(map(min, level[::2], level[1::2]))
+            levels.append(level)
+        self.node = [_NONE, *chain.from_iterable(reversed(levels))]
 
     def set(self, i: int, rank: int) -> None:
         node = self.node
@@ -85,61 +89,82 @@ class Codec:
         vocab = spec["model"]["vocab"]
         self.first = [vocab[c] for _, c in sorted(byte_letters().items())]
         self.bytes_of = {i: bytes(self.byte_of[c] for c in piece) for piece, i in vocab.items()}
-        self.merges = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[(vocab[a], vocab[b])] = (rank, vocab[a + b])
+        pairs = [p if isinstance(p, list) else p.split(" ") for p in spec["model"]["merges"]]
+        self.ranks = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.merged = [vocab[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.pieces = regex.compile(PATTERN)
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.piece = TwoGenerationCache(self._encode_piece, _CACHED)
+        self.piece = Memo(self._encode_piece, _CACHED)
+        self.both_ways = Memo(self._round_trip_piece, _CACHED)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """All merges of one pre-token, lowest rank first, leftmost first among equals."""
-        n, merges = len(symbols), self.merges
+        n, ranks, merged = len(symbols), self.ranks, self.merged
         if n < 2:
             return symbols
-        tree = PairTree([merges.get(p, (_NONE,))[0] for p in zip(symbols, symbols[1:])])
+        tree = PairTree(list(map(ranks.get, zip(symbols, symbols[1:]), repeat(_NONE))))
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while True:
             rank, i = tree.best()
             if rank == _NONE:
                 break
             j = after[i]
-            symbols[i] = merges[(symbols[i], symbols[j])][1]
+            symbols[i] = merged[rank]
             k = after[i] = after[j]
             symbols[j] = -1
             if j < n - 1:
                 tree.set(j, _NONE)
             if k < n:
                 before[k] = i
-                tree.set(i, merges.get((symbols[i], symbols[k]), (_NONE,))[0])
+                tree.set(i, ranks.get((symbols[i], symbols[k]), _NONE))
             else:
                 tree.set(i, _NONE)
             h = before[i]
             if h >= 0:
-                tree.set(h, merges.get((symbols[h], symbols[i]), (_NONE,))[0])
+                tree.set(h, ranks.get((symbols[h], symbols[i]), _NONE))
         return [s for s in symbols if s >= 0]
 
     def _encode_piece(self, piece: str) -> tuple[int, ...]:
         first = self.first
         return tuple(self.merge([first[b] for b in piece.encode("utf-8", "replace")]))
 
+    def _round_trip_piece(self, piece: str) -> tuple[bytes, bytes]:
+        ids = self._encode_piece(piece)
+        return ",".join(map(str, ids)).encode(), b"".join(map(self.bytes_of.__getitem__, ids))
+
+    def _parts(self, text: str) -> Iterator[tuple[list[str], str | None]]:
+        """Pre-tokens up to each special token, and that token; the last has none."""
+        at = 0
+        if self.cut:
+            for m in self.cut.finditer(text):
+                yield self.pieces.findall(text[at : m.start()]), m.group()
+                at = m.end()
+        yield self.pieces.findall(text[at:] if at else text), None
+
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text; the strings of special tokens are those tokens."""
         out: list[int] = []
-        at = 0
-        piece, grow = self.piece, out.extend
-        for m in self.cut.finditer(text) if self.cut and self.cut.search(text) else ():
-            for p in self.pieces.findall(text, at, m.start()) if at or m.start() < len(text) else ():
-                grow(piece(p))
-            out.append(self.special[m.group()])
-            at = m.end()
-        for p in self.pieces.findall(text[at:] if at else text):
-            grow(piece(p))
+        for pieces, special in self._parts(text):
+            out += chain.from_iterable(map(self.piece.__getitem__, pieces))
+            if special is not None:
+                out.append(self.special[special])
         return out
 
+    def round_trip(self, text: str) -> tuple[bytes, bytes]:
+        """The ids of a whole text as decimals joined by commas, and the bytes that the ids decode to."""
+        ids: list[bytes] = []
+        data: list[bytes] = []
+        for pieces, special in self._parts(text):
+            pairs = list(map(self.both_ways.__getitem__, pieces))
+            ids += map(_FIRST, pairs)
+            data += map(_SECOND, pairs)
+            if special is not None:
+                ids.append(b"%d" % self.special[special])
+                data.append(self.bytes_of[self.special[special]])
+        return b",".join(ids), b"".join(data)
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -195,16 +220,17 @@ def decode(encoded: DataFrame, vocab, id_col: str = "doc_id", ids_col: str = "id
     return src.mapInArrow(per_batch(make), f"`{id_col}` {id_type}, text string")
 
 
-def _digest(c: Codec, ids: list[int]) -> tuple[int, str, str]:
-    joined = ",".join(map(str, ids))
-    return len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()
+def _digest(c: Codec, text: str) -> tuple[int, str, str]:
+    ids, data = c.round_trip(text)
+    decoded = data.decode("utf-8", "replace").encode()
+    return ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 def digests(docs: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): encode, then decode the ids, in one pass over the text."""
 
     def row(c: Codec, text: str):
-        return _digest(c, c.encode(text))
+        return _digest(c, text)
 
     return _columns(
         docs, vocab, id_col, text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string",
@@ -216,8 +242,7 @@ def encoded_documents(docs: DataFrame, vocab, id_col: str = "doc_id", text_col:
     """(id, ids, n_tokens, ids_sha256, decoded_sha256): token ids with the digests of their round trip."""
 
     def row(c: Codec, text: str):
-        ids = c.encode(text)
-        return ids, *_digest(c, ids)
+        return c.encode(text), *_digest(c, text)
 
     return _columns(
         docs, vocab, id_col, text_col, "ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string",

@@ -51,21 +51,24 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-class TwoGenerationCache:
-    """A bounded memo: when the young generation is full it becomes the old one, and the old one goes."""
+class Memo(dict):
+    """A bounded memo of `make`; indexing it is a plain dictionary access where the key is known.
+
+    When it is full it becomes the old generation, which still answers, and the older one goes.
+    Long keys rarely come back and are not kept, so the bound on entries is one on bytes.
+    """
 
     def __init__(self, make: Callable, limit: int):
-        self.make, self.limit, self.young, self.old = make, limit, {}, {}
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
 
-    def __call__(self, key):
-        got = self.young.get(key)
+    def __missing__(self, key):
+        got = self.old.get(key)
         if got is None:
-            got = self.old.get(key)
-            if got is None:
-                got = self.make(key)
-                if len(key) > 64:  # long keys rarely come back and would make the bound on entries no bound on bytes
-                    return got
-            if len(self.young) >= self.limit:
-                self.old, self.young = self.young, {}
-            self.young[key] = got
+            got = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = got
         return got

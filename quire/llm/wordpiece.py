@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quire.llm.bpe import byte_letters
-from quire.llm.common import TwoGenerationCache, batch_of, per_batch
+from quire.llm.common import Memo, batch_of, per_batch
 
 _CACHED = 300_000
 
@@ -85,15 +85,15 @@ class Automaton:
         return n
 
 
-_BUILT: dict[str, tuple[Automaton, TwoGenerationCache]] = {}
+_BUILT: dict[str, tuple[Automaton, Memo]] = {}
 
 
-def automaton(text: str) -> TwoGenerationCache:
+def automaton(text: str) -> Memo:
     key = hashlib.sha256(text.encode()).hexdigest()
     if key not in _BUILT:
         a = Automaton(pieces_of(text))
         _BUILT.clear()
-        _BUILT[key] = a, TwoGenerationCache(lambda w: a.count(b" " + w), _CACHED)
+        _BUILT[key] = a, Memo(lambda w: a.count(b" " + w), _CACHED)
     return _BUILT[key][1]
 
 
@@ -107,7 +107,7 @@ def token_counts(docs: DataFrame, vocab, id_col: str = "doc_id", text_col: str =
         def each(b: pa.RecordBatch) -> pa.RecordBatch:
             words, tokens, most = [], [], []
             for t in b.column(1).to_pylist():
-                each_word = [count(w) for w in (t or "").encode().split()]
+                each_word = list(map(count.__getitem__, (t or "").encode().split()))
                 words.append(len(each_word))
                 tokens.append(sum(each_word))
                 most.append(max(each_word, default=0))
