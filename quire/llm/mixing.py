@@ -106,7 +106,9 @@ def slots(sources: DataFrame, block: int = BLOCK, shards: int = 64) -> DataFrame
     s = s.withColumn("full", F.expr(f"source_size div {block}")).withColumn("blocks", F.ceil(F.col("source_size") / block))
     s = s.withColumn("passes", F.expr("need div source_size"))
     s = s.withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil((F.col("need") - F.col("passes") * F.col("source_size")) / block)).where("slots > 0")
-    runs = s.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {_SLOTS_AT_ONCE}")))).repartition("skey", "run")
+    runs = s.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {_SLOTS_AT_ONCE}"))))
+    # By number, so that the few small rows are spread before they unfold.
+    runs = runs.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "skey", "run")
     first = F.col("run") * _SLOTS_AT_ONCE
     each = runs.withColumn("slot", F.explode(F.sequence(first, F.least(first + _SLOTS_AT_ONCE, F.col("slots")) - 1)))
     each = each.withColumn("epoch", F.expr("slot div blocks")).withColumn("i", F.expr("slot % blocks"))
@@ -124,7 +126,8 @@ def spans(placed: DataFrame, sources: DataFrame, block: int = BLOCK, shards: int
     lo = F.greatest("start", F.col("block") * block)
     hi = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     pieces = pieces.withColumn("from_word", lo - F.col("start")).withColumn("at", lo - F.col("block") * block).withColumn("length", hi - lo)
-    met = pieces.join(slots(sources, block, shards), ["skey", "block"], "left")
+    # What the slots unfold to grows with the corpus: never broadcast it.
+    met = pieces.join(slots(sources, block, shards).hint("merge"), ["skey", "block"], "left")
     words = F.when(F.col("take") > F.col("at"), F.least(F.col("length"), F.col("take") - F.col("at"))).otherwise(0)
     return met.withColumn("words", words).drop("at", "length", "take", "slot")
 
