@@ -1,0 +1,222 @@
+import random
+
+import pytest
+
+from quire.kernel import content, edit, encodings, filters, fonts, structure
+from quire.kernel.cos import MISSING, Lexer, Name, PdfError, Ref, Stream, kind_of, parse_indirect, parse_value, real_text, serialize
+from quire.kernel.document import Document, Entry, find_startxref, read_field, xref_stream, xref_table
+from quire.plans import synth
+
+
+def value(data: bytes):
+    return parse_value(Lexer(data))
+
+
+@pytest.mark.parametrize(
+    "data, want",
+    [
+        (b"42", 42), (b"-17", -17), (b"+5", 5), (b"0", 0), (b"3.14", 3.14), (b"-0.5", -0.5), (b".25", 0.25), (b"/Type", Name(b"Type")), (b"/A#42", Name(b"AB")), (b"/A#GG", Name(b"A#GG")),
+        (b"(Hello (World))", b"Hello (World)"), (b"(Hello\\nWorld)", b"Hello\nWorld"), (b"(\\110\\145\\154\\154\\157)", b"Hello"), (b"(a\\\nb)", b"ab"), (b"(\\x)", b"x"), (b"(\\))", b")"),
+        (b"<48 65 6C>", b"Hel"), (b"<4>", b"@"), (b"% comment\n17", 17), (b"[1 2 3]", [1, 2, 3]), (b"<< /Type /Page /Count 5 >>", {b"Type": Name(b"Page"), b"Count": 5}), (b"3 0 R", Ref(3, 0)),
+        (b"<< /Kids [3 0 R 4 0 R] /Box << /A [1 2.5] >> >>", {b"Kids": [Ref(3, 0), Ref(4, 0)], b"Box": {b"A": [1, 2.5]}}), (b"true", True), (b"false", False), (b"null", None),
+        (b"99999999999999999999", 99999999999999999999.0), (b"[1 what 3]", [1]), (b"<< /A 1 /A 2 >>", {b"A": 2}), (b"<< /K >> /B 1 >>", {b"B": 1}),
+    ],
+)
+def test_values(data, want):
+    got = value(data)
+    assert got == want and type(got) is type(want)
+
+
+@pytest.mark.parametrize("data", [b"-", b".", b">", b")", b"{"])
+def test_faults(data):
+    with pytest.raises(PdfError):
+        value(data)
+
+
+def test_missing_and_streams():
+    assert value(b"word") is MISSING and value(b"") is MISSING
+    _, got = parse_indirect(b"1 0 obj << /Length 5 >>\nstream\r\nHello\nendstream endobj", 0)
+    assert isinstance(got, Stream) and got.data == b"Hello" and got != got.__class__(got.dict, got.data)
+    assert value(b"<< /Length 9 0 R >>\nstream\nHello\nendstream").data == b""
+    with pytest.raises(PdfError):
+        parse_indirect(b"xref", 0)
+
+
+@pytest.mark.parametrize("v, want", [(None, b"null"), (True, b"true"), (42, b"42"), (Name(b"Type"), b"/Type"), (b"Hello", b"(Hello)"), (b"a\n(\xff", b"(a\\n\\(\\377)"), (Ref(3, 0), b"3 0 R"), (612.0, b"612"), (1e-7, b"0.0000001"), (Name(b"A B"), b"/A#20B")])
+def test_serialize(v, want):
+    assert serialize(v) == want
+    assert value(want) == (v if not isinstance(v, float) or v != int(v) else int(v))
+
+
+def random_value(rng, depth=0):
+    kinds = [lambda: None, lambda: rng.random() < 0.5, lambda: rng.randrange(-(10**9), 10**9), lambda: rng.randrange(10**6) / 7, lambda: Name(bytes(rng.choices(range(1, 256), k=rng.randrange(6)))), lambda: bytes(rng.choices(range(256), k=rng.randrange(9))), lambda: Ref(rng.randrange(99), 0)]
+    if depth < 3:
+        kinds += [lambda: [random_value(rng, depth + 1) for _ in range(rng.randrange(4))], lambda: {bytes(rng.choices(b"abcdef /#", k=3)): random_value(rng, depth + 1) for _ in range(rng.randrange(4))}]
+    return rng.choice(kinds)()
+
+
+def test_random_graphs_survive_saving():
+    rng = random.Random(1)
+    for _ in range(60):
+        doc = Document.empty()
+        made = {doc.create(v).num: v for v in (random_value(rng) for _ in range(8))}
+        made[doc.create(Stream({b"X": 1}, b"data\nendstream")).num] = None
+        back = Document(doc.save())
+        for num, v in made.items():
+            assert back.get(num) == v or isinstance(back.get(num), Stream)
+        again = Document(edit.compressed_file({n: back.get(n) for n in back.numbers()}, back.trailer[b"Root"].num))
+        assert all(again.get(n) == v for n, v in made.items() if v is not None)
+
+
+def test_xref_parts():
+    assert find_startxref(b"%PDF-1.4\n... content ...\nstartxref\n12345\n%%EOF") == 12345
+    with pytest.raises(PdfError):
+        find_startxref(b"startxref\n1" + b" " * 2000)
+    entries, trailer = xref_table(b"xref\n0 3\n0000000000 65535 f \n0000000009 00000 n \n0000000074 00000 n \ntrailer << /Size 3 /Root 1 0 R >>", 0)
+    assert entries[1] == Entry("inuse", 9, 0) and entries[0].kind == "free" and trailer[b"Root"] == Ref(1, 0)
+    got = xref_stream({b"W": [1, 2, 1], b"Size": 3}, bytes.fromhex("000000FF 01006400 02000500"))
+    assert got == {0: Entry("free", 0, 255), 1: Entry("inuse", 100, 0), 2: Entry("compressed", 5, 0)}
+    assert (read_field(b"\x01\x02", 0, 2, 0), read_field(b"\xff", 0, 1, 0), read_field(b"", 0, 0, 42)) == (258, 255, 42)
+    with pytest.raises(PdfError):
+        xref_stream({b"W": [1, 2]}, b"")
+
+
+def test_documents():
+    with pytest.raises(PdfError):
+        Document(b" %PDF-1.4")
+    doc = Document()
+    assert doc.trailer == {b"Size": 1} and doc.is_modified and doc.create(5) == Ref(1, 0) and doc.get(1) == 5 and doc.get(9) is None
+    pdf = Document(synth.revised_pdf("old", "new"))
+    assert structure.info_row(pdf)["title"] == "new" and len(pdf.sections) == 2
+    assert structure.info_row(Document(Document(synth.revised_pdf("old", "new")).save()))["title"] == "new"
+    small = Document(synth.compressed_pdf("héllo"))
+    small.update(next(n for n in small.numbers() if kind_of(small.get(n)) == "dict" and small.get(n).get(b"Type") == b"Catalog"), small.catalog() | {b"Lang": b"fr"})
+    assert Document(small.save()).catalog()[b"Lang"] == b"fr"
+
+
+def test_cycles_end():
+    doc = Document.empty()
+    root = doc.pages_ref()
+    doc.update(root.num, {b"Type": Name(b"Pages"), b"Kids": [root, root], b"Count": 1})
+    assert list(structure.pages(doc)) == []
+    item = doc.create({})
+    doc.update(item.num, {b"Title": b"t", b"First": item, b"Next": item})
+    edit.update_catalog(doc, Outlines=doc.create({b"First": item}), AcroForm={b"Fields": [item]})
+    assert len(list(structure.bookmark_rows(doc))) == 1
+    doc.update(item.num, {b"T": b"x", b"Title": b"t", b"Kids": [item], b"V": b"v"})
+    assert len(list(structure.field_values(doc))) == 1 and list(structure.field_rows(doc)) == []
+
+
+def test_content_operators():
+    ops = content.parse_content(b"q 1 0 0 1 100 200 cm Q BT /F1 12 Tf 100 700 Td (Hello World) Tj [(A ) -100 (B)] TJ ET /Span BMC EMC /Im0 Do 1 0 0 RG 0.5 g 1 2 cm zz")
+    assert [o.op for o in ops] == ["q", "cm", "Q", "BT", "Tf", "Td", "Tj", "TJ", "ET", "BMC", "EMC", "Do", "RG", "g", "?cm", "?zz"]
+    assert content.columns(ops[1])[0] == [1, 0, 0, 1, 100, 200] and content.columns(ops[4])[:2] == ([12.0], [b"F1"]) and content.columns(ops[7])[2] == [b"A ", b"B"]
+    assert content.graphics_depths([content.Op(o, []) for o in "QqqQQQ"]) == [0, 1, 2, 1, 0, 0]
+    (image,) = [o for o in content.parse_content(b"BI /W 2 /CS /G ID a EIb\x00 EI Q") if o.op == "BI"]
+    assert image.data == b"a EIb" and image.operands[0] == {b"Width": 2, b"ColorSpace": Name(b"G")}
+    with pytest.raises(PdfError):
+        content.parse_content(b"q ) Q")
+    assert set(content.SHAPES) >= {"q", "Tj", "TJ", "'", '"', "BDC", "EX"} and len(content.SHAPES) == 68
+
+
+@pytest.mark.parametrize(
+    "stream, want",
+    [
+        (b"BT (a) Tj 0 -14 Td (b) Tj ET", "a\nb"), (b"BT (a) Tj 5 0 Td (b) Tj ET", "a b"), (b"BT (a) Tj 0.5 0 Td (b) Tj ET", "ab"), (b"BT (a) Tj T* (b) Tj ET BT (c) Tj ET", "a\nb\nc"),
+        (b"BT [(a) -201 (b) -200 (c)] TJ ET", "a bc"), (b"(x) Tj BT (a) ' (b) ' 1 2 (c) \" ET", "a\nb\nc"), (b"BT (a) Tj 0 -14 TD 0 -14 TD (b) Tj 1 0 0 1 0 0 Tm (c) Tj ET", "a\nbc"), (b"BT (a ) Tj 9 9 Td (b) Tj ET", "a b"),
+        (b"BT (\xe9) Tj ET", "é"), (b"BT (caf\xc3\xa9) Tj ET  ", "café"), (b"", ""),
+    ],
+)
+def test_text_fold(stream, want):
+    assert structure.text_of(content.parse_content(stream), {}) == want
+
+
+def test_filters():
+    rng = random.Random(2)
+    for n in (0, 1, 3, 4, 5, 1000, 9000):
+        for data in (bytes(rng.choices(range(256), k=n)), bytes(n), b"ab" * n):
+            for name in ("FlateDecode", "LZWDecode", "ASCII85Decode", "ASCIIHexDecode", "RunLengthDecode"):
+                assert filters.decode_chain(filters.encode_chain(data, [name]), [name.encode()]) == data
+            assert filters.decode_chain(filters.encode_chain(data, ["ASCIIHexDecode", "LZWDecode"]), [b"AHx", b"LZW"]) == data
+    assert filters.lzw_decode(bytes.fromhex("800B6050220C0C8501")) == b"-----A---B"
+    assert filters.ascii85_decode(b"9jqo^~>") == b"Man " and filters.asciihex_decode(b"48 65 6C 6C 6F>") == b"Hello" and filters.asciihex_decode(b"ABC>") == b"\xab\xc0"
+    assert filters.runlength_decode(b"\x02ABC\x80") == b"ABC" and filters.runlength_decode(b"\xfdX\x80") == b"XXXX"
+    assert filters.flate_decode(filters.flate_encode(b"x" * 5000)[:-6])[:100] == b"x" * 100
+    for bad in (lambda: filters.lzw_decode(b"\x80\x0b"), lambda: filters.decode_filter(b"DCTDecode", b""), lambda: filters.predict(b"", 7, 1, 8, 1), lambda: filters.asciihex_decode(b"zz>"), lambda: filters.flate_decode(b"nonsense")):
+        with pytest.raises(PdfError):
+            bad()
+
+
+def test_predictors():
+    sub = filters.predict(bytes([1, 10, 5, 5, 5]), 15, 1, 8, 4)
+    assert sub == bytes([10, 15, 20, 25]) and filters.paeth(7, 5, 3) == 7 and filters.predict(b"abc", 1, 1, 8, 1) == b"abc"
+    rng = random.Random(3)
+    data = bytes(rng.choices(range(256), k=240))
+    for tag in (0, 1, 2):
+        assert filters.predict(filters.png_encode(data, 20, 3, tag), 12, 3, 8, 20) == data
+    assert filters.predict(filters.tiff_encode(data, 20, 3), 2, 3, 8, 20) == data
+    up, rows = [0] * 4, b""
+    for k, tag in enumerate((3, 4, 3)):
+        line = list(data[4 * k : 4 * k + 4])
+        coded = []
+        for i, v in enumerate(line):
+            left, corner = (line[i - 1], up[i - 1]) if i else (0, 0)
+            coded.append((v - ((left + up[i]) // 2 if tag == 3 else filters.paeth(left, up[i], corner))) % 256)
+        rows, up = rows + bytes([tag, *coded]), line
+    assert filters.predict(rows, 15, 1, 8, 4) == data[:12]
+
+
+def test_cmaps_and_fonts():
+    cmap = fonts.CMap.parse(b"1 beginbfchar\n<01> <0048>\n<02> <00480069>\nendbfchar\n1 beginbfrange\n<0041> <005A> <0061>\nendbfrange")
+    assert cmap.lookup(1) == "H" and cmap.lookup(2) == "Hi" and cmap.lookup(0x42) == "b" and cmap.lookup(3) is None
+    assert cmap.decode(b"\x00A\x01\xffZ!") == "aHz!"
+    assert fonts.differences(["x"] * 256, [65, Name(b"alpha"), Name(b"beta"), 300, Name(b"no")])[65:67] == ["α", "β"]
+    doc = Document.empty()
+    font = fonts.load_font({b"Subtype": Name(b"TrueType"), b"BaseFont": Name(b"ABCDEF+Arial"), b"FirstChar": 32, b"Widths": [250, 300]}, doc)
+    assert font.decode(b"\x80") == "Ä" and font.width(33) == 300 and font.width(99) == 1000
+    assert fonts.load_font({b"Subtype": Name(b"Type1"), b"BaseFont": Name(b"Symbol")}, doc).decode(b"a\x00") == "α�"
+    cid = fonts.load_font({b"Subtype": Name(b"Type0"), b"DescendantFonts": [{b"DW": 500, b"W": [1, [10, 20], 5, 7, 30]}]}, doc)
+    assert [cid.width(c) for c in (1, 2, 3, 6)] == [10, 20, 500, 30] and cid.is_cid
+
+
+def test_tables_of_characters():
+    assert sum(c is not None for c in encodings.zapf_dingbats()) == 160 and sum(c is not None for c in encodings.symbol()) >= 120
+    assert encodings.encoding("WinAnsiEncoding")[0x81] == "\x81" and encodings.encoding("Identity-H") == encodings.encoding("WinAnsiEncoding")
+    for name, want in (("Aacute", "Á"), ("ydieresis", "ÿ"), ("zcaron", "ž"), ("lambda", "λ"), ("Mu", "Μ"), ("varsigma", "ς"), ("fi", "ﬁ"), ("uni0041", "A"), ("uniD800", "uniD800"), ("Abreve", "Abreve")):
+        assert encodings.glyph_text(name) == want
+
+
+def test_text_strings():
+    marked = b"\xfe\xff\x00H\x00i"
+    assert structure.info_text(marked) == structure.plain_text(marked) == structure.field_text(marked) == "Hi"
+    bom = b"\xef\xbb\xbfx"
+    assert structure.info_text(bom) == "x" and structure.plain_text(bom) == "﻿x" and structure.field_text(bom) == "x"
+    assert structure.field_text(b"\x80") == "€" and structure.info_text(b"\x80") == "�"
+
+
+def test_destinations_actions_and_fields():
+    assert structure.dest_row([Ref(3, 0), Name(b"XYZ"), 1, None]) == {"dest_obj": 3, "fit": "XYZ", "coords": [1.0, 0.0, 0.0]}
+    assert structure.dest_row(b"named")["fit"] is None and structure.dest_row([5])["fit"] == "Fit" and structure.dest_row([5])["dest_obj"] is None
+    doc = Document.empty()
+    assert structure.action_row(doc, {b"S": Name(b"URI"), b"URI": b"http://x"})["uri"] == "http://x"
+    assert structure.action_row(doc, {b"S": Name(b"Odd")})["action"] == "Unknown" and structure.action_row(doc, {b"S": Name(b"Named"), b"N": Name(b"NextPage")})["named"] == "NextPage"
+    kinds = [("Tx", 0), ("Btn", 0), ("Btn", 1 << 16), ("Btn", 1 << 15), ("Ch", 0), ("Sig", 0), ("Zz", 0)]
+    assert [structure.field_type(*k) for k in kinds] == ["Text", "CheckBox", "Button", "Radio", "Choice", "Signature", "Unknown"]
+
+
+def test_images():
+    doc = Document.empty()
+    page = doc.create_page(edit.LETTER)
+    edit.add_image(doc, page, edit.raw_image(doc, bytes(range(12)), 2, 2), (100, 600, 200, 700), "Img0")
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08\x00\x05\x00\x07\x01\x01\x11\x00\xff\xd9"
+    edit.add_image(doc, page, edit.jpeg_image(doc, jpeg), (0, 0, 1, 1), "Img1")
+    back = Document(doc.save())
+    one, two = structure.image_rows(back)
+    assert (one["name"], one["width"], one["decoded"], one["components"]) == ("Img0", 2, bytes(range(12)), 3)
+    assert (two["width"], two["height"], two["raw"], two["decoded"]) == (7, 5, jpeg, None)
+    ((_, _, attributes),) = structure.pages(back)
+    assert structure.content_of(back, attributes).startswith(b"q 100 0 0 100 100 600 cm /Img0 Do Q")
+
+
+def test_numbers_without_exponent():
+    assert real_text(1e20) == b"100000000000000000000" and real_text(-0.25) == b"-0.25" and real_text(float("nan")) == b"0"
