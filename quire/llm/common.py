@@ -16,12 +16,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 HEAVY = 1024
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what is made of a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> Callable:
     """A mapInArrow function: `make` runs once per task, its result once per batch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
-        for batch in batches:
+        for batch in sliced(batches):
             out = each(batch)
             if out is not None and out.num_rows:
                 yield out

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bloom import bloom_of, maybe
-from quire.llm.common import batch_of, heavy_aware_join, per_batch
+from quire.llm.common import batch_of, heavy_aware_join, per_batch, sliced
 from quire.runtime import checkpoint
 
 WINDOW = 2
@@ -130,7 +130,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts, marks = b.column(text_at).to_pylist(), b.column(len(names)).to_pylist()
             counts = [0] * len(texts)
             for i, (t, removed) in enumerate(zip(texts, marks)):

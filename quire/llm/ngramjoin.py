@@ -6,8 +6,9 @@ c(a, b) = ceil(t / (1 + t) * (a + b)).
 
 Light: two small sets link exactly when they share a subset of c(a, b) shingles, so each small set
 enumerates its subsets of that fixed size.  Heavy: a large set scans the inverted lists of its
-rarest shingles; two linked sets always share one of the first size - ceil(t * size) + 1 in any
-common order.  The order is by corpus frequency from a counting sketch of all documents.  The
+rarest shingles; of the first size - ceil(t * size) + size / SPARE in any common order, two linked
+sets always share as many as the smaller one's share of SPARE, and a set that has fewer in common
+with others leaves the lists.  The order is by corpus frequency from a counting sketch of all documents.  The
 boundary between small and large is where enumerating starts to cost more than scanning.
 
 A list of k classes is not expanded into pairs.  Its smallest class is compared with the others
@@ -27,7 +28,8 @@ of any length are read whole; extra columns are ignored; an empty table gives an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -38,9 +40,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bloom import bloom_of, maybe
-from quire.llm.common import batch_of, heavy_aware_join, union_all
+from quire.llm.common import batch_of, heavy_aware_join, sliced, union_all
 from quire.llm.graph import connected
-from quire.llm.shingles import mix64, shingle_set
+from quire.llm.shingles import mix64, shingle_sets
 from quire.runtime import checkpoint
 
 WORDS = 5
@@ -51,8 +53,12 @@ BLOCK = 128
 LIST_COST = 16
 
 _U = np.uint64
-_WIDTH = 1 << 16
-_SEGMENT = 1 << 11
+#: Counters of each of the sketch's two rows, and how many of them travel together.
+_WIDTH = 1 << 20
+_SEGMENT = 1 << 14
+#: Prefixes are longer by one shingle in SPARE than one common shingle needs, and so linked sets share as many.
+SPARE = 10
+
 _FIRST, _SECOND, _MUTUAL, _LIST = 0, 1, 2, 3
 
 
@@ -64,8 +70,13 @@ def largest_partner(n: int, num: int = NUM, den: int = DEN) -> int:
     return n * den // num
 
 
+def common_rare(n: int) -> int:
+    """How many shingles two linked sets have in common within their prefixes, the smaller of n shingles."""
+    return -(-n // SPARE)
+
+
 def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
-    return n - -(-num * n // den) + 1
+    return n - -(-num * n // den) + common_rare(n)
 
 
 def light_cost(n: int, num: int = NUM, den: int = DEN) -> int:
@@ -115,9 +126,14 @@ def _light(shingles: np.ndarray, bound: int, num: int, den: int) -> Iterator[tup
                 yield s, role
 
 
+def _places(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counter of each shingle in either row of the sketch."""
+    return (shingles & _U(_WIDTH - 1)).astype(np.int64), (shingles >> _U(32) & _U(_WIDTH - 1)).astype(np.int64)
+
+
 def prefix(shingles: np.ndarray, counts: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     """The rarest shingles of a set, as many as guarantee a common one with any linked set."""
-    rare = np.minimum(counts[0][(shingles & _U(_WIDTH - 1)).astype(np.int64)], counts[1][(shingles >> _U(16) & _U(_WIDTH - 1)).astype(np.int64)])
+    rare = np.minimum(*(row[at] for row, at in zip(counts, _places(shingles))))
     return shingles[np.lexsort((shingles, rare))[: prefix_length(len(shingles), num, den)]]
 
 
@@ -125,24 +141,31 @@ def _first_pass(words: int):
     """One row per document (id, n, cls, mark) and, per task, the segments of a counting sketch."""
 
     def run(batches):
-        counts = np.zeros(2 * _WIDTH, np.int64)
+        counts = np.zeros((2, _WIDTH), np.int64)
         kinds = None
-        for b in batches:
+        for b in sliced(batches):
             kinds = b.schema.field(0).type
-            sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
+            sets = shingle_sets(b.column(1).to_pylist(), words)
             if sets:
-                every = np.concatenate(sets)
-                counts[:_WIDTH] += np.bincount((every & _U(_WIDTH - 1)).astype(np.int64), minlength=_WIDTH)
-                counts[_WIDTH:] += np.bincount((every >> _U(16) & _U(_WIDTH - 1)).astype(np.int64), minlength=_WIDTH)
+                for row, at in zip(counts, _places(np.concatenate(sets))):
+                    row += np.bincount(at, minlength=_WIDTH)
             yield _first_batch(b.column(0), [len(s) for s in sets], [class_of(s) if len(s) else None for s in sets], b.column(2))
         if kinds is not None:
             parts = counts.reshape(-1, _SEGMENT)
             full = np.flatnonzero(parts.any(axis=1)).tolist()
-            yield _first_batch(pa.nulls(len(full), kinds), [None] * len(full), [None] * len(full), pa.nulls(len(full), pa.int64()), full, [TaskContext.get().partitionId()] * len(full), [parts[i].tobytes() for i in full])
+            yield _first_batch(pa.nulls(len(full), kinds), [None] * len(full), [None] * len(full), pa.nulls(len(full), pa.int64()), full, [TaskContext.get().partitionId()] * len(full), [_pack(parts[i]) for i in full])
 
     return run
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype(np.uint64).tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.int64)
+
+
 def _first_batch(ids, sizes, classes, marks, segments=None, tasks=None, counts=None):
     k = len(ids)
     fields = [("id", ids.type), ("n", pa.int64()), ("cls", pa.int64()), ("mark", pa.int64()), ("segment", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())]
@@ -153,14 +176,16 @@ def _sketch(first: DataFrame) -> np.ndarray:
     """The 2 x _WIDTH counters summed over all tasks, in two steps so that no group grows with the square."""
 
     def add(key, table):
-        total = sum(np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist())
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros(_SEGMENT, np.int64)
+        for c in table.column("counts"):
+            total += _unpack(c.as_py())
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([_pack(total)], pa.binary())})
 
     parts = first.where("segment is not null").select("segment", F.expr("task div 256").alias("some"), "counts")
     some = parts.groupBy("segment", "some").applyInArrow(add, "segment int, counts binary")
     out = np.zeros(2 * _WIDTH, np.int64)
-    for r in some.groupBy("segment").applyInArrow(add, "segment int, counts binary").collect():  # 64 rows of 16 KB
-        out[r.segment * _SEGMENT : (r.segment + 1) * _SEGMENT] = np.frombuffer(r.counts, np.int64)
+    for r in some.groupBy("segment").applyInArrow(add, "segment int, counts binary").collect():  # 128 rows of 128 KB before compression
+        out[r.segment * _SEGMENT : (r.segment + 1) * _SEGMENT] = _unpack(r.counts)
     return out.reshape(2, _WIDTH)
 
 
@@ -176,10 +201,9 @@ def mean_list_length(counts: np.ndarray) -> float:
 def _signatures(words: int, num: int, den: int, bound: int, counts):
     def run(batches):
         sketch, seen = counts.value, set()
-        for b in batches:
+        for b in sliced(batches):
             sig, role, cls, size = [], [], [], []
-            for t in b.column(0).to_pylist():
-                s = shingle_set(t, words)
+            for s in shingle_sets(b.column(0).to_pylist(), words):
                 n = len(s)
                 if not n:
                     continue
@@ -200,31 +224,52 @@ def _signatures(words: int, num: int, den: int, bound: int, counts):
     return run
 
 
-def _stars(batches):
-    """Sorted (sig, role, cls, n) rows in; each member of a list with the list's smallest class out."""
-    last = None  # sig, cls of the last row; class, size, role of the list's first
+def _shared(batches):
+    """Sorted (sig, role, cls, n) rows in; those of lists with several classes out, each once."""
+    held = None  # the last row, not yet out because no other class has followed it
+    last = None  # sig and cls of the last row
     for b in batches:
-        sig, role, cls, n = (b.column(i).to_numpy() for i in range(4))
-        k = len(sig)
-        if not k:
+        cols = [b.column(i).to_numpy() for i in range(4)]
+        if held is not None:
+            cols = [np.concatenate([np.array([v], c.dtype), c]) for v, c in zip(held, cols)]
+        sig, role, cls, _ = cols
+        if not len(sig):
+            continue
+        again = np.zeros(len(sig), bool)
+        again[1:] = (sig[1:] == sig[:-1]) & (cls[1:] == cls[:-1]) & (role[1:] == role[:-1])
+        if held is None and last is not None:
+            again[0] = last == (sig[0], cls[0])
+        cols = [c[~again] for c in cols]
+        sig = cols[0]
+        if not len(sig):
             continue
-        fresh = np.ones(k, bool)
-        fresh[1:] = sig[1:] != sig[:-1]
-        again = np.zeros(k, bool)
-        again[1:] = (cls[1:] == cls[:-1]) & ~fresh[1:]
-        if last is not None and last[0] == sig[0]:
-            fresh[0], again[0] = False, last[1] == cls[0]
-        at = np.maximum.accumulate(np.where(fresh, np.arange(k), -1))
-        carried = at < 0
-        hub, hub_n, hub_role = cls[at], n[at], role[at]
-        if carried.any():
-            hub, hub_n, hub_role = (np.where(carried, v, x) for v, x in zip(last[2:], (hub, hub_n, hub_role)))
-        meets = np.where(role >= _MUTUAL, role == hub_role, (hub_role == _FIRST) & (role == _SECOND))
-        keep = ~fresh & ~again & meets
-        last = (sig[-1], cls[-1], hub[-1], hub_n[-1], hub_role[-1])
-        if keep.any():
-            names = ("sig", "hub", "hub_n", "cls", "n", "role")
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, hub, hub_n, cls, n, role)], names=list(names))
+        hit = np.zeros(len(sig), bool)
+        same = sig[1:] == sig[:-1]
+        hit[1:] |= same
+        hit[:-1] |= same
+        if held is None and last is not None and last[0] == sig[0]:
+            hit[0] = True
+        last = (cols[0][-1], cols[2][-1])
+        held = None if hit[-1] else tuple(c[-1] for c in cols)
+        if hit.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in cols], names=["sig", "role", "cls", "n"])
+
+
+def _stars(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """((sig, role, cls, n) of each list's classes but its smallest, pairs of that smallest with the others).
+
+    A class without enough shared rare shingles to link with anything leaves its lists first.
+    """
+    heavy = rows.where(f"role = {_LIST}")
+    shared = heavy.groupBy("cls", "n").agg(F.count("*").alias("k"))
+    smallest = F.ceil(F.col("n") * num / den)
+    able = shared.where(F.col("k") >= F.ceil(smallest / SPARE)).select("cls")
+    rows = checkpoint(heavy.join(able, "cls").select(*rows.columns).union(rows.where(f"role < {_LIST}")))
+    first = rows.groupBy("sig").agg(F.min(F.struct("role", "cls", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
+    members = rows.join(first, "sig").where("cls <> hub.cls")
+    meets = f"(role >= {_MUTUAL} or hub.role = {_FIRST} and role = {_SECOND})"
+    lists = checkpoint(members.where(meets).select("sig", "role", "cls", "n", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n")))
+    return lists, checkpoint(lists.where(_alike("hub_n", "n", num, den)).select("hub", "cls").distinct())
 
 
 def _alike(a: str, b: str, num: int, den: int) -> str:
@@ -238,11 +283,10 @@ def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         seen = set()
-        for b in batches:
+        for b in sliced(batches):
             may = maybe(sieve.value, b.column(1).to_numpy())
             cls, sets = [], []
-            for t in b.column(0).filter(pa.array(may)).to_pylist():
-                s = shingle_set(t, words)
+            for s in shingle_sets(b.column(0).filter(pa.array(may)).to_pylist(), words):
                 c = class_of(s) if len(s) else None
                 if c is not None and c not in seen:
                     seen.add(c)
@@ -297,12 +341,16 @@ def _block_links(num: int, den: int):
     return run
 
 
-def _cluster_links(lists: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _several(rows: DataFrame) -> DataFrame:
+    """The rows of lists that hold several components, with the list's smallest class as `low`."""
+    split = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cls").alias("low")).where("lo <> hi").select("sig", "low")
+    return rows.join(split, "sig")
+
+
+def _cluster_links(lists: DataFrame, comps: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """(a, b) links between components, from the lists that stars left in several components."""
     rows = lists.join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").select("sig", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
-    rows = checkpoint(rows)
-    split = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cls").alias("low")).where("lo <> hi").select("sig", "low")
-    open_rows = checkpoint(rows.join(split, "sig"))
+    open_rows = checkpoint(_several(rows))
     cluster_of = connected(open_rows.select(F.col("cls").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("cls"), F.col("comp").alias("cluster"))
     members = checkpoint(open_rows.select("cls", "n", "comp").distinct().join(cluster_of, "cls"))
     # Blocks: a component of BLOCK members or more has its own, the small ones share.
@@ -319,7 +367,7 @@ def _cluster_links(lists: DataFrame, comps: DataFrame, sets: DataFrame, num: int
     same = F.when(F.col("block_x") == F.col("block_y"), F.array(F.struct(F.col("block_x").alias("block"), F.lit(2).alias("side"))))
     ends = same.otherwise(F.array(F.struct(F.col("block_x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("block_y").alias("block"), F.lit(1).alias("side"))))
     roles = pairs.select("cluster", "pair", F.explode(ends).alias("end")).select("cluster", "pair", "end.block", "end.side")
-    work = members.join(roles, ["cluster", "block"]).select("pair", "side", "cls", "comp").join(sets, "cls")
+    work = members.join(roles, ["cluster", "block"]).select("pair", "side", "cls", "comp").join(fetch(members.select("cls")), "cls")
     return work.groupBy("pair").applyInArrow(_block_links(num, den), "a bigint, b bigint")
 
 
@@ -335,14 +383,16 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     rows = src.select("text").mapInArrow(_signatures(words, num, den, bound, docs.sparkSession.sparkContext.broadcast(counts)), "sig bigint, role tinyint, cls bigint, n bigint")
     sorted_rows = rows.repartition("sig").sortWithinPartitions("sig", "role", "cls")
-    lists = checkpoint(sorted_rows.mapInArrow(_stars, "sig bigint, hub bigint, hub_n bigint, cls bigint, n bigint, role tinyint"))
-    pairs = checkpoint(lists.where(_alike("hub_n", "n", num, den)).select("hub", "cls").distinct())
+    lists, pairs = _stars(checkpoint(sorted_rows.mapInArrow(_shared, "sig bigint, role tinyint, cls bigint, n bigint")), num, den)
+    texts = src.select("text", F.xxhash64("text").alias("mark")).where("text is not null")
+
+    def fetch(some: DataFrame) -> DataFrame:
+        return _sets(texts, some.join(classes, "cls").select("mark"), words)
 
-    known = lists.select("cls").union(lists.select("hub")).distinct().join(classes, "cls").select("mark")
-    sets = _sets(src.select("text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("mark")).where("text is not null"), known, words)
+    sets = fetch(pairs.select("cls").union(pairs.select("hub")).distinct())
     met = pairs.join(sets, "cls").withColumnsRenamed({"shingles": "x"}).join(sets.withColumnsRenamed({"cls": "hub", "shingles": "y"}), "hub")
     comps = connected(met.select("hub", "cls", "x", "y").mapInArrow(_verify(num, den), "a bigint, b bigint"))
-    across = connected(_cluster_links(lists.where(f"role = {_LIST}").select("sig", "cls", "n"), comps, sets, num, den))
+    across = connected(_cluster_links(lists.where(f"role = {_LIST}").select("sig", "cls", "n"), comps, fetch, num, den))
 
     # Classes with links, by final component; a class that only `across` knows is a component of itself.
     joined = across.select(F.col("node").alias("comp"), F.col("comp").alias("whole"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import batch_of, per_batch
+from quire.llm.common import batch_of, per_batch, sliced
 
 #: The bound on labelled rows that the trees are grown from; scoring covers every row.
 MAX_TRAIN = 20_000
@@ -180,7 +180,7 @@ def keep_good(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFram
     model = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             x = np.array([statistics(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()], float).reshape(b.num_rows, len(STATISTICS))
             yield b.filter(pa.array(model.value.score(x) >= THRESHOLD))
 

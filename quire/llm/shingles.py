@@ -83,6 +83,41 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def _distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted, each value once."""
+    h = np.sort(h)
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) > 1 else h
+
+
 def shingle_set(text: str | None, n: int) -> np.ndarray:
     """The sorted distinct n-word shingle hashes of a whole text."""
-    return np.unique(gram_hashes(word_hashes((text or "").encode("utf-8", "replace")), n))
+    return _distinct(gram_hashes(word_hashes((text or "").encode("utf-8", "replace")), n))
+
+
+def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """`shingle_set` of every text; short texts are hashed together, in runs of about a megabyte."""
+    raw = [(t or "").encode("utf-8", "replace") for t in texts]
+    out: list[np.ndarray] = []
+    run: list[bytes] = []
+    size = 0
+    for r in raw:
+        run.append(r)
+        size += len(r)
+        if size >= 1 << 19:
+            out += _together(run, n)
+            run, size = [], 0
+    return out + _together(run, n) if run else out
+
+
+def _together(raw: list[bytes], n: int) -> list[np.ndarray]:
+    words = word_hashes(b"\n".join(raw))
+    counts = np.array([len(r.split()) for r in raw])
+    first = np.cumsum(counts) - counts
+    if len(words) < n:
+        grams = np.empty(0, _U)
+    else:
+        grams = gram_hashes(words, n)
+    out = []
+    for at, k in zip(first.tolist(), counts.tolist()):
+        out.append(_distinct(grams[at : at + k - n + 1]) if k >= n else gram_hashes(words[at : at + k], n))
+    return out
