@@ -196,7 +196,14 @@ def _row_order(height: int) -> np.ndarray:
 
 
 def decode(data: bytes) -> Iterator[Frame]:
-    """The timed frames of a GIF, one by one."""
+    """The timed frames of a GIF, one by one; ValueError where the file is damaged."""
+    try:
+        yield from _frames(data)
+    except IndexError:
+        raise ValueError("GIF ends early") from None
+
+
+def _frames(data: bytes) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("no GIF header")
     w, h, flags = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little"), data[10]

@@ -150,9 +150,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stretch = F.struct("from_word", "words")
     got = spans(placed, sources, block).where("words > 0").groupBy("skey", "start", "epoch", "id", "mark", "size").agg(F.sort_array(F.collect_list(stretch)).alias("got"), F.sum("words").alias("taken"))
     # Rows that share id and text are numbered on both sides, so that each meets its own stretches once.
-    copy = Window.partitionBy("id", "mark").orderBy("start")
-    numbered = placed.where("size > 0").select("id", "mark", "skey", "start", F.row_number().over(copy).alias("copy"))
-    got = got.join(numbered, ["id", "mark", "skey", "start"]).withColumnsRenamed({c: f"mix {c}" for c in ("id", "mark", "copy", "size", "epoch", "got", "taken", "skey", "start")})
+    copy = Window.partitionBy("mark").orderBy("start")
+    numbered = placed.where("size > 0").select("mark", "skey", "start", F.row_number().over(copy).alias("copy"))
+    got = got.join(numbered, ["mark", "skey", "start"]).withColumnsRenamed({c: f"mix {c}" for c in ("id", "mark", "copy", "size", "epoch", "got", "taken", "skey", "start")})
     mark = F.xxhash64(docs[id_col], docs[text_col])
     texts = docs.withColumn("mix mark", mark).withColumn("mix copy", F.row_number().over(Window.partitionBy("mix mark").orderBy(F.lit(0))))
     met = texts.join(got, ["mix mark", "mix copy"]).where(F.col("mix id").eqNullSafe(F.col(id_col)))

@@ -9,7 +9,7 @@ Edge cases: vectors that are null, or hold a null or non-finite component, take
 rows with a null id; a vector is compared with vectors of its own length only; rows of the query's
 id are its own and no candidates; other repeated rows are candidates each; ties go to the smaller
 id; fewer candidates than k are all returned; extra columns are ignored; no vectors, no rows.
-Scores are exact while they fit 64 bits.
+Scores are exact; one that 64 bits cannot hold counts as the largest that they can.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ SHARD_ROWS = 8192
 BLOCK = 256
 LEAF = 128
 _EXACT = 1 << 53
+_LARGEST = (1 << 63) - 1
 
 
 class KDTree:
@@ -159,7 +160,7 @@ def top_k(embeddings: DataFrame, is_query, k: int = 10, id_col: str = "vec_id",
                     ids, rows = pickle.loads(queries.as_py())
                     known = dict(pickle.loads(floors.as_py())) if floors.as_py() else {}
                     got = pickle.loads(tree.as_py()).search(rows, ids, [known.get(i) for i in ids.tolist()], k)
-                    flat = [(q, n, s) for q, best in zip(ids.tolist(), got) for s, n in best]
+                    flat = [(q, n, max(-_LARGEST, min(_LARGEST, s))) for q, best in zip(ids.tolist(), got) for s, n in best]
                     if flat:
                         yield batch_of([("query_id", pa.int64()), (id_col, pa.int64()), ("score", pa.int64())], list(map(list, zip(*flat))))
 
