@@ -169,12 +169,12 @@ def _forms(spark, sf_dir) -> Corpus:
 
 @query("""
 SELECT c_custkey, CAST(0 AS INTEGER) AS seq, 'customer.name' AS name, 'Text' AS type, c_name AS value, TRUE AS is_required, FALSE AS is_combo, CAST(40 AS BIGINT) AS max_length, CAST(0 AS BIGINT) AS justification FROM customer
-UNION ALL SELECT c_custkey, 2, 'customer.segment', 'Choice', c_mktsegment, FALSE, TRUE, NULL, 0 FROM customer
-UNION ALL SELECT c_custkey, 3, 'active', 'CheckBox', CASE WHEN c_custkey % 2 = 1 THEN 'Yes' ELSE 'Off' END, FALSE, FALSE, NULL, 0 FROM customer
+UNION ALL SELECT c_custkey, 2, 'customer.segment', 'Choice', c_mktsegment, FALSE, TRUE, -1, 0 FROM customer
+UNION ALL SELECT c_custkey, 3, 'active', 'CheckBox', CASE WHEN c_custkey % 2 = 1 THEN 'Yes' ELSE 'Off' END, FALSE, FALSE, -1, 0 FROM customer
 """)
 def form_fields(spark, sf_dir):
     f = a.form_fields(_forms(spark, sf_dir)).where("name <> 'customer.balance'")
-    return f.select("c_custkey", "seq", "name", "type", "value", "is_required", "is_combo", "max_length", "justification")
+    return f.select("c_custkey", "seq", "name", "type", "value", "is_required", "is_combo", F.coalesce("max_length", F.lit(-1)).alias("max_length"), "justification")
 
 
 @query("SELECT c_custkey, 'customer.balance' AS name, c_acctbal AS balance, CAST(2 AS BIGINT) AS justification FROM customer")
@@ -479,13 +479,13 @@ def corpus_stats(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, strftime(ts, 'D:%Y%m%d%H%M%SZ') AS text, date_trunc('second', ts) AS parsed, CAST(year(ts) AS INTEGER) AS year, date_trunc('second', ts) - INTERVAL 330 MINUTE AS shifted FROM events
+SELECT event_id, strftime(ts, 'D:%Y%m%d%H%M%SZ') AS text, strftime(ts, '%Y-%m-%d %H:%M:%S') AS parsed, CAST(year(ts) AS INTEGER) AS year, strftime(ts - INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S') AS shifted FROM events
 """)
 def pdf_dates(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "'D:'yyyyMMddHHmmss").alias("head"))
     e = e.withColumn("d", dates.parse_pdf_date(F.concat("head", F.lit("Z")))).withColumn("o", dates.parse_pdf_date(F.concat("head", F.lit("+05'30'"))))
-    naive = lambda c: dates.to_timestamp(c).cast("timestamp_ntz")
-    return e.select("event_id", dates.to_pdf_string(F.col("d")).alias("text"), naive(F.col("d")).alias("parsed"), F.col("d.year").alias("year"), naive(F.col("o")).alias("shifted"))
+    shown = lambda c: F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), dates.to_timestamp(c).cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss")
+    return e.select("event_id", dates.to_pdf_string(F.col("d")).alias("text"), shown(F.col("d")).alias("parsed"), F.col("d.year").alias("year"), shown(F.col("o")).alias("shifted"))
 
 
 def _rects(spark, sf_dir) -> DataFrame:
