@@ -210,3 +210,30 @@ def compressed_file(objects: dict[int, Any], root: int) -> bytes:
     out.append(serialize_indirect(Ref(index, 0), Stream(head, zlib.compress(b"".join(rows)))))
     out.append(b"startxref\n%d\n%%%%EOF\n" % at)
     return b"".join(out)
+
+
+# Annotations and fields.
+
+
+def annotation(subtype: str, rect: tuple[float, float, float, float], **more: Any) -> dict[bytes, Any]:
+    """A new annotation's dictionary."""
+    return {b"Type": Name(b"Annot"), b"Subtype": Name(subtype.encode()), b"Rect": list(map(float, rect))} | {k.encode(): _cos(v) for k, v in more.items()}
+
+
+def set_annotation(doc: Document, num: int, rect=None, flags: int | None = None, contents: str | None = None, color: tuple[float, float, float] | None = None) -> None:
+    """Change properties of an annotation; those that are None stay."""
+    new = {b"Rect": list(map(float, rect)) if rect else None, b"F": flags, b"Contents": None if contents is None else contents.encode(), b"C": list(map(float, color)) if color else None}
+    doc.update(num, dict_of(doc.get(num)) | {k: v for k, v in new.items() if v is not None})
+
+
+def set_field(doc: Document, num: int, value: str | Name | None) -> None:
+    """A field's value as text, as a name (a button's state), or none."""
+    d = {k: v for k, v in dict_of(doc.get(num)).items() if k != b"V"}
+    doc.update(num, d if value is None else d | {b"V": value if isinstance(value, Name) else value.encode()})
+
+
+def rgb_of_bgr(pixels: bytes) -> bytes:
+    """Samples in the order of the JVM's image source, turned to red, green, blue."""
+    out = bytearray(pixels)
+    out[0::3], out[2::3] = pixels[2::3], pixels[0::3]
+    return bytes(out)

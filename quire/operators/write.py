@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.codecs import is_jpeg
 from quire.kernel.cos import PdfError
 from quire.kernel.document import Document
+from quire.kernel.edit import LETTER, add_image, jpeg_image, raw_image, rgb_of_bgr
 from quire.runtime import ship
 from quire.sources.pdf import Corpus
 
@@ -81,3 +83,25 @@ def write_files(corpus: Corpus, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(d) for d in b.column(1).to_pylist()], pa.int64())], names=[key.name, "bytes"])
 
     return src.mapInArrow(run, f"`{key.name}` {key.dataType.simpleString()}, bytes bigint")
+
+
+def image_files(spark: SparkSession, path: str) -> Corpus:
+    """A corpus of one page per image file below a path; JPEG data is kept as it is, other formats are decoded by the JVM.
+
+    Files that are no images give no document.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("doc_id"), "content").where(is_jpeg(F.col("content")))
+    decoded = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
+    decoded = decoded.where(F.col("nChannels") == 3).join(raw, F.col("origin") == F.col("doc_id"), "left_anti").withColumnRenamed("origin", "doc_id")
+
+    def jpeg(row: dict) -> bytes:
+        doc = Document.empty()
+        add_image(doc, doc.create_page(LETTER), jpeg_image(doc, row["content"]), LETTER, "Img0")
+        return doc.save()
+
+    def pixels(row: dict) -> bytes:
+        doc = Document.empty()
+        add_image(doc, doc.create_page(LETTER), raw_image(doc, rgb_of_bgr(row["data"]), row["width"], row["height"]), LETTER, "Img0")
+        return doc.save()
+
+    return Corpus(build(raw, "doc_id", jpeg).files.unionByName(build(decoded, "doc_id", pixels).files))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import codecs, dates
 from quire.functions import geometry as g
+from quire.functions import objects as o_
 from quire.functions import text as t
 from quire.kernel import edit as kernel_edit
 from quire.kernel.cos import dict_of
@@ -556,6 +557,51 @@ def text_decoding(spark, sf_dir):
     return d.select("doc_id", md5(t.decode_plain_text(marked)).alias("utf16"), md5(t.decode_info_text(utf8)).alias("utf8_mark"), md5(t.decode_field_text(F.encode(text, "ISO-8859-1"))).alias("latin"), md5(t.decode_lossy_utf8(text.cast("binary"))).alias("lossy"))
 
 
+@query("""
+SELECT p_partkey, CAST(2 AS INTEGER) AS depth, CAST(p_size AS DOUBLE) AS moved, CAST(1 AS DOUBLE) AS width_before, CAST(p_size / 2.0 AS DOUBLE) AS width_after, 'DeviceRGB' AS stroke_space, CAST(0.5 AS DOUBLE) AS fill_gray FROM part
+""")
+def graphics_states(spark, sf_dir):
+    states = w.build(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", lambda r: synth.drawing_pdf(r["p_size"])).table("graphics_states")
+    at = lambda op, value: F.max(F.when(F.col("op") == op, value))
+    return states.groupBy("p_partkey").agg(
+        at("S", F.col("depth")).alias("depth"), at("S", F.get("ctm", F.lit(4))).alias("moved"), at("S", F.col("line_width")).alias("width_before"), at("xx", F.col("line_width")).alias("width_after"),
+        at("S", F.col("stroke_space")).alias("stroke_space"), at("S", F.get("fill_color", F.lit(0))).alias("fill_gray"),
+    )
+
+
+@query("SELECT c_custkey, c_name AS name, floor(c_acctbal) + CASE WHEN c_acctbal < 0 AND c_acctbal <> floor(c_acctbal) THEN 1 ELSE 0 END AS whole, c_acctbal AS balance, CAST(3 AS INTEGER) AS options, TRUE AS is_name, FALSE AS is_null FROM customer")
+def object_access(spark, sf_dir):
+    """Typed access to values of the object table through VARIANT paths."""
+    o = _forms(spark, sf_dir).objects().select("c_custkey", o_.as_text(o_.member(F.col("v"), "T")).alias("t"), "v")
+    value, pick = o_.member(F.col("v"), "V"), lambda t, c: F.max(F.when(F.col("t") == t, c))
+    return o.groupBy("c_custkey").agg(
+        pick("name", o_.as_text(value)).alias("name"), pick("balance", o_.as_i64(value)).cast("double").alias("whole"), pick("balance", o_.as_f64(value)).alias("balance"),
+        pick("segment", o_.array_size(o_.member(F.col("v"), "Opt"))).alias("options"), pick("active", o_.is_kind(value, "name")).alias("is_name"), pick("active", o_.is_kind(value, "null")).alias("is_null"),
+    )
+
+
+@query("SELECT r_regionkey, CAST(unnest([0, 1, 2, 3, 4]) AS INTEGER) AS seq, unnest(['dict_open', 'name', 'integer', 'string', 'dict_close']) AS kind, unnest(['', 'N', CAST(r_regionkey AS VARCHAR), r_name, '']) AS text FROM region")
+def token_rows(spark, sf_dir):
+    o_.register_tokens(spark)
+    table(spark, sf_dir, "region").selectExpr("r_regionkey", "cast(concat('<< /N ', r_regionkey, ' (', r_name, ') >>') as binary) AS data").createOrReplaceTempView("quire_tokens_in")
+    return spark.sql("SELECT r_regionkey, seq, kind, text FROM quire_tokens_in, LATERAL pdf_tokens(data)")
+
+
+@query("SELECT s_suppkey, 'Highlight' AS subtype, s_name AS contents, CAST(132 AS INTEGER) AS flags, CAST(220 AS DOUBLE) AS y2, CAST(0.5 AS DOUBLE) AS green FROM supplier")
+def annot_edit(spark, sf_dir):
+    made = w.build(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", lambda r: synth.text_pdf(r["s_name"]))
+
+    def mark(doc, row):
+        page = next(n for n in doc.numbers() if dict_of(doc.get(n)).get(b"Type") == b"Page")
+        kernel_edit.annotate(doc, page, [kernel_edit.annotation("Highlight", (0, 0, 1, 1))])
+        note = doc.next_num - 1
+        kernel_edit.set_annotation(doc, note, (100, 200, 300, 220), 4 | 128, row["s_name"], (1, 0.5, 0))
+
+    named = Corpus(made.files.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey"), "s_suppkey")
+    n = a.annotations(w.edit(named, mark, "s_name"))
+    return n.select("s_suppkey", "subtype", "contents", "flags", F.col("rect.y2").alias("y2"), F.col("color.c1").alias("green"))
+
+
 @query("""
 SELECT * FROM (VALUES ('Eacute', 'É'), ('alpha', 'α'), ('Omega', 'Ω'), ('grave', '‘'), ('minus', '-'), ('guilsinglleft', '«'), ('uni00E9', 'é'), ('u1F600', '😀'), ('seven', '7'), ('nosuchglyph', 'nosuchglyph'), ('A', 'A')) AS g(name, ch)
 """)

@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from quire.kernel import content as content_kernel
-from quire.kernel import structure
+from quire.kernel import gstate, structure
 from quire.kernel.cos import PdfError, Stream, as_int, as_name, dict_of, kind_of
 from quire.kernel.document import Document
 from quire.kernel.filters import filters_of
@@ -38,6 +38,7 @@ SCHEMAS = {
     "raw_pages": f"page_num int, obj_num bigint, media {RECT}, crop {RECT}, bleed {RECT}, trim {RECT}, art {RECT}, rotate bigint, unit double, num_annots int",
     "doc_info": "title string, author string, subject string, keywords string, creator string, producer string, creation_date string, mod_date string",
     "content_ops": "page_num int, seq int, op string, nums array<double>, names array<string>, strs array<binary>, props string, data binary, depth int",
+    "graphics_states": "page_num int, seq int, op string, depth int, ctm array<double>, line_width double, line_cap int, line_join int, miter_limit double, dash array<double>, dash_phase double, rendering_intent string, flatness double, stroke_space string, fill_space string, stroke_color array<double>, fill_color array<double>, stroke_opacity double, fill_opacity double, ext_state string, char_spacing double, word_spacing double, horizontal_scaling double, leading double, font string, font_size double, render_mode int, rise double",
     "fonts": "page_num int, font_name string, font_type string, base_font string, is_cid boolean, has_tounicode boolean, encoding array<string>, cmap map<bigint,string>, widths map<int,double>, default_width double, first_char int",
     "page_text": "page_num int, text string, error string",
     "raw_annotations": f"page_num int, seq int, obj_num bigint, subtype string, rect {RECT}, flags bigint, contents string, name string, title string, subject string, modified string, created string, color array<double>, opacity double, popup_obj bigint, quads array<double>, line {RECT}, vertices array<double>, ink array<array<double>>, border_style string, border_width double, border_dash array<double>, link_uri string",
@@ -117,6 +118,16 @@ def _op_rows(doc: Document) -> Iterator[dict[str, Any]]:
             }
 
 
+def _state_rows(doc: Document) -> Iterator[dict[str, Any]]:
+    for num, _, page in structure.pages(doc):
+        try:
+            ops = content_kernel.parse_content(structure.content_of(doc, page))
+        except PdfError:
+            continue
+        for seq, (op, (depth, state)) in enumerate(zip(ops, gstate.states(ops))):
+            yield {"page_num": num, "seq": seq, "op": op.op.removeprefix("?"), "depth": depth, **state}
+
+
 def _font_rows(doc: Document) -> Iterator[dict[str, Any]]:
     for num, _, page in structure.pages(doc):
         for name, font in structure.fonts_of(doc, page.get(b"Resources")).items():
@@ -140,7 +151,7 @@ def _text_rows(doc: Document) -> Iterator[dict[str, Any]]:
 
 _MAKERS: dict[str, Callable[[bytes], Iterator[dict[str, Any]]]] = {
     "documents": _document_rows, "trailers": _safe(_trailer_rows), "xref_entries": _safe(_xref_rows), "objects": _safe(_object_rows), "raw_pages": _safe(_page_rows),
-    "doc_info": _safe(lambda d: [structure.info_row(d)]), "content_ops": _safe(_op_rows), "fonts": _safe(_font_rows), "page_text": _safe(_text_rows),
+    "doc_info": _safe(lambda d: [structure.info_row(d)]), "content_ops": _safe(_op_rows), "graphics_states": _safe(_state_rows), "fonts": _safe(_font_rows), "page_text": _safe(_text_rows),
     "raw_annotations": _safe(structure.annot_rows), "raw_fields": _safe(structure.field_rows), "form_values": _safe(structure.field_values), "bookmarks": _safe(structure.bookmark_rows),
     "images": _safe(structure.image_rows),
 }

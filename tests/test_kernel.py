@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quire.kernel import content, edit, encodings, filters, fonts, structure
+from quire.kernel import content, edit, encodings, filters, fonts, gstate, structure
 from quire.kernel.cos import MISSING, Lexer, Name, PdfError, Ref, Stream, kind_of, parse_indirect, parse_value, real_text, serialize
 from quire.kernel.document import Document, Entry, find_startxref, read_field, xref_stream, xref_table
 from quire.plans import synth
@@ -218,5 +218,25 @@ def test_images():
     assert structure.content_of(back, attributes).startswith(b"q 100 0 0 100 100 600 cm /Img0 Do Q")
 
 
+def test_fields_and_annotations_change():
+    doc = Document(synth.customer_form_pdf("n", 1.5, "s", 1))
+    num = next(r["obj_num"] for r in structure.field_rows(doc) if r["name"] == "active")
+    for new, want in ((Name(b"Off"), "Off"), ("text", "text"), (None, None)):
+        edit.set_field(doc, num, new)
+        assert next(r["value"] for r in structure.field_rows(doc) if r["name"] == "active") == want
+    note = edit.annotation("3D", (1, 2, 3, 4), Contents="é")
+    assert note[b"Rect"] == [1, 2, 3, 4] and note[b"Contents"].startswith(b"\xfe\xff") and edit.rgb_of_bgr(b"abcdef") == b"cbafed"
+
+
+def test_graphics_state():
+    ops = content.parse_content(b"q 2 w 1 0 0 1 5 6 cm q 3 w Q Q Q [1 2] 3 d 1 0 0 rg /F1 9 Tf 0 -14 TD 2 0 0 2 0 0 cm 1 0 0 1 1 1 cm")
+    depths, last = zip(*gstate.states(ops))
+    assert depths[:9] == (1, 1, 1, 2, 2, 1, 0, 0, 0) and last[1]["line_width"] == 2 and last[4]["line_width"] == 3 and last[5]["line_width"] == 2 and last[6]["line_width"] == 1
+    end = last[-1]
+    assert (end["dash"], end["dash_phase"], end["fill_space"], end["font"], end["leading"], end["ctm"]) == ((1, 2), 3, "DeviceRGB", "F1", 14, (2, 0, 0, 2, 2, 2))
+    plain = gstate.State()
+    assert (plain.line_width, plain.miter_limit, plain.horizontal_scaling, plain.fill_opacity, plain.fill_color) == (1, 10, 100, 1, (0,))
+
+
 def test_numbers_without_exponent():
     assert real_text(1e20) == b"100000000000000000000" and real_text(-0.25) == b"-0.25" and real_text(float("nan")) == b"0"

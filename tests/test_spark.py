@@ -1,3 +1,5 @@
+import zlib
+
 import duckdb
 import pandas as pd
 import pytest
@@ -92,6 +94,21 @@ def test_files_and_streams(spark, tmp_path):
     assert sum(r.files for r in spark.table("counts").collect()) == 4
 
 
+def png(width: int, height: int, rgb: bytes) -> bytes:
+    part = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+    rows = b"".join(b"\0" + rgb[i * width * 3 : (i + 1) * width * 3] for i in range(height))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", width.to_bytes(4, "big") + height.to_bytes(4, "big") + b"\x08\x02\0\0\0") + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
+def test_image_files(spark, tmp_path):
+    rgb = bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 8, 7])
+    (tmp_path / "a.png").write_bytes(png(2, 2, rgb))
+    (tmp_path / "b.jpg").write_bytes(b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08\x00\x05\x00\x07\x01\x01\x11\x00\xff\xd9")
+    (tmp_path / "c.txt").write_bytes(b"no image")
+    got = {r.doc_id[-5:]: r for r in annotations.images(write.image_files(spark, str(tmp_path))).collect()}
+    assert set(got) == {"a.png", "b.jpg"} and got["a.png"].decoded == rgb and (got["b.jpg"].width, got["b.jpg"].height, got["b.jpg"].decoded) == (7, 5, None)
+
+
 def test_edits(spark):
     c = write.edit(corpus(spark), lambda doc, row: doc.create_page((0, 0, 300, 400)))
     assert {r.doc_id: r.page_count for r in pages.page_counts(c).collect()} == {1: 2, 2: None, 3: None, 4: 3, 5: 2}
