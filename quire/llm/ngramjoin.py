@@ -359,7 +359,9 @@ def _cluster_links(lists: DataFrame, comps: DataFrame, fetch: Callable[[DataFram
     per = per.join(per.groupBy("cluster").agg(small.alias("rest")), "cluster")
     own = F.struct("comp", F.pmod("cls", F.ceil(F.col("size") / BLOCK)).alias("part"))
     shared = F.struct(F.lit(None).cast("long").alias("comp"), F.pmod("comp", F.greatest(F.lit(1), F.ceil(F.col("rest") / BLOCK))).alias("part"))
-    members = checkpoint(members.join(per, ["cluster", "comp"]).withColumn("block", F.xxhash64(F.when(F.col("size") >= BLOCK, own).otherwise(shared))).drop("size", "rest"))
+    pair = F.struct("cluster", "comp")
+    sized = heavy_aware_join(members.withColumn("pair", pair), per.select(pair.alias("pair"), "size", "rest"), "pair", "size", members.count())
+    members = checkpoint(sized.drop("pair").withColumn("block", F.xxhash64(F.when(F.col("size") >= BLOCK, own).otherwise(shared))).drop("size", "rest"))
     blocks = members.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     one, two = (blocks.withColumnsRenamed({c: f"{c}_{s}" for c in ("block", "lo", "hi", "c0", "c1")}) for s in ("x", "y"))
     pairs = one.join(two, "cluster").where("block_x <= block_y and not (c0_x = c1_x and c0_y = c1_y and c0_x = c0_y)")
@@ -395,12 +397,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     across = connected(_cluster_links(lists.where(f"role = {_LIST}").select("sig", "cls", "n"), comps, fetch, num, den))
 
     # Classes with links, by final component; a class that only `across` knows is a component of itself.
-    joined = across.select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
-    alone = joined.join(comps.select("comp").distinct(), "comp", "left_anti").select(F.col("comp").alias("cls"), "whole")
-    linked = comps.select(F.col("node").alias("cls"), "comp").join(joined, "comp", "left").select("cls", F.coalesce("whole", "comp").alias("whole")).union(alone)
+    # A component may hold a large share of the classes, so joins on components keep large ones apart.
+    roots = comps.select("comp", "n").distinct()
+    merged = across.select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
+    alone = merged.join(roots, "comp", "left_anti").select(F.col("comp").alias("cls"), "whole")
+    linked = heavy_aware_join(comps.select(F.col("node").alias("cls"), "comp"), roots.join(merged, "comp"), "comp", "n", comps.count())
+    linked = linked.select("cls", F.coalesce("whole", "comp").alias("whole")).union(alone)
     linked = checkpoint(linked.join(classes.select("cls", "low"), "cls"))
     names = linked.groupBy("whole").agg(F.min("low").alias("name"), F.count("*").alias("size"))
-    of_class = linked.join(names, "whole").select("cls", "name")
+    of_class = heavy_aware_join(linked, names, "whole", "size", linked.count()).select("cls", "name")
     named = checkpoint(classes.join(of_class, "cls", "left").select("cls", "copies", F.coalesce("name", "low").alias("name")))
     out = heavy_aware_join(keys.where("cls is not null"), named, "cls", "copies", keys.count())
     cols = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("name").alias("component_id")]
