@@ -50,6 +50,11 @@ def encoding_table(spark, *names: str):
     return spark.createDataFrame(rows, "encoding string, code int, ch string")
 
 
+def encoding_array(name: str) -> Column:
+    """The 256 characters of a named encoding, null where it has none."""
+    return F.array(*[F.lit(c).cast("string") for c in encodings.encoding(name)])
+
+
 def standard_width(base_font: Column) -> Column:
     """Default width of a standard font, null for others."""
     table = F.create_map(*[F.lit(x) for pair in encodings.STANDARD_14.items() for x in pair])
@@ -58,3 +63,15 @@ def standard_width(base_font: Column) -> Column:
 
 def is_subset_font(base_font: Column) -> Column:
     return base_font.rlike(r"^[A-Z]{6}\+.")
+
+
+def char_width(widths: Column, code: Column, default: Column) -> Column:
+    """The width of a code by a font's map, in thousandths of the text size."""
+    return F.coalesce(F.try_element_at(widths, code), default)
+
+
+def decode_bytes(data: Column, encoding: Column) -> Column:
+    """Each byte by an array of 256 characters, U+FFFD where it has none; no Python."""
+    codes = F.transform(F.sequence(F.lit(1), F.length(data)), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("int"))
+    text = F.array_join(F.transform(codes, lambda c: F.coalesce(F.get(encoding, c), F.lit(encodings.REPLACEMENT))), "")
+    return F.when(F.length(data) > 0, text).when(data.isNotNull(), "")

@@ -317,6 +317,27 @@ def annot_rows(doc: Document) -> Iterator[dict[str, Any]]:
             }
 
 
+def action_rows(doc: Document) -> Iterator[dict[str, Any]]:
+    """Actions of annotations and bookmarks, each with those that follow it by /Next."""
+    owners = [("annotation", obj, a) for _, _, page in pages(doc) for obj, a in annots_of(doc, page)]
+    owners += [("bookmark", r["obj_num"], dict_of(doc.get(r["obj_num"]))) for r in bookmark_rows(doc)]
+    for kind, obj, owner in owners:
+        queue, seen, seq = [owner.get(b"A")], set(), 0
+        while queue:
+            value = queue.pop(0)
+            if isinstance(value, Ref):
+                if value.num in seen:
+                    continue
+                seen.add(value.num)
+            act = doc.resolve(value)
+            if not isinstance(act, dict):
+                continue
+            yield {"owner": kind, "owner_obj": obj, "seq": seq, **action_row(doc, act)}
+            seq += 1
+            after = doc.resolve(act.get(b"Next"))
+            queue += after if isinstance(after, list) else [act[b"Next"]] if b"Next" in act else []
+
+
 # Forms.
 
 

@@ -253,6 +253,16 @@ def link_uris(spark, sf_dir):
     return a.links(w.build(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", lambda r: synth.link_pdf(r["url"] or ""))).select("page_id", "uri")
 
 
+@query("""
+SELECT page_id, 'annotation' AS owner, CAST(0 AS INTEGER) AS seq, 'URI' AS action, url AS target FROM pages UNION ALL SELECT page_id, 'annotation', 1, 'JavaScript', 'alert(' || page_id || ')' FROM pages
+UNION ALL SELECT page_id, 'annotation', 2, 'Named', 'NextPage' FROM pages UNION ALL SELECT page_id, 'bookmark', 0, 'GoTo', 'FitH 700' FROM pages
+""")
+def actions(spark, sf_dir):
+    made = w.build(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", lambda r: synth.actions_pdf(r["url"] or "", f"alert({r['page_id']})"))
+    target = F.coalesce("uri", "javascript", "named", F.concat_ws(" ", "fit", F.get("coords", F.lit(0)).cast("int").cast("string")))
+    return made.table("actions").select("page_id", "owner", "seq", "action", target.alias("target"))
+
+
 def _marked(spark, sf_dir) -> Corpus:
     cols = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("lines"))
@@ -610,6 +620,14 @@ def glyph_names(spark, sf_dir):
     return spark.createDataFrame([(n,) for n in names], "name string").select("name", t.glyph_text(F.col("name")).alias("ch"))
 
 
+@query("SELECT doc_id, text AS decoded, CAST(250 AS DOUBLE) AS known, CAST(1000 AS DOUBLE) AS other FROM documents")
+def byte_decoding(spark, sf_dir):
+    """Bytes by an encoding table and widths by code, within the JVM."""
+    d = table(spark, sf_dir, "documents").withColumn("table", t.encoding_array("WinAnsiEncoding"))
+    widths = F.create_map(F.lit(32), F.lit(250.0))
+    return d.select("doc_id", t.decode_bytes(F.encode("text", "ISO-8859-1"), F.col("table")).alias("decoded"), t.char_width(widths, F.lit(32), F.lit(1000.0)).alias("known"), t.char_width(widths, F.lit(33), F.lit(1000.0)).alias("other"))
+
+
 @query("""
 SELECT * FROM (VALUES ('MacRomanEncoding', 128, 'Ä'), ('StandardEncoding', 39, '’'), ('SymbolEncoding', 97, 'α'), ('WinAnsiEncoding', 128, '€'), ('ZapfDingbatsEncoding', 117, '◆')) AS e(encoding, code, ch)
 """)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import Any
 
 from quire.kernel import edit
-from quire.kernel.cos import Name, Ref, Stream, real_text, serialize
+from quire.kernel.cos import Name, Ref, Stream, dict_of, real_text, serialize
 from quire.kernel.document import Document, find_startxref
 from quire.kernel.filters import png_encode
 
@@ -171,3 +171,16 @@ def widget_pdf(value: str, shown: str) -> bytes:
     widget = {b"Type": Name(b"Annot"), b"Subtype": Name(b"Widget"), b"Rect": [0, 0, 1, 1]}
     edit.annotate(doc, page, [widget | {b"V": edit.text_string(value)}, widget | {b"V": Name(b"Off"), b"AP": {b"N": look}}])
     return doc.save()
+
+
+def actions_pdf(url: str, script: str) -> bytes:
+    """A link whose action is followed by a script and a named action, and a bookmark that goes to the page."""
+    doc = Document.empty()
+    page = edit.text_page(doc, "actions")
+    last = doc.create({b"S": Name(b"Named"), b"N": Name(b"NextPage")})
+    then = doc.create({b"S": Name(b"JavaScript"), b"JS": script.encode(), b"Next": last})
+    edit.annotate(doc, page, [{b"Type": Name(b"Annot"), b"Subtype": Name(b"Link"), b"Rect": [0, 0, 1, 1], b"A": {b"S": Name(b"URI"), b"URI": url.encode(), b"Next": then}}])
+    edit.outline(doc, [("here", [])])
+    mark = next(n for n in doc.numbers() if dict_of(doc.get(n)).get(b"Title"))
+    doc.update(mark, doc.get(mark) | {b"A": {b"S": Name(b"GoTo"), b"D": [Ref(page, 0), Name(b"FitH"), 700]}})
+    return doc.save()

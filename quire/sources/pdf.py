@@ -45,6 +45,7 @@ SCHEMAS = {
     "raw_fields": "seq int, obj_num bigint, name string, partial_name string, type string, flags bigint, value string, default_value string, max_length bigint, justification bigint, options array<string>, has_kids boolean",
     "form_values": "seq int, name string, value string",
     "bookmarks": "seq int, depth int, obj_num bigint, title string, first_obj bigint, next_obj bigint, prev_obj bigint, parent_obj bigint, is_open boolean, is_italic boolean, is_bold boolean, has_children boolean, color array<double>, dest_obj bigint, fit string, coords array<double>, action string, uri string",
+    "actions": "owner string, owner_obj bigint, seq int, action string, uri string, javascript string, named string, dest_obj bigint, fit string, coords array<double>",
     "images": "page_num int, name string, width bigint, height bigint, bits bigint, color_space string, components int, is_mask boolean, interpolate boolean, filters array<string>, raw binary, decoded binary",
 }
 
@@ -153,7 +154,7 @@ _MAKERS: dict[str, Callable[[bytes], Iterator[dict[str, Any]]]] = {
     "documents": _document_rows, "trailers": _safe(_trailer_rows), "xref_entries": _safe(_xref_rows), "objects": _safe(_object_rows), "raw_pages": _safe(_page_rows),
     "doc_info": _safe(lambda d: [structure.info_row(d)]), "content_ops": _safe(_op_rows), "graphics_states": _safe(_state_rows), "fonts": _safe(_font_rows), "page_text": _safe(_text_rows),
     "raw_annotations": _safe(structure.annot_rows), "raw_fields": _safe(structure.field_rows), "form_values": _safe(structure.field_values), "bookmarks": _safe(structure.bookmark_rows),
-    "images": _safe(structure.image_rows),
+    "actions": _safe(structure.action_rows), "images": _safe(structure.image_rows),
 }
 
 
