@@ -436,13 +436,13 @@ def search_regex(spark, sf_dir):
     return _by_page(s.search_regex(_shown(spark, sf_dir), r"[0-9]{3}[ -][0-9]{4}"))
 
 
-@query(f"""
-WITH d AS (SELECT doc_id, {SHOWN} AS t FROM documents WHERE lang = 'en'), c AS (SELECT doc_id, regexp_replace(t, '[^ -~]', '', 'g') AS t FROM d)
-SELECT doc_id, CAST(len(regexp_extract_all(t, '(?i)\\bthe\\b')) AS BIGINT) AS hits FROM c WHERE len(regexp_extract_all(t, '(?i)\\bthe\\b')) > 0
+@query(r"""
+WITH c AS (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM documents)
+SELECT doc_id, CAST(len(regexp_extract_all(t, '(?i)\bthe\b')) AS BIGINT) AS hits FROM c WHERE len(regexp_extract_all(t, '(?i)\bthe\b')) > 0
 """)
 def search_word(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.regexp_replace("text", "[^ -~\n]", "").alias("text"))
-    made = w.build(rows.select("doc_id", F.regexp_replace("text", "\n", "").alias("text")), "doc_id", lambda r: synth.text_pdf(r["text"] or ""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("text"))
+    made = w.build(rows, "doc_id", lambda r: synth.text_pdf(r["text"] or ""))
     return s.search(made, "the", s.SearchOptions(whole_word=True)).groupBy("doc_id").agg(F.count("*").alias("hits"))
 
 
