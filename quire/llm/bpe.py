@@ -22,13 +22,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm.common import Memo, batch_of, per_batch
+from quire.llm.common import Memo, batch_of, kept, per_batch
 
 #: Fixed: the published pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _NONE = 1 << 60
-_CACHED = 400_000
+_CACHED = 200_000
 _FIRST, _SECOND = itemgetter(0), itemgetter(1)
 
 
@@ -169,15 +169,8 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(text: str) -> Codec:
-    key = hashlib.sha256(text.encode()).hexdigest()
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(text)
-    return _CODECS[key]
+    return kept("codec " + hashlib.sha256(text.encode()).hexdigest(), lambda: Codec(text))
 
 
 def vocabulary(spark: SparkSession, path: str):
@@ -200,7 +193,7 @@ def _columns(docs: DataFrame, vocab, id_col: str, text_col: str, fields: str, ki
 
         return each
 
-    return src.mapInArrow(per_batch(make), f"`{id_col}` {id_type}, {fields}")
+    return src.mapInArrow(per_batch(make, keeps=True), f"`{id_col}` {id_type}, {fields}")
 
 
 def encode(docs: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,11 +210,10 @@ def decode(encoded: DataFrame, vocab, id_col: str = "doc_id", ids_col: str = "id
         c = codec(vocab.value)
         return lambda b: batch_of([(id_col, b.schema.field(0).type), ("text", pa.string())], [b.column(0), [c.decode(i or []) for i in b.column(1).to_pylist()]])
 
-    return src.mapInArrow(per_batch(make), f"`{id_col}` {id_type}, text string")
+    return src.mapInArrow(per_batch(make, keeps=True), f"`{id_col}` {id_type}, text string")
 
 
-def _digest(c: Codec, text: str) -> tuple[int, str, str]:
-    ids, data = c.round_trip(text)
+def _digest(ids: bytes, data: bytes) -> tuple[int, str, str]:
     decoded = data.decode("utf-8", "replace").encode()
     return ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
@@ -230,7 +222,7 @@ def digests(docs: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "tex
     """(id, n_tokens, ids_sha256, decoded_sha256): encode, then decode the ids, in one pass over the text."""
 
     def row(c: Codec, text: str):
-        return _digest(c, text)
+        return _digest(*c.round_trip(text))
 
     return _columns(
         docs, vocab, id_col, text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string",
@@ -242,7 +234,8 @@ def encoded_documents(docs: DataFrame, vocab, id_col: str = "doc_id", text_col:
     """(id, ids, n_tokens, ids_sha256, decoded_sha256): token ids with the digests of their round trip."""
 
     def row(c: Codec, text: str):
-        return c.encode(text), *_digest(c, text)
+        ids, data = c.round_trip(text)
+        return list(map(int, ids.split(b","))) if ids else [], *_digest(ids, data)
 
     return _columns(
         docs, vocab, id_col, text_col, "ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string",

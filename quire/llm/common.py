@@ -16,19 +16,38 @@ WORD = r"[^\x20\x09-\x0D]+"
 HEAVY = 1024
 
 
-def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that what is made of a batch stays small."""
+#: What this worker keeps between tasks: one thing at a time, and only while tasks use it.
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], object]):
+    """`make()`, remembered until a task asks for something else or for nothing."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def _slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
 
-def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> Callable:
-    """A mapInArrow function: `make` runs once per task, its result once per batch."""
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what is made of a batch stays small; for tasks that keep nothing."""
+    _KEPT.clear()
+    yield from _slices(batches, rows)
+
+
+def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], keeps: bool = False) -> Callable:
+    """A mapInArrow function: `make` runs once per task, its result once per batch of bounded rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _KEPT.clear()
         each = make()
-        for batch in sliced(batches):
+        for batch in _slices(batches, 1024):
             out = each(batch)
             if out is not None and out.num_rows:
                 yield out

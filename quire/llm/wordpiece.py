@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quire.llm.bpe import byte_letters
-from quire.llm.common import Memo, batch_of, per_batch
+from quire.llm.common import Memo, batch_of, kept, per_batch
 
 _CACHED = 300_000
 
@@ -85,16 +85,14 @@ class Automaton:
         return n
 
 
-_BUILT: dict[str, tuple[Automaton, Memo]] = {}
-
-
 def automaton(text: str) -> Memo:
-    key = hashlib.sha256(text.encode()).hexdigest()
-    if key not in _BUILT:
+    """Token counts by word, for the vocabulary of a tokenizer file."""
+
+    def build() -> Memo:
         a = Automaton(pieces_of(text))
-        _BUILT.clear()
-        _BUILT[key] = a, Memo(lambda w: a.count(b" " + w), _CACHED)
-    return _BUILT[key][1]
+        return Memo(lambda w: a.count(b" " + w), _CACHED)
+
+    return kept("automaton " + hashlib.sha256(text.encode()).hexdigest(), build)
 
 
 def token_counts(docs: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,4 +113,4 @@ def token_counts(docs: DataFrame, vocab, id_col: str = "doc_id", text_col: str =
 
         return each
 
-    return src.mapInArrow(per_batch(make), f"`{id_col}` {src.schema['id'].dataType.simpleString()}, n_words bigint, n_tokens bigint, longest_word_tokens bigint")
+    return src.mapInArrow(per_batch(make, keeps=True), f"`{id_col}` {src.schema['id'].dataType.simpleString()}, n_words bigint, n_tokens bigint, longest_word_tokens bigint")
