@@ -24,7 +24,7 @@ from quire.llm.common import batch_of, per_batch
 WINDOW = 3
 SURGE = 80
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"""(?:^|[\s/])(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Contents are no text at all.
 _OPAQUE = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "head", "title", "object", "canvas", "audio", "video", "math", "datalist", "xmp", "noframes"}
@@ -33,9 +33,11 @@ _ASIDE = {"nav", "footer", "aside", "form", "header", "menu", "dialog", "button"
 _BLOCK = set("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul caption".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|widget\w*|footer|header|masthead|toolbar|share\w*|sharing|social\w*|related|recommend\w*|newsletter|subscri\w*|signup|login|comments?|commentlist|disqus|respond|replies|pagination|pager|skip\w*|copyright|legal|tags?)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|widget\w*|footer|masthead|toolbar|share\w*|sharing|social\w*|related|recommend\w*|newsletter|subscri\w*|signup|login|comments?|commentlist|disqus|respond|replies|pagination|pager|skip\w*|copyright|legal)(?:$|[\s_-])",
     re.I,
 )
+#: Noise on a page, but not within an article, whose own head is part of it.
+_HEAD = re.compile(r"(?:^|[\s_-])(?:header|topbar|top)(?:$|[\s_-])", re.I)
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
 
 
@@ -46,8 +48,10 @@ def _noisy(name: str, attrs: str, inside_article: bool) -> bool:
         return False
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id") and _NOISE.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", value)):
-            return True
+        if key in ("class", "id"):
+            words = re.sub(r"([a-z])([A-Z])", r"\1-\2", value)
+            if _NOISE.search(words) or not inside_article and _HEAD.search(words):
+                return True
         if key == "role" and value.lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
         if key == "itemprop" and value.lower() == "comment":

@@ -60,8 +60,9 @@ def test_bpe_edges(docs, wide_docs, no_docs, vocab):
 
 def greedy(word, vocabulary):
     n = i = 0
+    longest = max(map(len, vocabulary))
     while i < len(word):
-        j = next((j for j in range(len(word), i, -1) if word[i:j] in vocabulary), None)
+        j = next((j for j in range(min(len(word), i + longest), i, -1) if word[i:j] in vocabulary), None)
         if j is None:
             return 1
         n, i = n + 1, j
@@ -176,6 +177,11 @@ def test_html_without_article():
     assert htmltext.main_text("<p>tiny</p>") == "tiny"
 
 
+def test_html_heads_of_articles_stay():
+    page = "<div class='page-header'>Site name</div><article><div class='post-header'><h1>Title</h1></div><p class=it's>Body</p></article>"
+    assert htmltext.main_text(page) == "Title\nBody"
+
+
 def test_html_is_tolerant():
     for page in (None, "", "<", "<p", "</p></div>", "<script>never closed", "<article><p>a<p>b", "a &amp &bogus; b", "<!-- open"):
         assert isinstance(htmltext.main_text(page), str)
