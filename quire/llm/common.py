@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.runtime import ship
+
 #: The words of every operator: maximal runs outside space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,6 +44,7 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
 
 def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], keeps: bool = False) -> Callable:
     """A mapInArrow function: `make` runs once per task, its result once per batch of bounded rows."""
+    ship(SparkSession.active())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not keeps:

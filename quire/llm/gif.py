@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quire.llm.common import batch_of, per_batch
+from quire.runtime import ship
 
 WIDTH = 192
 ROWS = 192
@@ -305,6 +306,7 @@ def frames(media: DataFrame, id_col: str = "doc_id", gif_col: str = "gif") -> Da
 
     A null or damaged file is one row with a null frame and the error.
     """
+    ship(media.sparkSession)
     src = media.select(media[id_col].alias("id"), media[gif_col].alias("gif"))
     fields = [("frame", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("start_cs", pa.int64()), ("delay_cs", pa.int32()), ("disposal", pa.int32()), ("transparent", pa.int32()), ("samples", pa.binary()), ("histogram", pa.list_(pa.int64())), ("error", pa.string())]
 

@@ -43,7 +43,7 @@ from quire.llm.bloom import bloom_of, maybe
 from quire.llm.common import batch_of, heavy_aware_join, sliced, union_all
 from quire.llm.graph import connected
 from quire.llm.shingles import mix64, shingle_sets
-from quire.runtime import checkpoint
+from quire.runtime import checkpoint, ship
 
 WORDS = 5
 #: Jaccard threshold as a fraction.
@@ -375,6 +375,7 @@ def _cluster_links(lists: DataFrame, comps: DataFrame, fetch: Callable[[DataFram
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """(id, n_shingles, component_id) of every document."""
+    ship(docs.sparkSession)
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     first = checkpoint(src.withColumn("mark", F.xxhash64("text")).mapInArrow(_first_pass(words), f"id {kind}, n bigint, cls bigint, mark bigint, segment int, task int, counts binary"))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import batch_of, per_batch, sliced
+from quire.runtime import ship
 
 #: The bound on labelled rows that the trees are grown from; scoring covers every row.
 MAX_TRAIN = 20_000
@@ -177,6 +178,7 @@ def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose text scores at least THRESHOLD."""
+    ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import batch_of
-from quire.runtime import checkpoint
+from quire.runtime import checkpoint, ship
 
 SHARD_ROWS = 8192
 BLOCK = 256
@@ -133,6 +133,7 @@ def vectors(embeddings: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 def top_k(embeddings: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, id, score) for every row that `is_query` (a function of the id column) picks."""
+    ship(embeddings.sparkSession)
     all_rows = vectors(embeddings, id_col, vec_col)
     shards = max(1, -(-all_rows.count() // shard_rows))
 
