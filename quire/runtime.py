@@ -13,7 +13,7 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application.
+    """Make this package importable in Python workers, once per application; to be called before a Python function is handed to Spark.
 
     The driver's file server hands the archive to executors, so no shared path is needed.
     """
