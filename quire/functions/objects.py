@@ -11,6 +11,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from quire.kernel.cos import ARRAY_CLOSE, ARRAY_OPEN, DICT_CLOSE, DICT_OPEN, END, Keyword, Lexer, Name, PdfError
+from quire.runtime import ship
 
 #: Kind of a value -> the key that tags it.
 TAGS = {"null": "t", "bool": "b", "int": "i", "real": "f", "name": "n", "str": "s", "array": "a", "dict": "d", "ref": "r"}
@@ -113,4 +114,5 @@ class Tokens:
 
 def register_tokens(spark: SparkSession, name: str = "pdf_tokens") -> None:
     """The table function `name(binary)` for SQL, to be used with LATERAL."""
+    ship(spark)
     spark.udtf.register(name, F.udtf(Tokens, returnType="seq int, kind string, text string"))

@@ -10,6 +10,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.runtime import ship
 from quire.sources.pdf import Corpus
 
 #: Characters of context before and after a match.
@@ -53,6 +54,7 @@ def _pages(corpus: Corpus, options: SearchOptions) -> DataFrame:
 def search_text(pages: DataFrame, key: str, pattern: str, options: SearchOptions = SearchOptions()) -> DataFrame:
     """(key, page_num, match_text, offset in UTF-8 bytes, context) of the matches in (key, page_num, text) rows."""
     found = compile_pattern(pattern, options)
+    ship(pages.sparkSession)
     src = pages.select(key, "page_num", "text")
     key_field = src.schema[0]
 

@@ -22,6 +22,7 @@ from quire.operators import pages as p
 from quire.operators import search as s
 from quire.operators import write as w
 from quire.plans import synth
+from quire.runtime import ship
 from quire.sources.pdf import Corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +43,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -616,6 +618,7 @@ def annot_edit(spark, sf_dir):
 SELECT * FROM (VALUES ('Eacute', 'É'), ('alpha', 'α'), ('Omega', 'Ω'), ('grave', '‘'), ('minus', '-'), ('guilsinglleft', '«'), ('uni00E9', 'é'), ('u1F600', '😀'), ('seven', '7'), ('nosuchglyph', 'nosuchglyph'), ('A', 'A')) AS g(name, ch)
 """)
 def glyph_names(spark, sf_dir):
+    ship(spark)
     names = "Eacute alpha Omega grave minus guilsinglleft uni00E9 u1F600 seven nosuchglyph A".split()
     return spark.createDataFrame([(n,) for n in names], "name string").select("name", t.glyph_text(F.col("name")).alias("ch"))
 
