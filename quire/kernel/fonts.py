@@ -88,18 +88,20 @@ class CMap:
                 self.ranges.append(tuple(numbers))
 
     def lookup(self, code: int) -> str | None:
-        if code in self.chars:
-            return self.chars[code]
         if code not in self._found:
             hits = (_char(to + code - a) for a, b, to in self.ranges if a <= code <= b)
-            self._found[code] = next((c for c in hits if c is not None), None)
+            self._found[code] = self.chars[code] if code in self.chars else next((c for c in hits if c is not None), None)
         return self._found[code]
 
     def decode(self, data: bytes) -> str:
         """Two-byte codes before one-byte ones; unmapped printable ASCII stands, other bytes vanish."""
         out, i, n = [], 0, len(data)
+        known = self._found
         while i < n:
-            two = self.lookup(data[i] << 8 | data[i + 1]) if i + 1 < n else None
+            two = None
+            if i + 1 < n:
+                code = data[i] << 8 | data[i + 1]
+                two = known[code] if code in known else self.lookup(code)
             if two is not None:
                 out.append(two)
                 i += 2

@@ -32,7 +32,9 @@ def cid_pdf(text: str) -> bytes:
     """A text page in a two-byte font with a Unicode map, whatever the characters."""
     doc = Document.empty()
     font, codes = edit.cid_font(doc, text.replace("\n", ""))
-    content = edit.stream(doc, edit.lines_content([b"".join(codes[c] for c in line) for line in text.split("\n")]))
+    hexes = {ord(c): code.hex() for c, code in codes.items()}
+    lines = [f"<{line.translate(hexes)}> '".encode() for line in text.split("\n")]
+    content = edit.stream(doc, b"\n".join([b"BT /F1 12 Tf 14 TL 72 720 Td", *lines, b"ET"]))
     doc.create_page(edit.LETTER, Resources={b"Font": {b"F1": font}}, Contents=content)
     return doc.save()
 
