@@ -1,7 +1,7 @@
 """From raw documents to token ids in five stages, each over all that its predecessor kept.
 
 quality     documents that the classifier rejects go
-line_dedup  repeated chunks of lines go; documents of which nothing is left go
+line_dedup  repeated runs of lines go; documents of which nothing is left go
 near_dup    one document of each group of near duplicates stays, that with the smallest doc_id
 mixing      documents as often, and as much of them, as the target weights say
 bpe         token ids, with digests of the round trip
@@ -25,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = linededup.dedup(docs)
+    out = linededup.dedup_runs(docs)
     return out.where((F.col("n_removed") == 0) | (F.trim("text") != "")).drop("n_removed")
 
 

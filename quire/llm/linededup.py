@@ -1,4 +1,4 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by content-defined chunks of lines, and by whole repeated runs of lines.
 
 A rolling hash over the last WINDOW line hashes ends a chunk wherever it is divisible by DIVISOR,
 so equal stretches of lines are cut alike wherever they stand.  A line of LONG_LINE words or more
@@ -6,27 +6,37 @@ is a chunk by itself.  A chunk counts if it has several lines or LONG_LINE words
 again anywhere in the corpus, byte for byte, all occurrences but the first (smallest document,
 then place) are removed.
 
+Chunks alone miss the head and tail of a repeated run, and runs in which no two boundaries fall.
+So `dedup_runs` also compares windows: the shortest runs of LONG_LINE words that begin, or that
+end, at a line.  A run of LONG_LINE words or more is covered by the windows inside it, and which
+those are depends on its own lines only; so every run that occurs again goes whole, in whatever
+context, but for blank lines at its edges.  `dedup` is the chunks alone.
+
 Edge cases: null text stays null and has no chunks; empty texts, and documents of one short line,
-are left alone; rows of one doc_id and place count as one occurrence, so exact repeats of a row
+are left alone; where `dedup_runs` leaves blank lines only, the empty text remains; rows of one doc_id and place count as one occurrence, so exact repeats of a row
 are treated alike; a null doc_id comes last; texts of any length are cut whole; all columns of the
 input, whatever their names, are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bloom import bloom_of, maybe
-from quire.llm.common import batch_of, heavy_aware_join, per_batch, sliced
-from quire.runtime import checkpoint
+from quire.llm.common import batch_of, heavy_aware_join, sliced
+from quire.runtime import checkpoint, ship
 
 WINDOW = 2
 DIVISOR = 3
 LONG_LINE = 50
 _SIGN = 1 << 63
+#: Bytes of pieces in a batch, about.
+_BATCH = 8 << 20
 
 
 def _signed(x: int) -> int:
@@ -64,45 +74,77 @@ def _hashes(chunk: bytes) -> tuple[int, int]:
     return _signed(h & (1 << 64) - 1), _signed(h >> 64)
 
 
-def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, removed array<struct<at, h1, h2>>): the chunks that go, for documents that lose any."""
-    src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(F.col("text").isNotNull())
-    kind = src.schema["id"].dataType.simpleString()
-    keys = [("at", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())]
+def counted(text: str) -> list[tuple[int, int, bytes]]:
+    """(first line, lines, bytes) of each chunk that counts."""
+    return [(first, lines, data) for first, lines, data, counts in chunks(text) if counts]
 
-    def make():
-        def each(b):
-            which, at, one, two = [], [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                for first, _, data, counts in chunks(t):
-                    if counts:
-                        h1, h2 = _hashes(data)
-                        which.append(i), at.append(first), one.append(h1), two.append(h2)
-            return batch_of([("id", b.schema.field(0).type), *keys], [b.column(0).take(pa.array(which, pa.int64())), at, one, two])
 
-        return each
+def windows(text: str) -> list[tuple[int, int, memoryview]]:
+    """(first line, lines, bytes) of each shortest run of LONG_LINE words from a line on, or up to one; none begins or ends with a blank line."""
+    data = text.encode()
+    lines = data.split(b"\n")
+    start, before = [0], [0]  # bytes and words before each line
+    for line in lines:
+        start.append(start[-1] + len(line) + 1)
+        before.append(before[-1] + len(line.split()))
+    spans, end, begin = set(), 0, 0
+    for i in range(len(lines)):
+        if before[i] == before[i + 1]:
+            continue
+        while end < len(lines) and before[end + 1] - before[i] < LONG_LINE:
+            end += 1
+        if end < len(lines):
+            spans.add((i, end))
+        while before[i + 1] - before[begin + 1] >= LONG_LINE:
+            begin += 1
+        if before[i + 1] - before[begin] >= LONG_LINE:
+            spans.add((begin, i))
+    view = memoryview(data)
+    return [(i, j - i + 1, view[start[i] : start[j + 1] - 1]) for i, j in sorted(spans)]
+
+
+def pieces(text: str) -> list[tuple[int, int, bytes | memoryview]]:
+    """Chunks that count, and windows, each stretch once."""
+    return list({(first, lines): (first, lines, data) for first, lines, data in (*windows(text), *counted(text))}.values())
 
-    seen = checkpoint(src.mapInArrow(per_batch(make), f"id {kind}, at bigint, h1 bigint, h2 bigint"))
-    again = seen.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    sieve = bloom_of(again, "h1")
 
-    def make_bytes():
-        def each(b):
-            which, at, one, two, data_of = [], [], [], [], []
+def _rows(src: DataFrame, cut: Callable, sieve=None, with_data: bool = False) -> DataFrame:
+    """(id, at, lines, h1, h2[, data]) of every piece, or of those that pass the sieve; batches are cut by their bytes."""
+    ship(src.sparkSession)
+    names = [("at", pa.int64()), ("lines", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), *([("data", pa.binary())] if with_data else [])]
+
+    def run(batches):
+        for b in sliced(batches):
+            fields = [("id", b.schema.field(0).type), *names]
+            cols, held = [[] for _ in range(len(names) + 1)], 0
+            out = lambda: batch_of(fields, [b.column(0).take(pa.array(cols[0], pa.int64())), *cols[1:]])  # noqa: E731, B023
             for i, t in enumerate(b.column(1).to_pylist()):
-                cut = [(first, data, *_hashes(data)) for first, _, data, counts in chunks(t) if counts]
-                if cut:
-                    for (first, data, h1, h2), may in zip(cut, maybe(sieve.value, [c[2] for c in cut])):
-                        if may:
-                            which.append(i), at.append(first), one.append(h1), two.append(h2), data_of.append(data)
-            return batch_of([("id", b.schema.field(0).type), *keys, ("data", pa.binary())], [b.column(0).take(pa.array(which, pa.int64())), at, one, two, data_of])
+                found = [(first, lines, *_hashes(data), data) for first, lines, data in cut(t)]
+                if sieve is not None and found:
+                    found = [x for x, may in zip(found, maybe(sieve.value, [x[2] for x in found])) if may]
+                for x in found:
+                    for col, v in zip(cols, (i, *x[:4], bytes(x[4]))) if with_data else zip(cols, (i, *x[:4])):
+                        col.append(v)
+                    held += len(x[4]) if with_data else 40
+                    if held > _BATCH:
+                        yield out()
+                        cols, held = [[] for _ in range(len(names) + 1)], 0
+            if cols[0]:
+                yield out()
+
+    kind = src.schema["id"].dataType.simpleString()
+    return src.mapInArrow(run, f"id {kind}, at bigint, lines bigint, h1 bigint, h2 bigint" + ", data binary" * with_data)
 
-        return each
 
-    # The bytes are compared by grouping on them; one row per task and chunk is shuffled.
-    read = src.mapInArrow(per_batch(make_bytes), f"id {kind}, at bigint, h1 bigint, h2 bigint, data binary")
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: Callable = counted) -> DataFrame:
+    """(id, removed array<struct<at, lines, h1, h2>>): the pieces that go, for documents that lose any."""
+    src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(F.col("text").isNotNull())
+    again = checkpoint(_rows(src, cut).groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1"))
+    sieve = bloom_of(again, "h1")
+    seen = checkpoint(_rows(src, cut, sieve))
+    # The bytes are compared by grouping on them; one row per task and piece is shuffled.
     place = F.struct(F.col("id").isNull().alias("none"), "id", "at")
-    same = read.groupBy("h1", "h2", "data").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
+    same = _rows(src, cut, sieve, with_data=True).groupBy("h1", "h2", "data").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
     # Two contents under one 128-bit hash: neither is removed.
     repeated = checkpoint(
         same.groupBy("h1", "h2").agg(F.count("*").alias("contents"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("last").alias("last"))
@@ -112,17 +154,35 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     pair = F.struct("h1", "h2")
     met = heavy_aware_join(seen.withColumn("pair", pair), repeated.select(pair.alias("pair"), "n", "first"), "pair", "n", total)
     gone = met.where("first is not null").where(~(place.eqNullSafe(F.col("first"))))
-    return gone.groupBy("id").agg(F.collect_set(F.struct("at", "h1", "h2")).alias("removed"))
+    return gone.groupBy("id").agg(F.collect_set(F.struct("at", "lines", "h1", "h2")).alias("removed"))
+
 
+def strip(text: str, removed: set[tuple[int, int, int, int]], cut: Callable = counted) -> tuple[str, int]:
+    """The text without the removed pieces, and how many of the pieces it had."""
+    found = [(first, lines) for first, lines, data in cut(text) if (first, lines, *_hashes(data)) in removed]
+    gone = {i for first, lines in found for i in range(first, first + lines)}
+    return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone), len(found)
 
-def strip(text: str, removed: set[tuple[int, int, int]]) -> str:
-    """The text without the removed chunks."""
-    return "\n".join(data.decode() for first, _, data, counts in chunks(text) if not counts or (first, *_hashes(data)) not in removed)
+
+def strip_runs(text: str, removed: set[tuple[int, int, int, int]]) -> tuple[str, int]:
+    """The same for `pieces`, counting the stretches of lines that go; blank lines do not stay alone."""
+    gone = {i for first, lines, data in pieces(text) if (first, lines, *_hashes(data)) in removed for i in range(first, first + lines)}
+    left = [line for i, line in enumerate(text.split("\n")) if i not in gone]
+    return "\n".join(left) if not gone or any(line.encode().split() for line in left) else "", sum(i - 1 not in gone for i in gone)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """All rows and columns of `docs`, repeated chunks taken out of the text, plus `n_removed`."""
-    gone = decide(docs, id_col, text_col).withColumnsRenamed({"id": "dedup id", "removed": "dedup removed"})
+    """All rows and columns of `docs`, repeated chunks taken out of the text, plus `n_removed`, their number."""
+    return _without(docs, decide(docs, id_col, text_col), strip, id_col, text_col, length_col)
+
+
+def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """All rows and columns of `docs`, repeated chunks and all repeated runs of LONG_LINE words taken out of the text, plus `n_removed`, the number of stretches of lines that went."""
+    return _without(docs, decide(docs, id_col, text_col, pieces), strip_runs, id_col, text_col, length_col)
+
+
+def _without(docs: DataFrame, gone: DataFrame, strip: Callable, id_col: str, text_col: str, length_col: str | None) -> DataFrame:
+    gone = gone.withColumnsRenamed({"id": "dedup id", "removed": "dedup removed"})
     met = docs.join(gone, docs[id_col].eqNullSafe(gone["dedup id"]), "left").drop("dedup id")
     names = docs.columns
     text_at = names.index(text_col)
@@ -135,10 +195,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             counts = [0] * len(texts)
             for i, (t, removed) in enumerate(zip(texts, marks)):
                 if t is not None and removed:
-                    left = {(r["at"], r["h1"], r["h2"]) for r in removed}
-                    counts[i] = sum((first, *_hashes(data)) in left for first, _, data, ok in chunks(t) if ok)
-                    if counts[i]:
-                        texts[i] = strip(t, left)
+                    texts[i], counts[i] = strip(t, {(r["at"], r["lines"], r["h1"], r["h2"]) for r in removed})
             cols = [b.column(i) for i in range(len(names))]
             cols[text_at] = pa.array(texts, b.schema.field(text_at).type)
             if length_at is not None:

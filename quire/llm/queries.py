@@ -48,7 +48,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import linededup
 
-    return linededup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars", "n_removed")
+    return linededup.dedup_runs(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars", "n_removed")
 
 
 def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,6 +164,50 @@ def test_boundaries_do_not_shift():
     assert len(a - b) <= 2
 
 
+def brute_runs(rows):
+    """Drop every run of lines with 50 words that stands at an earlier place; knows nothing of chunks and windows."""
+    first, runs = {}, []
+    for n, (key, text) in enumerate(rows):
+        lines = text.split("\n")
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                run = tuple(lines[a : b + 1])
+                if sum(len(x.split()) for x in run) >= 50:
+                    runs.append((n, a, b, run))
+                    first[run] = min(first.get(run, (key, a)), (key, a))
+    gone = {(n, i) for n, a, b, run in runs if first[run] != (rows[n][0], a) for i in range(a, b + 1)}
+    return [(key, "\n".join(x for i, x in enumerate(text.split("\n")) if (n, i) not in gone)) for n, (key, text) in enumerate(rows)]
+
+
+def test_repeated_runs_go_whole(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passages = [[line(-(-60 // n) + rng.randrange(4)) for _ in range(n)] for n in (*range(2, 11), *range(2, 11))]
+    passages.append([line(30), line(30), line(5)])  # the tail is in no shortest run from a line on
+    passages.append([line(5), line(30), line(30)])
+    passages.append([line(9), line(60), line(3)])
+    short = [line(12) for _ in range(3)]  # under 50 words, and never two in a row
+    rows = []
+    for k in range(4 * len(passages)):
+        own = lambda: [line(rng.randrange(1, 9)) for _ in range(rng.randrange(1, 5))]
+        rows.append((k, "\n".join([*own(), *passages[k % len(passages)], *own(), rng.choice(short), *own()])))
+    rows.append((900, "\n".join([line(40)] * 5)))
+    frame = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], DOCS).repartition(3)
+    got = linededup.dedup_runs(frame).collect()
+    assert same([(r.doc_id, r.text) for r in got], brute_runs(rows))
+    assert all(r.n_chars == len(r.text) for r in got) and sum(r.n_removed for r in got) == 3 * len(passages) + 1
+
+
+def test_repeated_runs_edges(spark, wide_docs, no_docs):
+    assert linededup.dedup_runs(no_docs).collect() == []
+    assert linededup.dedup_runs(wide_docs).columns == [*wide_docs.columns, "n_removed"]
+    page = "\n\n" + "\n\n".join(f"a{i} " * 20 for i in range(4)) + "\n\n"
+    rows = [(1, page), (2, page), (2, page), (3, "one line"), (4, "one line"), (5, None), (6, ""), (None, page + "own")]
+    got = linededup.dedup_runs(spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], DOCS)).collect()
+    assert same([(r.doc_id, r.text) for r in got if r.doc_id], [(1, page), (2, ""), (2, ""), (3, "one line"), (4, "one line"), (5, None), (6, "")])
+    assert [r.text.split() for r in got if not r.doc_id] == [["own"]]
+
+
 # Quality.
 
 
