@@ -2,8 +2,9 @@
 
 Markup is stripped into lines, one per block element.  Lines inside menus, headers, footers,
 sidebars, notices, adverts, forms and reader comments have no length of their own.  The lengths
-are summed over windows of WINDOW lines; where that sum surges to SURGE the main text begins, where
-it dives to nothing it ends, and the text between is kept.
+are summed over windows of WINDOW lines.  Where that sum dives to nothing a stretch of text ends; of
+the stretches between dives, those in which it surges to SURGE are kept whole.  Lines within article
+and main elements count ARTICLE times; that such an element exists takes nothing from the others.
 
 Edge cases: null or empty html gives the empty text; pages without any surge keep their unmarked
 lines; unclosed and misnested tags, comments and quotes are tolerated; repeated rows are treated
@@ -23,6 +24,7 @@ from quire.llm.common import batch_of, per_batch
 
 WINDOW = 3
 SURGE = 80
+ARTICLE = 2
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"""(?:^|[\s/])(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -123,8 +125,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
 
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
-    inside = any(article and not marked for _, marked, article in lines)
-    sizes = [0 if marked or inside and not article else len(text) for text, marked, article in lines]
+    sizes = [0 if marked else len(text) * (ARTICLE if article else 1) for text, marked, article in lines]
     window = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
     kept: list[str] = []
     surged = any(w >= SURGE for w in window)
@@ -136,7 +137,7 @@ def main_text(page: str | None) -> str:
         dive = i
         while dive < n and window[dive]:
             dive += 1
-        if not surged or inside or any(w >= SURGE for w in window[i:dive]):
+        if not surged or any(w >= SURGE for w in window[i:dive]):
             kept += [lines[j][0] for j in range(i, dive) if sizes[j]]
         i = dive
     return "\n".join(kept)

@@ -182,6 +182,17 @@ def test_html_heads_of_articles_stay():
     assert htmltext.main_text(page) == "Title\nBody"
 
 
+def test_html_main_text_beside_an_article():
+    body = [f"Paragraph {i} is long enough to count as text of its own on this page." for i in range(6)]
+    main, ads = "<div class='content'>" + "".join(f"<p>{x}</p>" for x in body) + "</div>", "<div class=ad>" + "<p>Buy this now, it is cheaper than ever before today</p>" * 3 + "</div>"
+    teaser, quote = "<article><a href='/x'>Read this too</a></article>", "<article><p>" + "A card that is long enough to surge. " * 3 + "</p></article>"
+    assert htmltext.main_text(main + ads + teaser).split("\n") == body
+    assert htmltext.main_text(teaser + ads + main).split("\n") == body
+    for page in (teaser + main, main + teaser, main + ads + quote, quote + ads + main):
+        assert [x for x in htmltext.main_text(page).split("\n") if x.startswith("Paragraph")] == body
+    assert htmltext.main_text(f"<article>{main}</article>{ads}<div>Short foot</div>").split("\n") == body
+
+
 def test_html_is_tolerant():
     for page in (None, "", "<", "<p", "</p></div>", "<script>never closed", "<article><p>a<p>b", "a &amp &bogus; b", "<!-- open"):
         assert isinstance(htmltext.main_text(page), str)
