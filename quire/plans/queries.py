@@ -462,6 +462,18 @@ def search_context(spark, sf_dir):
     return hits.select("doc_id", "match_text", "context")
 
 
+@query(f"""
+WITH d AS (SELECT doc_id, {SHOWN} AS t FROM documents), p AS (SELECT doc_id, t, string_split(t, 'the') AS parts FROM d WHERE t <> ''),
+b AS (SELECT doc_id, t, unnest(list_transform(range(1, len(parts)), lambda k: array_to_string(parts[1:k], 'the'))) AS before FROM p)
+SELECT doc_id, 'the' AS match_text, CAST(strlen(before) AS BIGINT) AS "offset",
+       substr(t, greatest(0, len(before) - 41) + 1, len(before) - greatest(0, len(before) - 41) + 43) AS context FROM b
+""")
+def search_contexts(spark, sf_dir):
+    """Every hit, where `search_context` has the first of a document."""
+    hits = s.search(_shown(spark, sf_dir), "the", s.SearchOptions(case_sensitive=True))
+    return hits.select("doc_id", "match_text", "offset", "context")
+
+
 @query(f"WITH d AS (SELECT doc_id, {SHOWN} AS t FROM documents) SELECT doc_id, CAST(len(regexp_extract_all(t, '(?i)tion')) AS BIGINT) AS matches FROM d WHERE t <> ''")
 def search_count(spark, sf_dir):
     return s.count(_shown(spark, sf_dir), "tion")

@@ -38,6 +38,21 @@ def test_query_against_sql(spark, oracle, name):
         pd.testing.assert_frame_equal(ordered(got), ordered(oracle.sql(queries.SQL[name]).df()), check_dtype=False)
 
 
+def test_contexts_of_every_hit(spark):
+    """By a plain scan of long texts with hits at both ends, next to each other and beside wide characters."""
+    body = {1: "the" + " x" * 30 + "thethe é the " + "日本 " * 40 + "The end of the", 2: "a the " * 20_000 + "the", 3: "none", 4: None}
+    frame = spark.createDataFrame([(k, 1, t) for k, t in body.items() if t], "doc_id bigint, page_num int, text string")
+    got = search.search_text(frame, "doc_id", "the", search.SearchOptions(case_sensitive=True)).collect()
+    want = [(k, len(t[:i].encode()), t[max(0, i - 41) : i + 43]) for k, t in body.items() if t for i in range(len(t)) if t.startswith("the", i)]
+    assert sorted((r.doc_id, r.offset, r.context) for r in got) == sorted(want) and len(want) == 20_006
+
+
+def test_no_hit_is_left_out(spark, oracle):
+    """The registered query has as many rows as the texts have occurrences, not one a document."""
+    want = oracle.sql("SELECT CAST(sum(len(regexp_extract_all(text, 'the'))) AS BIGINT) FROM documents").fetchall()[0][0]
+    assert queries.QUERIES["search_contexts"](spark, SF).count() == want > 5 * queries.QUERIES["search_context"](spark, SF).count()
+
+
 def corpus(spark) -> Corpus:
     rows = [(1, synth.text_pdf("Hello World\nhello again")), (2, b"broken"), (3, None), (4, synth.pages_pdf(["one", "two hello"])), (5, synth.text_pdf("日本 hello"))]
     return from_bytes(spark.createDataFrame(rows, "doc_id bigint, content binary"))
