@@ -2,11 +2,12 @@
 
 quality     documents that the classifier rejects go
 line_dedup  repeated runs of lines go; documents of which nothing is left go
-near_dup    one document of each group of near duplicates stays, that with the smallest doc_id
+near_dup    one row of each group of near duplicates stays, that with the smallest doc_id, then hash of the text
 mixing      documents as often, and as much of them, as the target weights say
 bpe         token ids, with digests of the round trip
 
-Rows without a doc_id pass `near_dup`, which could not name the one that stays.  The last two
+Rows without a doc_id pass `near_dup`, which could not name the one that stays; rows that share a
+doc_id are told apart by their texts.  The last two
 stages give a row for each document and pass of the mix.
 """
 
@@ -30,10 +31,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngramjoin.components(docs)
-    stays = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("mark")))
+    rows = docs.withColumn("near_dup row", row)
+    found = ngramjoin.components(rows, "near_dup row")
+    stays = found.where("`near_dup row` = component_id").select("near_dup row").distinct()
+    kept = rows.join(stays, "near_dup row", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

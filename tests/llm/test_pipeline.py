@@ -77,3 +77,15 @@ def test_pipeline_of_an_empty_table(spark, sf_dir):
         assert docs.collect() == []
 
 
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    rng = random.Random(6)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    a, b, c, d = text(), text(), text(), text()
+    near = lambda w: " ".join([*w, "tail"])
+    rows = [(2, " ".join(a)), (2, " ".join(b)), (1, near(b)), (5, " ".join(c)), (5, near(c)), (7, " ".join(d)), (7, " ".join(d)), (8, None), (8, ""), (None, " ".join(a))]
+    got = corpus_pipeline.near_dup_stage(spark, spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], DOCS), "").collect()
+    assert sorted((r.doc_id, r.text or "") for r in got if r.doc_id not in (5, None)) == sorted([(2, " ".join(a)), (1, near(b)), (7, " ".join(d)), (8, ""), (8, "")])
+    assert [r.text in (" ".join(c), near(c)) for r in got if r.doc_id == 5] == [True]
+    assert [r.text for r in got if r.doc_id is None] == [" ".join(a)]
