@@ -208,6 +208,13 @@ def test_repeated_runs_edges(spark, wide_docs, no_docs):
     assert [r.text.split() for r in got if not r.doc_id] == [["own"]]
 
 
+def test_long_lines_parted_by_tabs(spark):
+    long = "\t".join(f"t{i}" for i in range(60))
+    rows = [(k, f"own {k}\n{long}\nlast {k}", "en", "s", 1) for k in range(3)]
+    got = linededup.dedup_runs(spark.createDataFrame(rows, DOCS)).collect()
+    assert same([(r.doc_id, r.text) for r in got], [(0, rows[0][1]), (1, "own 1\nlast 1"), (2, "own 2\nlast 2")])
+
+
 # Quality.
 
 
