@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -165,9 +166,11 @@ paragraph&nbsp;with &#233;&#x4e2d; text that is long enough to be the main text
 <div class="sidebar"><p>Side text</p></div><footer>&copy; someone</footer></body></html>"""
 
 
+PAGE_TEXT = "Title & more\nFirst bold paragraph with é中 text that is long enough to be the main text of a page.\nShort.\nOther\na < b\nc"
+
+
 def test_html_article():
-    want = "Title & more\nFirst bold paragraph with é中 text that is long enough to be the main text of a page.\nShort.\nOther\na < b\nc"
-    assert htmltext.main_text(PAGE) == want
+    assert htmltext.main_text(PAGE) == PAGE_TEXT
 
 
 def test_html_without_article():
@@ -193,6 +196,76 @@ def test_html_main_text_beside_an_article():
     assert htmltext.main_text(f"<article>{main}</article>{ads}<div>Short foot</div>").split("\n") == body
 
 
+def brute_stretches(sizes):
+    """The kept lines by looking at every window anew."""
+    window = [sum(sizes[i : i + htmltext.WINDOW]) for i in range(len(sizes))]
+    runs, i = [], 0
+    while i < len(sizes):
+        j = i
+        while j < len(sizes) and window[j] > 0:
+            j += 1
+        if j > i:
+            runs.append((next(k for k in range(i, j) if sizes[k]), j, max(window[i:j])))
+        i = j + 1
+    some = [r for r in runs if r[2] >= htmltext.SURGE] or runs
+    return [(a, b) for a, b, _ in some]
+
+
+def test_html_surge_and_dive_against_every_window():
+    rng = random.Random(12)
+    for _ in range(2000):
+        sizes = [rng.choice([0, 0, 0, rng.randrange(1, 40), rng.randrange(20, 200)]) for _ in range(rng.randrange(0, 30))]
+        assert htmltext.stretches(sizes) == brute_stretches(sizes)
+
+
+def generated_page(rng):
+    """(html, main text): a text in unmarked markup, among link lists, teasers and short lines that no class gives away."""
+    sentence = lambda n: " ".join(f"w{rng.randrange(10**4)}" for _ in range(n))
+    links = lambda: "<div><ul>" + "".join(f"<li><a href='/{k}'>{sentence(rng.randrange(1, 5))}</a></li>" for k in range(rng.randrange(3, 9))) + "</ul></div>"
+    body = [sentence(rng.randrange(20, 60)) for _ in range(rng.randrange(2, 8))]
+    for _ in range(rng.randrange(3)):
+        body.insert(rng.randrange(1, len(body) + 1), sentence(1))
+    inner = "".join(f"<p>{x}</p>" for x in body)
+    teaser = f"<article><a href='/t'>{sentence(3)}</a></article>"
+    held = rng.choice([f"<div class='{rng.choice(['content', 'no-sidebar', 'story related-work'])}'>{inner}</div>", f"<article>{inner}</article>", f"<main>{inner}</main>"])
+    before = [f"<div>{sentence(2)}</div>", links(), rng.choice(["", teaser])]
+    after = [links(), rng.choice(["", teaser]), f"<p>{sentence(2)}</p>"]
+    return "<html><body>" + "".join(before) + held + "".join(after) + "</body></html>", "\n".join(body)
+
+
+def test_html_generated_pages_are_decided_by_the_windows():
+    rng = random.Random(13)
+    pages = [generated_page(rng) for _ in range(300)]
+    assert [htmltext.main_text(page) for page, _ in pages] == [text for _, text in pages]
+    unruled = ["\n".join(text for text, _ in htmltext.lines_of(page) if text) for page, _ in pages]
+    assert all(a != text for a, (_, text) in zip(unruled, pages))  # without the rule every page differs
+
+
+def test_html_classes_count_whole():
+    long = "A paragraph that is long enough to count as text of its own on any page at all, by itself."
+    for name in ("no-sidebar", "social-science-article", "with-sidebar", "layout-sidebar-none", "header-less"):
+        assert htmltext.main_text(f"<div class='{name}'><article><p>{long}</p></article></div>") == long
+    assert htmltext.main_text(f"<article><p class='related-work'>{long}</p><p>End</p></article>") == f"{long}\nEnd"
+    assert htmltext.main_text(f"<div class='left-sidebar'><h1>Title</h1><p>{long}</p></div>") == f"Title\n{long}"
+    for attrs in ("style='overflow: hidden'", "title='a hidden gem'", "data-x='role=banner'"):
+        assert htmltext.main_text(f"<div {attrs}><p>{long}</p></div>") == long
+    for attrs in ("hidden", "class='main-nav x'", "id=sidebar", "role=banner", "aria-hidden='true'", "class='cookie-notice'"):
+        assert htmltext.main_text(f"<div {attrs}><p>{long}</p></div><p>{long} x</p>") == f"{long} x"
+
+
+def test_html_time_is_linear():
+    bad = ["<a ", "<a b='>' ", '<a "', "<title>", "<!--", "<p class ", "<script> ", "</script ", "< >", "<a =", "&amp"]
+    for piece in bad:
+        for end in ("", ">", "\"'>"):
+            page = piece * ((1_000_000 if piece == "<a " else 300_000) // len(piece)) + end
+            begin = time.perf_counter()
+            htmltext.main_text(page)
+            assert time.perf_counter() - begin < 2, piece
+    deep = "<div>" * 100_000 + "</span>" * 100_000
+    begin = time.perf_counter()
+    assert htmltext.main_text(deep) == "" and time.perf_counter() - begin < 4
+
+
 def test_html_is_tolerant():
     for page in (None, "", "<", "<p", "</p></div>", "<script>never closed", "<article><p>a<p>b", "a &amp &bogus; b", "<!-- open"):
         assert isinstance(htmltext.main_text(page), str)
@@ -202,7 +275,7 @@ def test_html_is_tolerant():
 def test_html_columns(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None), (None, "v", "", "y"), (3, "w", "<p>" + "long " * 50_000 + "</p>", "z")]
     got = htmltext.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
-    assert sorted((r.page_id or 0, len(r.text)) for r in got) == [(0, 0), (1, 126), (1, 126), (2, 0), (3, 249_999)] or len(got) == 5
+    assert sorted((r.page_id or 0, r.url or "", r.text) for r in got) == [(0, "v", ""), (1, "u", PAGE_TEXT), (1, "u", PAGE_TEXT), (2, "", ""), (3, "w", ("long " * 50_000).strip())]
     assert all(r.n_chars == len(r.text) for r in got)
     assert htmltext.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
 
