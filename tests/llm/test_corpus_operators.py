@@ -61,7 +61,7 @@ def test_mix(docs, wide_docs):
 def test_mix_of_empty_tables(no_docs, spark):
     assert mixing.mix(no_docs).collect() == [] and mixing.mixed_documents(no_docs).collect() == []
     blank = spark.createDataFrame([(1, None, "en", "a", 0), (2, "", "en", None, 0)], DOCS)
-    assert same(mixing.mix(blank).collect(), [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)])
+    assert same(mixing.mix(blank).collect(), [(1, 0, 0, 0.0, 0, []), (2, 0, 0, 0.0, 0, [])])
 
 
 def test_mix_with_many_sources(spark, monkeypatch):
@@ -77,11 +77,73 @@ def test_permutation_is_one(spark):
         assert sorted(got) == list(range(n))
 
 
-def test_shards_are_spread(docs):
-    placed, sources = mixing._laid_out(docs, "doc_id", "text", "source")
-    slots = mixing.slots(sources, 4, 4)
-    assert slots.select("shard").distinct().count() == 4
-    assert slots.groupBy("skey", "epoch", "block").count().where("count > 1").isEmpty()
+def test_draws_are_multinomial(spark):
+    sizes = [40_000, 10_000, 3, 0, 2_000]
+    sources = spark.createDataFrame([(f"s{i}", n, 1.5 * n) for i, n in enumerate(sizes)], "skey string, source_size bigint, target double")
+    drawn = mixing.draws(sources, 4, 1000)
+    half_up = lambda n: int(1.5 * n + 0.5)
+    want = {f"s{i}": -(-n // 4) + -(-(half_up(n) - n) // 4) for i, n in enumerate(sizes) if n}
+    rows = sorted((r.skey, r.shard, r.n, r["first"]) for r in drawn.collect())
+    shards = -(-sum(want.values()) // 1000)
+    for s, total in want.items():
+        mine = [r for r in rows if r[0] == s]
+        assert sum(r[2] for r in mine) == total and all(0 <= r[1] < shards for r in mine)
+        assert [r[3] for r in mine] == list(np.cumsum([0, *(r[2] for r in mine)])[:-1])
+        if total > 1000:  # counts vary as a multinomial does: neither equal nor wild
+            counts = [r[2] for r in mine]
+            expected = total / shards
+            chi = sum((c - expected) ** 2 / expected for c in counts) + (shards - len(counts)) * expected
+            assert 0.2 * shards < chi < 3 * shards
+    slots = mixing.slots(sources, 4, 1000).collect()
+    assert Counter((r.skey, r.shard) for r in slots) == {r[:2]: r[2] for r in rows}
+    assert all(c == 1 for c in Counter((r.skey, r.epoch, r.block) for r in slots).values())
+    assert {s: sum(r.take for r in slots if r.skey == s) for s in want} == {f"s{i}": half_up(n) for i, n in enumerate(sizes) if n}
+
+
+def test_the_draw_is_in_the_plan(docs):
+    for out in (mixing.mix(docs, block=16, shard_slots=8), mixing.mixed_documents(docs, block=16, shard_slots=8, shard_col="shard")):
+        assert "shard" in out._jdf.queryExecution().optimizedPlan().toString()
+    shards = {x for r in mixing.mix(docs, block=16, shard_slots=8).collect() for x in r.shards}
+    assert len(shards) > 10
+    whole = mixing.mixed_documents(docs, block=16, shard_slots=8, shard_col="shard")
+    assert set(whole.select("shard").distinct().toPandas().shard) <= shards
+
+
+def test_shard_files(docs, tmp_path):
+    mixing.write_shards(docs, str(tmp_path / "mix"), block=16, shard_slots=32)
+    back = docs.sparkSession.read.parquet(str(tmp_path / "mix"))
+    assert same(back.select(*docs.columns, "shard").collect(), mixing.mixed_documents(docs, block=16, shard_slots=32, shard_col="shard").collect())
+
+
+def test_targets_of_very_many_sources(spark, monkeypatch):
+    rng = random.Random(4)
+    sizes = {f"h{i}": rng.choice([0, 1, 5, 100, 3000]) for i in range(300)} | {None: 77}
+    frame = spark.createDataFrame([(f"k{s}", s, n) for s, n in sizes.items()], "skey string, source string, source_size bigint")
+    want = brute_targets(sizes)
+    monkeypatch.setattr(mixing, "_SMALL", 20)
+    got = {r.source: (r.target, r.weight) for r in mixing.targets(frame).collect()}
+    assert all(abs(got[s][0] - want[s]) < 1e-6 for s in sizes) and len(got) == len(sizes)
+
+
+def test_copies_of_one_row_unfold_in_portions(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_PORTION", 8)
+    hot = (None, "a b c d e f g h i j", "en", "a", 19)
+    rows = [hot] * 150 + [(i, f"x{i} " * (i % 7), "en", "ab"[i % 2], 1) for i in range(150)] + [(None, "", "en", "b", 0)] * 20
+    frame = spark.createDataFrame(rows, DOCS).repartition(5)
+    got = check_mix(frame)
+    assert same(got, mixing.mix(frame.repartition(2), block=16).collect())
+    out = mixing.mixed_documents(frame, block=16).collect()
+    taken = sum(len(r.text.split()) for r in out if r.doc_id is None)
+    assert taken == sum(r.taken for r in got if r.doc_id is None) and all(set(r.text.split()) <= set("abcdefghij") for r in out if r.doc_id is None)
+
+
+def test_rows_that_differ_in_other_columns_keep_them(spark):
+    rows = [(1, "w " * 40, "en", "a", 1, {"k": 1}), (1, "w " * 40, "de", "a", 2, None), (1, "w " * 40, None, "a", 3, {})]
+    frame = spark.createDataFrame(rows, DOCS + ", m map<string,int>")
+    out = mixing.mixed_documents(frame, block=16)
+    assert out.columns == frame.columns
+    assert all((r.lang, r.m) in [("en", {"k": 1}), ("de", None), (None, {})] for r in out.collect())
+    assert sum(len(r.text.split()) for r in out.collect()) == 180
 
 
 def test_mixed_documents(docs, wide_docs):
