@@ -6,8 +6,9 @@ extensions, and composes each frame on the canvas under the disposal and transpa
 
 Edge cases: null text is the empty text (one frame of spaces); equal texts give equal files;
 texts of any length are stored whole, in frames of at most 192 x 192 samples, so memory is
-bounded by a frame and the file; a damaged file raises ValueError in `decode` and gives a null
-frame list plus the error text in `frames`; other columns are ignored; an empty table gives an
+bounded by a frame and the file; a damaged file raises ValueError in `decode`, as does one whose
+frames, or the part of the screen that they cover, have more than MOST_PIXELS pixels, and gives a
+null frame plus the error text in `frames`; other columns are ignored; an empty table gives an
 empty result.
 """
 
@@ -29,6 +30,8 @@ WIDTH = 192
 ROWS = 192
 DELAY_CS = 10  # hundredths of a second each stored frame is shown
 _MAX_CODES = 4096
+#: Frames and canvases of more pixels are errors: a few bytes can declare gigabytes.
+MOST_PIXELS = 1 << 25
 
 
 def _widths(first_size: int, clear: int, count: int) -> np.ndarray:
@@ -165,7 +168,7 @@ class Frame:
     disposal: int
     transparent: int | None
     indices: np.ndarray  # height x width palette indices
-    canvas: np.ndarray  # screen height x width x 4, RGBA after this frame is drawn
+    canvas: np.ndarray  # RGBA after this frame is drawn, as far as the frames reach on the screen
 
 
 def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
@@ -204,11 +207,34 @@ def decode(data: bytes) -> Iterator[Frame]:
         raise ValueError("GIF ends early") from None
 
 
+def _covered(data: bytes, at: int) -> tuple[int, int]:
+    """The right and lower edge of all frames, from the block structure alone."""
+    right = below = 0
+    while at < len(data) and data[at] in (0x21, 0x2C):
+        if data[at] == 0x21:
+            at += 2
+        else:
+            left, top, fw, fh = (int.from_bytes(data[at + 1 + i : at + 3 + i], "little") for i in (0, 2, 4, 6))
+            if fw * fh > MOST_PIXELS:
+                raise ValueError(f"GIF frame of {fw} x {fh} pixels")
+            right, below = max(right, left + fw), max(below, top + fh)
+            flags = data[at + 9]
+            at += 11 + (3 * (2 << (flags & 7)) if flags & 0x80 else 0)
+        while at < len(data) and data[at]:
+            at += data[at] + 1
+        at += 1
+    return right, below
+
+
 def _frames(data: bytes) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("no GIF header")
     w, h, flags = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little"), data[10]
     common, at = _palette(data, 13, flags)
+    right, below = _covered(data, at)
+    w, h = min(w, right), min(h, below)
+    if w * h > MOST_PIXELS:
+        raise ValueError(f"GIF canvas of {w} x {h} pixels")
     canvas = np.zeros((h, w, 4), np.uint8)
     clock, delay, disposal, transparent = 0, 0, 0, None
     while True:

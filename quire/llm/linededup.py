@@ -12,10 +12,15 @@ end, at a line.  A run of LONG_LINE words or more is covered by the windows insi
 those are depends on its own lines only; so every run that occurs again goes whole, in whatever
 context, but for blank lines at its edges.  `dedup` is the chunks alone.
 
+Only documents that lose something meet what they lose in a shuffle; a Bloom filter lets the others
+pass, and decides nothing.
+
 Edge cases: null text stays null and has no chunks; empty texts, and documents of one short line,
-are left alone; where `dedup_runs` leaves blank lines only, the empty text remains; rows of one doc_id and place count as one occurrence, so exact repeats of a row
-are treated alike; a null doc_id comes last; texts of any length are cut whole; all columns of the
-input, whatever their names, are kept; an empty table gives an empty result.
+are left alone; where `dedup_runs` leaves blank lines only, the empty text remains; a document is
+known by its doc_id and a hash of its text, so repeats of a row count as one occurrence and are
+treated alike, while rows that share a doc_id, null or not, and differ in text are documents each,
+ordered by that hash; a null doc_id comes last; texts of any length are cut whole; all columns of
+the input, whatever their names, are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -109,16 +114,20 @@ def pieces(text: str) -> list[tuple[int, int, bytes | memoryview]]:
 
 
 def _rows(src: DataFrame, cut: Callable, sieve=None, with_data: bool = False) -> DataFrame:
-    """(id, at, lines, h1, h2[, data]) of every piece, or of those that pass the sieve; batches are cut by their bytes."""
+    """(id, tag, at, lines, h1, h2[, data]) of every piece, or of those that pass the sieve; batches are cut by their bytes."""
     ship(src.sparkSession)
     names = [("at", pa.int64()), ("lines", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), *([("data", pa.binary())] if with_data else [])]
 
     def run(batches):
         for b in sliced(batches):
-            fields = [("id", b.schema.field(0).type), *names]
+            fields = [("id", b.schema.field(0).type), ("tag", pa.int64()), *names]
             cols, held = [[] for _ in range(len(names) + 1)], 0
-            out = lambda: batch_of(fields, [b.column(0).take(pa.array(cols[0], pa.int64())), *cols[1:]])  # noqa: E731, B023
-            for i, t in enumerate(b.column(1).to_pylist()):
+
+            def out():
+                rows = pa.array(cols[0], pa.int64())  # noqa: B023
+                return batch_of(fields, [b.column(0).take(rows), b.column(1).take(rows), *cols[1:]])  # noqa: B023
+
+            for i, t in enumerate(b.column(2).to_pylist()):
                 found = [(first, lines, *_hashes(data), data) for first, lines, data in cut(t)]
                 if sieve is not None and found:
                     found = [x for x, may in zip(found, maybe(sieve.value, [x[2] for x in found])) if may]
@@ -133,17 +142,17 @@ def _rows(src: DataFrame, cut: Callable, sieve=None, with_data: bool = False) ->
                 yield out()
 
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(run, f"id {kind}, at bigint, lines bigint, h1 bigint, h2 bigint" + ", data binary" * with_data)
+    return src.mapInArrow(run, f"id {kind}, tag bigint, at bigint, lines bigint, h1 bigint, h2 bigint" + ", data binary" * with_data)
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: Callable = counted) -> DataFrame:
-    """(id, removed array<struct<at, lines, h1, h2>>): the pieces that go, for documents that lose any."""
-    src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(F.col("text").isNotNull())
+    """(id, tag, removed array<struct<at, lines, h1, h2>>): the pieces that go, for documents that lose any."""
+    src = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("tag"), docs[text_col].alias("text")).where(F.col("text").isNotNull())
     again = checkpoint(_rows(src, cut).groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1"))
     sieve = bloom_of(again, "h1")
     seen = checkpoint(_rows(src, cut, sieve))
     # The bytes are compared by grouping on them; one row per task and piece is shuffled.
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "at")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "tag", "at")
     same = _rows(src, cut, sieve, with_data=True).groupBy("h1", "h2", "data").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
     # Two contents under one 128-bit hash: neither is removed.
     repeated = checkpoint(
@@ -154,7 +163,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut:
     pair = F.struct("h1", "h2")
     met = heavy_aware_join(seen.withColumn("pair", pair), repeated.select(pair.alias("pair"), "n", "first"), "pair", "n", total)
     gone = met.where("first is not null").where(~(place.eqNullSafe(F.col("first"))))
-    return gone.groupBy("id").agg(F.collect_set(F.struct("at", "lines", "h1", "h2")).alias("removed"))
+    return gone.groupBy("id", "tag").agg(F.collect_set(F.struct("at", "lines", "h1", "h2")).alias("removed"))
 
 
 def strip(text: str, removed: set[tuple[int, int, int, int]], cut: Callable = counted) -> tuple[str, int]:
@@ -182,13 +191,22 @@ def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _without(docs: DataFrame, gone: DataFrame, strip: Callable, id_col: str, text_col: str, length_col: str | None) -> DataFrame:
-    gone = gone.withColumnsRenamed({"id": "dedup id", "removed": "dedup removed"})
-    met = docs.join(gone, docs[id_col].eqNullSafe(gone["dedup id"]), "left").drop("dedup id")
+    gone = checkpoint(gone.withColumnsRenamed({"id": "dedup id", "tag": "dedup tag", "removed": "dedup removed"}))
+    sieve = bloom_of(gone, "dedup tag")
+    tagged = docs.withColumn("dedup mark", F.xxhash64(docs[text_col]))
     names = docs.columns
     text_at = names.index(text_col)
     length_at = names.index(length_col) if length_col in names else None
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
+    def split(wanted: bool):
+        def run(batches):
+            for b in sliced(batches):
+                may = maybe(sieve.value, b.column(len(names)).to_numpy())
+                yield b.filter(pa.array(may == wanted))
+
+        return run
+
     def run(batches):
         for b in sliced(batches):
             texts, marks = b.column(text_at).to_pylist(), b.column(len(names)).to_pylist()
@@ -204,4 +222,7 @@ def _without(docs: DataFrame, gone: DataFrame, strip: Callable, id_col: str, tex
             fields = [b.schema.field(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], schema=pa.schema([*fields, pa.field("n_removed", pa.int64())]))
 
-    return met.mapInArrow(run, f"{schema}, n_removed bigint")
+    some = tagged.mapInArrow(split(True), tagged.schema)
+    met = some.join(gone, some[id_col].eqNullSafe(gone["dedup id"]) & (some["dedup mark"] == gone["dedup tag"]), "left").drop("dedup id", "dedup tag", "dedup mark")
+    rest = tagged.mapInArrow(split(False), tagged.schema).select(*(F.col(f"`{n}`") for n in names), F.lit(0).cast("long").alias("n_removed"))
+    return met.mapInArrow(run, f"{schema}, n_removed bigint").union(rest)

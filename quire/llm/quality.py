@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Which ones is decided by a hash of their id, so the sample is the same on every run.
     """
     mark = F.xxhash64("id")
-    known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
+    known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("double").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0.0, 1.0) & ~held_out(F.col("id")))
     sample = known.groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).orderBy(mark, "id").limit(max_train)
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(sample), "id").select("id", "y", "text")
 

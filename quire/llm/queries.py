@@ -87,6 +87,4 @@ l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.b, reach.root FROM reach JOIN l ON l.a = reach.node)
 SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, min(reach.root) AS component_id FROM g JOIN reach ON reach.node = g.doc_id GROUP BY g.doc_id, len(g.s)
 """,
-    "op6_token_counts": None,
 }
-SQL = {k: v for k, v in SQL.items() if v}

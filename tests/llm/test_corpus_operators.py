@@ -270,6 +270,23 @@ def test_repeated_runs_edges(spark, wide_docs, no_docs):
     assert [r.text.split() for r in got if not r.doc_id] == [["own"]]
 
 
+def test_line_dedup_of_null_and_repeated_ids(spark):
+    passage = "\n".join(" ".join(f"p{i}x{j}" for j in range(20)) for i in range(4))
+    rows = [(None, f"{passage}\nown {k}") for k in range(40)] + [(7, f"{passage}\nother {k}") for k in range(5)] + [(None, f"{passage}\nown 3")]
+    frame = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], DOCS).repartition(3)
+    got = linededup.dedup_runs(frame).collect()
+    whole = [r for r in got if "p0x0" in r.text]
+    assert [r.doc_id for r in whole] == [7]  # the smallest document; null ids come last
+    tails = [t.split("\n")[-1] for _, t in rows]
+    tails.remove(whole[0].text.split("\n")[-1])
+    assert sorted(r.text for r in got if r is not whole[0]) == sorted(tails)
+
+
+def test_only_affected_documents_are_shuffled(lined):
+    plan = linededup.dedup_runs(lined)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan
+
+
 def test_long_lines_parted_by_tabs(spark):
     long = "\t".join(f"t{i}" for i in range(60))
     rows = [(k, f"own {k}\n{long}\nlast {k}", "en", "s", 1) for k in range(3)]
@@ -325,6 +342,14 @@ def test_quality_edges(labelled, docs, wide_docs, no_docs):
     assert same(kept.select("doc_id", "text").collect(), wide_docs.join(quality.score(wide_docs, trees).where("predicted = 1").select(F.col("doc_id").alias("k")).distinct(), F.expr("doc_id <=> k")).select("doc_id", "text").collect())
 
 
+def test_labels_are_compared_as_they_are(labelled):
+    docs, labels = labelled
+    odd = labels.withColumn("quality", F.col("quality").cast("double"))
+    odd = odd.unionByName(labels.select("doc_id", F.when(F.col("quality") == 1, 0.9).otherwise(1.7).alias("quality"), "toxic"))
+    x = np.random.default_rng(2).normal(size=(20, len(quality.STATISTICS)))
+    assert (quality.fit(docs, odd).score(x) == quality.fit(docs, labels).score(x)).all()
+
+
 def test_trees_walk_like_plain_ones():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 5))

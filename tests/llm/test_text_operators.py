@@ -156,6 +156,64 @@ def test_damaged_gifs(spark):
     assert got[5] is None and all(got[i] for i in (1, 2, 3, 4))
 
 
+def test_gif_screens_and_frames_that_only_declare_size(spark):
+    screen = (60_000).to_bytes(2, "little")
+    good = handmade([(0, 0, 3, 2, [0] * 6, 1, None, False)])
+    wide = good[:6] + screen + screen + good[10:]  # a large screen of which a frame covers little
+    (frame,) = gif.decode(wide)
+    assert frame.canvas.shape == (2, 3, 4) and gif.histogram(frame.canvas).sum() == 6
+    at = good.index(b"\x2c")
+    bomb = wide[: at + 5] + screen + screen + wide[at + 9 :]
+    corner = wide[: at + 1] + (59_000).to_bytes(2, "little") * 2 + wide[at + 5 :]
+    got = {r.doc_id: (r.frame, r.error) for r in gif.frames(spark.createDataFrame([(1, bomb), (2, corner), (3, good)], "doc_id bigint, gif binary")).collect()}
+    assert got[1][0] is None and "60000" in got[1][1] and got[2][0] is None and "canvas" in got[2][1] and got[3] == (0, None)
+
+
+def plain_lzw(stream):
+    """Samples of an eight-bit code stream, read bit by bit from a table of strings; shares nothing with the decoder."""
+    bits = "".join(f"{b:08b}"[::-1] for b in stream)
+    at, width, table, last, out = 0, 9, {}, None, []
+    while True:
+        code = int(bits[at : at + width][::-1], 2)
+        at += width
+        if code == 256:
+            table, width, last = {i: bytes([i]) for i in range(256)} | {256: b"", 257: b""}, 9, None
+        elif code == 257:
+            return b"".join(out)
+        else:
+            entry = table[code] if code in table else last + last[:1]
+            if last is not None and len(table) < 4096:
+                table[len(table)] = last + entry[:1]
+            out.append(entry)
+            last = entry
+            if len(table) == 1 << width and width < 12:
+                width += 1
+
+
+def test_gif_features_by_another_reader(spark):
+    texts = ["", "abc", "é" * 300, " ".join(f"w{i * i}" for i in range(9000)), None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    stored = {r.doc_id: bytes(r.gif) for r in gif.store(frame).collect()}
+    for r in gif.digests(frame).collect():
+        data, payload, at, frames = stored[r.doc_id], b"", 13 + 768, 0
+        while data[at] != 0x3B:
+            assert data[at : at + 4] == b"\x21\xf9\x04\x04" and data[at + 8] == 0x2C
+            rows, at, stream = int.from_bytes(data[at + 15 : at + 17], "little"), at + 19, b""
+            while data[at]:
+                stream += data[at + 1 : at + 1 + data[at]]
+                at += data[at] + 1
+            at += 1
+            part = plain_lzw(stream)
+            assert len(part) == rows * 192
+            payload, frames = payload + part, frames + 1
+        grey = [0] * 64
+        for b, n in zip(*np.unique(np.frombuffer(payload, np.uint8), return_counts=True)):
+            grey[(int(b) >> 6) * 21] += int(n)
+        feature = f"frames={frames};cs={frames * 10};hist=" + ",".join(f"{i}:{c}" for i, c in enumerate(grey) if c)
+        assert payload.rstrip(b" ") == (texts[r.doc_id] or "").encode().rstrip(b" ")
+        assert (r.feature, r.media_bytes, r.media_sha256) == (feature, len(data), hashlib.sha256(data).hexdigest())
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">Menu one</a></li></ul></nav><!-- <p>hidden</p> -->
 <div class="cookie-notice">We use cookies on this site to make it better for you and for everybody else who comes here</div>
