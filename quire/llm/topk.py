@@ -1,43 +1,69 @@
 """Exact top-k inner products by a KD-tree per shard.
 
-Vectors are dealt evenly into shards; each becomes a KD-tree (median splits, tight bounding
-boxes).  A query visits the nodes of a tree best first by the largest inner product that the
-node's box allows and stops once that falls below its k-th best score.  Each query first searches
-one shard; the k-th score found there travels with it to all the others and prunes them.
+A coarse KD partition of a bounded sample cuts the space into cells; a cell of many vectors is dealt
+into several shards.  Each shard becomes a KD-tree (median splits, tight bounding boxes).  A query
+visits the nodes of a tree best first by the largest inner product that the node's box allows and
+stops once that falls below its k-th best score.  Each query first searches one shard of the cell
+whose box allows it most; the k-th score found there travels with it to the shards of all the cells
+whose boxes allow as much, and to no others.
+
+A tree is unpickled once for each GROUP queries that meet it; neither trees nor queries are copied
+into rows of pairs.  Results do not depend on the sample, the cells or the shards.
 
 Edge cases: vectors that are null, or hold a null or non-finite component, take no part, nor do
-rows with a null id; a vector is compared with vectors of its own length only; rows of the query's
-id are its own and no candidates; other repeated rows are candidates each; ties go to the smaller
-id; fewer candidates than k are all returned; extra columns are ignored; no vectors, no rows.
-Scores are exact; one that 64 bits cannot hold counts as the largest that they can.
+rows with a null id; a vector is compared with vectors of its own length only; every row but the
+query's own is a candidate, also one that repeats its id; every row that is a query has its own
+result; ties go to the smaller id; fewer candidates than k are all returned; extra columns are
+ignored; no vectors, no rows.  Scores are exact; one that 64 bits cannot hold counts as the largest
+that they can.
 """
 
 from __future__ import annotations
 
 import heapq
 import pickle
-from collections import defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import batch_of
+from quire.llm.common import batch_of, heavy_aware_join, sliced
 from quire.runtime import checkpoint, ship
 
+#: Rows of a shard: at least the first, and the second where there are very many.
 SHARD_ROWS = 8192
-BLOCK = 256
+MOST_SHARD_ROWS = 65_536
+#: Queries that a tree meets at once.
+GROUP = 4096
 LEAF = 128
+#: Cells of the coarse partition for each vector length, lengths that have one, and rows that it is made from.
+CELLS = 256
+LENGTHS = 16
+SAMPLE = 16_384
+#: Tables of cells up to this many rows are broadcast.
+_SMALL = 20_000
 _EXACT = 1 << 53
 _LARGEST = (1 << 63) - 1
 
 
+def _kind(query: np.ndarray, largest: int):
+    """float64 where products and sums of such integers are exact, and BLAS is fast; else Python integers."""
+    return np.float64 if int(np.abs(query).max(initial=0)) * max(1, largest) * max(1, query.shape[1]) < _EXACT else object
+
+
+def allowed(query: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """For each query row and box the largest inner product that the box allows."""
+    kind = _kind(query, int(max(np.abs(lo).max(initial=0), np.abs(hi).max(initial=0))))
+    q = query.astype(kind)
+    return np.maximum(q, 0) @ hi.astype(kind).T + np.minimum(q, 0) @ lo.astype(kind).T
+
+
 class KDTree:
     """Rows reordered by leaf; nodes as arrays with boxes, children (-1: leaf) and row ranges."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, uids: np.ndarray | None = None):
         order = np.arange(len(ids))
         lo, hi, kids, span = [], [], [], []
         stack = [(0, len(ids), -1, 0)]
@@ -57,6 +83,7 @@ class KDTree:
                 order[a:b] = order[a:b][np.argpartition(part[:, axis], mid, kind="introselect")]
                 stack += [(a, a + mid, me, 0), (a + mid, b, me, 1)]
         self.ids, self.rows = ids[order], rows[order]
+        self.uids = self.ids if uids is None else uids[order]
         if np.abs(rows).max(initial=0) < 1 << 31:
             self.rows = self.rows.astype(np.int32)
         self.lo, self.hi, self.kids, self.span = np.array(lo), np.array(hi), np.array(kids), span
@@ -65,14 +92,11 @@ class KDTree:
     def search(self, query: np.ndarray, own: np.ndarray, kth: list, k: int) -> list[list[tuple[int, int]]]:
         """For each query row its best (score, id) here that can still be among its k best.
 
-        `kth` holds, per query, the k-th best score known so far, or None.
+        `kth` holds, per query, the k-th best score known so far, or None; `own` the row that it is.
         """
-        if int(np.abs(query).max(initial=0)) * max(1, self.largest) * max(1, query.shape[1]) < _EXACT:
-            kind = np.float64  # products and sums of such integers are exact, and BLAS is fast
-        else:
-            kind = object
+        kind = _kind(query, self.largest)
         q, rows = query.astype(kind), self.rows.astype(kind)
-        bound = np.maximum(q, 0) @ self.hi.astype(kind).T + np.minimum(q, 0) @ self.lo.astype(kind).T
+        bound = allowed(query, self.lo, self.hi)
         found = []
         for i in range(len(q)):
             best: list[tuple[int, int]] = []  # a heap of (score, -id): its root is the worst kept
@@ -88,13 +112,10 @@ class KDTree:
                     heapq.heappush(todo, (-bound[i, right], right))
                     continue
                 a, b = self.span[node]
-                score, ids = rows[a:b] @ q[i], self.ids[a:b]
-                if floor is not None:
-                    near = np.flatnonzero((score >= floor) & (ids != own[i]))
-                else:
-                    near = np.flatnonzero(ids != own[i])
-                for j in near.tolist():
-                    item = (int(score[j]), -int(ids[j]))
+                score = rows[a:b] @ q[i]
+                other = self.uids[a:b] != own[i]
+                for j in np.flatnonzero(other if floor is None else other & (score >= floor)).tolist():
+                    item = (int(score[j]), -int(self.ids[a + j]))
                     if len(best) < k:
                         heapq.heappush(best, item)
                     elif item > best[0]:
@@ -105,23 +126,48 @@ class KDTree:
         return found
 
 
-def _packed(batches, size: int | None, make):
-    """Rows (id, v) of a partition, by vector length, packed `size` at a time (None: all at once)."""
-    held: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
+class Cells:
+    """A coarse KD partition: medians of the widest axis until there are `count` cells."""
+
+    def __init__(self, rows: np.ndarray, count: int):
+        self.axis, self.cut, self.kids, self.cell = [], [], [], []
+        todo = [(rows, count, -1, 0)]
+        cells = 0
+        while todo:
+            part, want, parent, side = todo.pop()
+            me = len(self.axis)
+            if parent >= 0:
+                self.kids[parent][side] = me
+            width = part.max(axis=0) - part.min(axis=0) if len(part) else np.zeros(0)
+            axis = int(width.argmax()) if len(width) else 0
+            cut = int(np.sort(part[:, axis])[(len(part) - 1) // 2]) if len(width) else 0
+            right = part[:, axis] > cut if len(width) else np.zeros(0, bool)
+            inner = want > 1 and right.any()
+            self.axis.append(axis), self.cut.append(cut), self.kids.append([me, me]), self.cell.append(-1 if inner else cells)
+            if inner:
+                todo += [(part[~right], want // 2, me, 0), (part[right], want - want // 2, me, 1)]
+            else:
+                cells += 1
+        self.axis, self.cut, self.kids, self.cell = map(np.array, (self.axis, self.cut, self.kids, self.cell))
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(rows), np.int64)
+        if not rows.shape[1]:
+            return at
+        here = np.arange(len(rows))
+        while (self.cell[at] < 0).any():
+            at = self.kids[at, (rows[here, self.axis[at]] > self.cut[at]).astype(int)]
+        return self.cell[at]
 
-    def flush(dim):
-        ids, rows = held.pop(dim)
-        return make(np.array(ids, np.int64), np.array(rows, np.int64).reshape(len(ids), dim))
 
-    for b in batches:
-        for key, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            ids, rows = held[len(v)]
-            ids.append(key)
-            rows.append(v)
-            if size and len(ids) >= size:
-                yield len(v), flush(len(v))
-    for dim in sorted(held):
-        yield dim, flush(dim)
+def _by_length(ids, vecs):
+    """(length, places, matrix) of the vectors of each length in an Arrow list column."""
+    offsets = vecs.offsets.to_numpy()
+    flat = vecs.values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+    size = np.diff(offsets)
+    for dim in np.unique(size).tolist():
+        at = np.flatnonzero(size == dim)
+        yield dim, at, flat[offsets[at][:, None] + np.arange(dim)]
 
 
 def vectors(embeddings: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -131,59 +177,130 @@ def vectors(embeddings: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return embeddings.where(fine).select(embeddings[id_col].cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * 1024.0)).alias("v"))
 
 
+_SHARD = ["dim", "cell", "sub"]
+
+
 def top_k(embeddings: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, id, score) for every row that `is_query` (a function of the id column) picks."""
     ship(embeddings.sparkSession)
-    all_rows = vectors(embeddings, id_col, vec_col)
-    shards = max(1, -(-all_rows.count() // shard_rows))
+    spark = embeddings.sparkSession
+    read = vectors(embeddings, id_col, vec_col)
+    total = read.count()
+    shard_rows = max(shard_rows, min(MOST_SHARD_ROWS, total // CELLS))
 
-    def build(batches):
-        shard = TaskContext.get().partitionId()
-        for dim, tree in _packed(batches, None, KDTree):
-            yield batch_of([("shard", pa.int32()), ("dim", pa.int32()), ("tree", pa.binary())], [[shard], [dim], [pickle.dumps(tree, 5)]])
+    # Cells from a sample of bounded size, of the most frequent vector lengths.
+    sample = read.orderBy(F.xxhash64(F.monotonically_increasing_id())).limit(SAMPLE).select("v").collect()
+    lengths = Counter(len(r.v) for r in sample).most_common(LENGTHS)
+    wanted = max(1, min(CELLS, -(-total // shard_rows)))
+    coarse = spark.sparkContext.broadcast({dim: Cells(np.array([r.v for r in sample if len(r.v) == dim], np.int64).reshape(n, dim), wanted) for dim, n in lengths})
 
-    def block(batches):
-        for dim, packed in _packed(batches, BLOCK, lambda ids, rows: (ids, rows)):
-            yield batch_of([("dim", pa.int32()), ("queries", pa.binary())], [[dim], [pickle.dumps(packed, 5)]])
+    def assign(batches):
+        for b in sliced(batches):
+            dims, cells = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows, np.int32)
+            for dim, at, rows in _by_length(b.column(0), b.column(1)):
+                dims[at] = dim
+                if dim in coarse.value:
+                    cells[at] = coarse.value[dim].of(rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(dims), pa.array(cells)], names=["id", "v", "uid", "dim", "cell"])
 
-    trees = checkpoint(all_rows.repartition(shards).mapInArrow(build, "shard int, dim int, tree binary"))
-    blocks = checkpoint(all_rows.where(is_query(F.col("id"))).dropDuplicates().mapInArrow(block, "dim int, queries binary").withColumn("block", F.xxhash64("queries")))
-    # Where each block begins: a shard picked by its hash.
-    placed = blocks.withColumn("home", F.pmod("block", F.lit(shards)).cast("int"))
+    numbered = read.withColumn("uid", F.monotonically_increasing_id())
+    celled = checkpoint(numbered.mapInArrow(assign, "id bigint, v array<bigint>, uid bigint, dim int, cell int"))
+    sizes = checkpoint(celled.groupBy("dim", "cell").agg(F.count("*").alias("n")).withColumn("subs", F.ceil(F.col("n") / shard_rows)))
+    sizes = F.broadcast(sizes) if sizes.count() <= _SMALL else sizes
+    deal = F.pmod(F.xxhash64("uid"), F.col("subs")).cast("int").alias("sub")
+
+    def build(key, table):
+        dim, rows = key[0].as_py(), table.column("v").combine_chunks()
+        (_, _, matrix), *_ = _by_length(None, rows)
+        tree = KDTree(table.column("id").to_numpy(), matrix, table.column("uid").to_numpy())
+        return pa.table({"dim": pa.array([dim], pa.int32()), "cell": [key[1].as_py()], "sub": [key[2].as_py()], "lo": [tree.lo[0].tolist()], "hi": [tree.hi[0].tolist()], "tree": [pickle.dumps(tree, 5)]}, schema=_arrow("dim cell sub lo hi tree"))
+
+    key = F.struct("dim", "cell")
+    sized = heavy_aware_join(celled.withColumn("key", key), sizes.select(key.alias("key"), "n", "subs"), "key", "n", total)
+    trees = checkpoint(sized.select("id", "v", "uid", "dim", "cell", deal).groupBy(*_SHARD).applyInArrow(build, "dim int, cell int, sub int, lo array<bigint>, hi array<bigint>, tree binary"))
+
+    # The box of each cell, of the lengths that have several: at most LENGTHS * CELLS boxes.
+    listed = [dim for dim, _ in lengths]
+    sides = trees.where(F.col("dim").isin(listed)).select("dim", "cell", F.posexplode(F.arrays_zip("lo", "hi")).alias("axis", "side"))
+    sides = sides.groupBy("dim", "cell", "axis").agg(F.min("side.lo").alias("lo"), F.max("side.hi").alias("hi"))
+    side = F.sort_array(F.collect_list(F.struct("axis", "lo", "hi")))
+    found = sides.groupBy("dim", "cell").agg(side.alias("sides")).collect()
+    boxes = {}
+    for dim in {r.dim for r in found}:
+        mine = sorted((r for r in found if r.dim == dim), key=lambda r: r.cell)
+        lo, hi = (np.array([[s[i] for s in r.sides] for r in mine], np.int64).reshape(len(mine), dim) for i in (1, 2))
+        boxes[dim] = (np.array([r.cell for r in mine], np.int32), lo, hi)
+    boxes = spark.sparkContext.broadcast(boxes)
+
+    def homes(batches):
+        """The queries with the cell whose box allows them most."""
+        for b in sliced(batches):
+            cells = np.zeros(b.num_rows, np.int32)
+            for dim, at, rows in _by_length(b.column(0), b.column(1)):
+                if dim in boxes.value:
+                    names, lo, hi = boxes.value[dim]
+                    cells[at] = names[allowed(rows, lo, hi).argmax(axis=1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(cells)], names=["id", "v", "uid", "dim", "cell"])
+
+    def others(batches):
+        """Each query with every cell whose box allows its k-th score."""
+        for b in sliced(batches, 256):
+            floors = b.column(6).to_pylist()
+            for dim, at, rows in _by_length(b.column(0), b.column(1)):
+                if dim in boxes.value:
+                    names, lo, hi = boxes.value[dim]
+                    bound = allowed(rows, lo, hi)
+                    far = [np.flatnonzero(bound[i] >= floors[p]) if floors[p] is not None else np.arange(len(names)) for i, p in enumerate(at.tolist())]
+                else:
+                    names, far = np.zeros(1, np.int32), [np.zeros(1, np.int64)] * len(at)
+                which = pa.array(np.repeat(at, [len(f) for f in far]))
+                if len(which):
+                    cell = pa.array(names[np.concatenate(far)], pa.int32())
+                    id_, v, uid, dims, home_cell, home, floor = (c.take(which) for c in b.columns)
+                    yield pa.RecordBatch.from_arrays([id_, v, uid, dims, cell, home_cell, home, floor], names=["id", "v", "uid", "dim", "cell", "home_cell", "home", "floor"])
 
     def hunt(pairs: DataFrame) -> DataFrame:
-        """The best of each (shard, block) pair; `floors` is the pickled list of known k-th scores, or null."""
-
-        def run(batches):
-            for b in batches:
-                cols = [b.column(b.schema.get_field_index(c)) for c in ("tree", "queries", "floors")]
-                for tree, queries, floors in zip(*cols):
-                    ids, rows = pickle.loads(queries.as_py())
-                    known = dict(pickle.loads(floors.as_py())) if floors.as_py() else {}
-                    got = pickle.loads(tree.as_py()).search(rows, ids, [known.get(i) for i in ids.tolist()], k)
-                    flat = [(q, n, max(-_LARGEST, min(_LARGEST, s))) for q, best in zip(ids.tolist(), got) for s, n in best]
-                    if flat:
-                        yield batch_of([("query_id", pa.int64()), (id_col, pa.int64()), ("score", pa.int64())], list(map(list, zip(*flat))))
-
-        return pairs.select("tree", "queries", "floors").mapInArrow(run, f"query_id bigint, `{id_col}` bigint, score bigint")
-
-    first = checkpoint(hunt(placed.join(trees.withColumnRenamed("shard", "home"), ["dim", "home"]).withColumn("floors", F.lit(None).cast("binary"))))
-    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
-
-    def pack_floors(key, table):
-        pairs = list(zip(table.column("query_id").to_pylist(), table.column("floor").to_pylist()))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "floors": pa.array([pickle.dumps(pairs, 5)], pa.binary())})
-
-    def members(batches):
-        for b in batches:
-            for blk, queries in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = pickle.loads(queries)[0]
-                yield batch_of([("block", pa.int64()), ("query_id", pa.int64())], [[blk] * len(ids), ids])
-
-    of_block = blocks.select("block", "queries").mapInArrow(members, "block bigint, query_id bigint").join(kth, "query_id")
-    floors = of_block.groupBy("block").applyInArrow(pack_floors, "block bigint, floors binary")
-    rest = placed.join(floors, "block", "left").select("dim", "queries", "floors", "home", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).where("shard <> home").join(trees, ["dim", "shard"])
-    every = first.unionByName(hunt(rest))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
+        """The best of each query, whose k-th score so far is `floor`, in its shard; very busy shards are searched in several groups."""
+
+        def run(tree_table, queries):
+            rows = []
+            if tree_table.num_rows and queries.num_rows:
+                tree = pickle.loads(tree_table.column("tree")[0].as_py())
+                (_, _, matrix), *_ = _by_length(None, queries.column("v").combine_chunks())
+                uids, ids = queries.column("uid").to_numpy(), queries.column("id").to_pylist()
+                for uid, i, best in zip(uids.tolist(), ids, tree.search(matrix, uids, queries.column("floor").to_pylist(), k)):
+                    rows += [(uid, i, n, max(-_LARGEST, min(_LARGEST, s))) for s, n in best]
+            cols = list(map(list, zip(*rows))) or [[]] * 4
+            return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("uid", "query_id", "id", "score"), cols)})
+
+        pairs = checkpoint(pairs)
+        load = pairs.groupBy(*_SHARD).agg(F.count("*").alias("q")).withColumn("groups", F.ceil(F.col("q") / GROUP))
+        busy = load.where("groups > 1")
+        if busy.isEmpty():
+            spread, copies = pairs.withColumn("group", F.lit(0).cast("long")), trees.join(load.select(*_SHARD), _SHARD, "left_semi").withColumn("group", F.lit(0).cast("long"))
+        else:
+            shard = F.struct(*_SHARD)
+            met = heavy_aware_join(pairs.withColumn("shard", shard), load.select(shard.alias("shard"), "q", "groups"), "shard", "q", pairs.count())
+            spread = met.withColumn("group", F.pmod(F.xxhash64("uid"), F.col("groups"))).drop("shard", "q", "groups")
+            copies = trees.join(load, _SHARD).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+        keys = [*_SHARD, "group"]
+        left, right = copies.select(*keys, "tree").groupBy(*keys), spread.select(*keys, "id", "v", "uid", "floor").groupBy(*keys)
+        return left.cogroup(right).applyInArrow(run, "uid bigint, query_id bigint, id bigint, score bigint")
+
+    queries = celled.where(is_query(F.col("id")))
+    home = queries.select("id", "v", "uid", "dim", "cell").mapInArrow(homes, "id bigint, v array<bigint>, uid bigint, dim int, cell int").join(sizes, ["dim", "cell"])
+    home = checkpoint(home.select("id", "v", "uid", "dim", "cell", deal))
+    first = checkpoint(hunt(home.withColumn("floor", F.lit(None).cast("long"))))
+    kth = first.groupBy("uid").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k).drop("n")
+    known = home.join(kth, "uid", "left").select("id", "v", "uid", "dim", "cell", F.col("sub").alias("home"), "floor")
+    far = known.mapInArrow(others, "id bigint, v array<bigint>, uid bigint, dim int, cell int, home_cell int, home int, floor bigint").join(sizes, ["dim", "cell"])
+    subs = F.explode(F.sequence(F.lit(0), (F.col("subs") - 1).cast("int"))).alias("sub")
+    far = far.select("id", "v", "uid", "dim", "cell", "home_cell", "home", "floor", subs).where("not (cell = home_cell and sub = home)")
+    every = first.unionByName(hunt(far.select("id", "v", "uid", *_SHARD, "floor")))
+    order = Window.partitionBy("uid").orderBy(F.desc("score"), "id")
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+
 
+def _arrow(names: str) -> pa.Schema:
+    kinds = {"lo": pa.list_(pa.int64()), "hi": pa.list_(pa.int64()), "tree": pa.binary()}
+    return pa.schema([(n, kinds.get(n, pa.int32())) for n in names.split()])

@@ -406,9 +406,10 @@ def test_mined_rules_against_counting(spark):
 def brute_top(rows, step, k):
     out = []
     fine = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    queries = {(i, tuple(v)) for i, v in fine if i % step == 0}
-    for q, v in queries:
-        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in fine if i != q and len(w) == len(v))
+    for own, (q, v) in enumerate(fine):
+        if q % step:
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for other, (i, w) in enumerate(fine) if other != own and len(w) == len(v))
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
     return out
 
@@ -419,11 +420,12 @@ def vectors(seed, n, dim):
     return [(i, (centres[i % 5] + 0.2 * rng.normal(size=dim)).astype(np.float32).tolist()) for i in range(n)]
 
 
-@pytest.mark.parametrize("shard_rows", [64, 100_000])
-def test_top_k(spark, shard_rows):
+@pytest.mark.parametrize("shard_rows, group", [(64, 4096), (64, 3), (100_000, 4096)])
+def test_top_k(spark, monkeypatch, shard_rows, group):
+    monkeypatch.setattr(topk, "GROUP", group)
     rows = vectors(1, 700, 8)
     rows += [(1000 + i, rows[3][1]) for i in range(15)]  # ties
-    rows += [(2000, None), (2010, [1.0, None] * 4), (2020, [float("nan")] * 8), (2030, [float("inf")] * 8), (None, rows[0][1]), (2040, []), (2041, []), (2050, [1.0, 2.0]), (2051, [3.0, -1.0]), (41, rows[41][1])]
+    rows += [(2000, None), (2010, [1.0, None] * 4), (2020, [float("nan")] * 8), (2030, [float("inf")] * 8), (None, rows[0][1]), (2040, []), (2041, []), (2050, [1.0, 2.0]), (2051, [3.0, -1.0]), (41, rows[41][1]), (50, rows[50][1]), (50, rows[51][1])]
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(5)
     got = topk.top_k(frame.withColumn("id", F.lit("x")).withColumn("score", F.lit(1)), lambda i: i % 10 == 0, 10, shard_rows=shard_rows).select("query_id", "rank", "vec_id", "score").collect()
     assert same(got, brute_top(rows, 10, 10))
@@ -440,6 +442,38 @@ def test_top_k_of_nothing(spark):
     assert topk.top_k(frame, lambda i: i % 10 == 0).collect() == []
 
 
+def test_cells_cut_the_space():
+    rng = np.random.default_rng(4)
+    rows = rng.integers(-100, 100, (2000, 6))
+    cells = topk.Cells(rows[:500], 16)
+    of = cells.of(rows)
+    assert set(of.tolist()) == set(range(16)) and np.bincount(cells.of(rows[:500])).min() >= 15
+    same_rows = topk.Cells(np.ones((50, 3), np.int64), 16)
+    assert set(same_rows.of(np.ones((9, 3), np.int64)).tolist()) == {0}
+    assert topk.Cells(np.zeros((5, 0), np.int64), 4).of(np.zeros((2, 0), np.int64)).tolist() == [0, 0]
+    boxes = np.array([rows[of == c].min(axis=0) for c in range(16)]), np.array([rows[of == c].max(axis=0) for c in range(16)])
+    most = topk.allowed(rows[:40], *boxes)
+    for i in range(40):
+        for c in range(16):
+            assert most[i, c] >= (rows[of == c] @ rows[i]).max()
+
+
+def test_boxes_spare_shards(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(8, 4)) * 50
+    rows = [(i, (centres[i % 8] + 0.01 * rng.normal(size=4)).astype(np.float32).tolist()) for i in range(1600)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = topk.top_k(frame, lambda i: i % 100 == 0, 5, shard_rows=100)
+    assert same(got.select("query_id", "rank", "vec_id", "score").collect(), brute_top(rows, 100, 5))
+
+
+def test_one_vector_on_very_many_rows(spark):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(600)] + [(1000 + i, [float(i), 0.5, -1.0]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(4)
+    got = topk.top_k(frame, lambda i: i % 50 == 0, 4, shard_rows=64)
+    assert same(got.select("query_id", "rank", "vec_id", "score").collect(), brute_top(rows, 50, 4))
+
+
 def test_boxes_are_tight():
     tree = topk.KDTree(np.arange(1000), np.random.default_rng(3).integers(-50, 50, (1000, 4)))
     for (a, b), lo, hi in zip(tree.span, tree.lo, tree.hi):
