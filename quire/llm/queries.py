@@ -38,7 +38,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlrules.judge(table(spark, sf_dir, "pages"))
+    return urlrules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -376,9 +377,10 @@ URLS = [
 
 def test_url_rules(spark):
     frame = spark.createDataFrame([(i, u, "x", "y") for i, u, *_ in URLS] + [(1, URLS[0][1], "x", "y")], "page_id bigint, url string, host string, tokens string")
-    got = urlrules.judge(frame, min_support=0.9)
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    got = urlrules.judge(frame, none)
     assert same(got.collect(), [(i, h, p, r, v) for i, _, h, p, r, v in URLS] + [(1, *URLS[0][2:])])
-    assert urlrules.judge(frame.limit(0)).collect() == []
+    assert urlrules.judge(frame.limit(0), none).collect() == []
 
 
 def test_mined_rules_against_counting(spark):
@@ -400,6 +402,67 @@ def test_mined_rules_against_counting(spark):
     assert [r.blocked for r in got] == [any(set(t) <= set(r.tokens) for t, _ in rules) for r in got]
 
 
+def brute_rules(rows, min_support, min_confidence):
+    """Rules by counting every combination of up to MAX_TOKENS tokens, then without those that a part of theirs makes needless."""
+    n, bad = Counter(), Counter()
+    for tokens, blocked in rows:
+        for k in range(1, urlrules.MAX_TOKENS + 1):
+            for combo in combinations(sorted(set(tokens)), k):
+                n[combo] += 1
+                bad[combo] += blocked
+    sure = {c: bad[c] / n[c] for c in n if bad[c] >= min_support * len(rows) and bad[c] >= min_confidence * n[c]}
+    return {c for c in sure if not any(sure.get(part, -1) >= sure[c] for k in range(1, len(c)) for part in combinations(c, k))}
+
+
+def test_judge_end_to_end_and_on_held_out_urls(spark):
+    rng = random.Random(5)
+    hosts = [f"{sub}.{name}.example.net" for sub in ("www", "m") for name in ("win-casino", "cheap-pills", "news", "blog", "wiki", "shop")]
+    rows, marks = [], []
+    for i in range(3000):
+        host, first = rng.choice(hosts), rng.choice(["en", "fr", "deals", "archive"])
+        rows.append((i, f"http://{host}/{first}/{i}{rng.choice(['', '.html', '/', '?page=1'])}"))
+        bad = "casino" in host or "shop" in host and first == "deals"
+        if i % 2:
+            marks.append((i, int(not bad) if rng.random() > 0.02 else int(bad), 0))
+    marks += [(1, None, None), (None, 0, 1), (3, 7, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    labels = spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
+    got = {r.page_id: r for r in urlrules.judge(pages, labels, min_support=0.01).collect()}
+    plain = lambda u: (u.split("://")[1].split("/")[0], "/" + u.split("://")[1].split("/", 1)[1].split("?")[0])
+
+    def tokens(u):
+        host, path = plain(u)
+        names = host.split(".")
+        return ["host:" + ".".join(names[k:]) for k in range(len(names))] + [f"path{k}:{x}" for k, x in enumerate(path.split("/")) if x]
+
+    truth = {i: q == 0 for i, q, _ in marks if i is not None and q in (0, 1)}
+    rules = brute_rules([(tokens(u), truth[i]) for i, u in rows if i in truth], 0.01, urlrules.MIN_CONFIDENCE)
+    assert ("host:win-casino.example.net",) in rules and ("host:shop.example.net", "path1:deals") in rules
+    for i, u in rows:
+        assert got[i].verdict == ("block" if any(set(c) <= set(tokens(u)) for c in rules) else "allow")
+    out = [(got[i].verdict == "block", "casino" in u or "shop" in u and "deals" in u) for i, u in rows if i not in truth]
+    hits = sum(a and b for a, b in out)
+    assert hits / sum(a for a, _ in out) > 0.98 and hits / sum(b for _, b in out) > 0.98
+
+
+def test_mining_of_very_long_paths_is_bounded(spark):
+    rng = random.Random(6)
+    rows = [([f"path{k}:s{k}" for k in range(60)], True) for _ in range(40)]
+    rows += [([f"path{k}:{rng.choice('ab')}" for k in range(rng.randrange(1, 30))], rng.random() < 0.2) for _ in range(160)]
+    frame = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
+    rules = urlrules.mine(frame, 0.02, 0.9)
+    assert {(f"path{k}:s{k}",) for k in range(60)} <= {c for c, _ in rules} and max(len(c) for c, _ in rules) <= urlrules.MAX_TOKENS
+    for c, sure in rules:
+        fit = [blocked for t, blocked in rows if set(c) <= set(t)]
+        assert abs(sure - sum(fit) / len(fit)) < 1e-12 and sum(fit) >= 0.02 * len(rows)
+    short = [r for r in rows if len(r[0]) <= urlrules.ITEMS]
+    got = {c for c, _ in urlrules.mine(spark.createDataFrame(short, "tokens array<string>, blocked boolean"), 0.05, 0.3)}
+    assert got == brute_rules(short, 0.05, 0.3)
+    parts = spark.createDataFrame([("http://h.net/" + "/".join("x" * (k % 7 + 1) for k in range(5000)),), ("http://" + ".".join("abc") + "/" + "z" * 200_000,)], "url string")
+    long = parts.select(urlrules.tokens_of(urlrules.host_of(F.col("url")), urlrules.path_of(F.col("url"))).alias("tokens"), F.lit(True).alias("blocked"))
+    assert all(len(c) <= urlrules.MAX_TOKENS for c, _ in urlrules.mine(long, 0.9, 0.9))
+
+
 # Exact top-k.
 
 
