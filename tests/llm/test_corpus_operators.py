@@ -391,7 +391,7 @@ def test_mined_rules_against_counting(spark):
         rows.append((f"http://{host}/{first}/{rng.randrange(5)}", first == "shop" and host.endswith("site1.net")))
     frame = spark.createDataFrame(rows, "url string, blocked boolean")
     tokens = frame.select(urlrules.tokens_of(urlrules.host_of(F.col("url")), urlrules.path_of(F.col("url"))).alias("tokens"), "blocked")
-    rules = urlrules.mine(tokens, 0.01, 0.95)
+    rules = urlrules.mine(tokens, 0.01, 0.95, 1)
     assert ("host:site1.net", "path1:shop") in [t for t, _ in rules]
     sets = [(set(r.tokens), r.blocked) for r in tokens.collect()]
     for t, sure in rules:
@@ -427,7 +427,7 @@ def test_judge_end_to_end_and_on_held_out_urls(spark):
     marks += [(1, None, None), (None, 0, 1), (3, 7, None)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string")
     labels = spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
-    got = {r.page_id: r for r in urlrules.judge(pages, labels, min_support=0.01).collect()}
+    got = {r.page_id: r for r in urlrules.judge(pages, labels, min_support=0.01, min_urls=1).collect()}
     plain = lambda u: (u.split("://")[1].split("/")[0], "/" + u.split("://")[1].split("/", 1)[1].split("?")[0])
 
     def tokens(u):
@@ -450,17 +450,18 @@ def test_mining_of_very_long_paths_is_bounded(spark):
     rows = [([f"path{k}:s{k}" for k in range(60)], True) for _ in range(40)]
     rows += [([f"path{k}:{rng.choice('ab')}" for k in range(rng.randrange(1, 30))], rng.random() < 0.2) for _ in range(160)]
     frame = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
-    rules = urlrules.mine(frame, 0.02, 0.9)
+    rules = urlrules.mine(frame, 0.02, 0.9, 1)
     assert {(f"path{k}:s{k}",) for k in range(60)} <= {c for c, _ in rules} and max(len(c) for c, _ in rules) <= urlrules.MAX_TOKENS
     for c, sure in rules:
         fit = [blocked for t, blocked in rows if set(c) <= set(t)]
         assert abs(sure - sum(fit) / len(fit)) < 1e-12 and sum(fit) >= 0.02 * len(rows)
+    assert all(sum(blocked for t, blocked in rows if set(c) <= set(t)) >= 20 for c, _ in urlrules.mine(frame, 0.02, 0.9))
     short = [r for r in rows if len(r[0]) <= urlrules.ITEMS]
-    got = {c for c, _ in urlrules.mine(spark.createDataFrame(short, "tokens array<string>, blocked boolean"), 0.05, 0.3)}
+    got = {c for c, _ in urlrules.mine(spark.createDataFrame(short, "tokens array<string>, blocked boolean"), 0.05, 0.3, 1)}
     assert got == brute_rules(short, 0.05, 0.3)
     parts = spark.createDataFrame([("http://h.net/" + "/".join("x" * (k % 7 + 1) for k in range(5000)),), ("http://" + ".".join("abc") + "/" + "z" * 200_000,)], "url string")
     long = parts.select(urlrules.tokens_of(urlrules.host_of(F.col("url")), urlrules.path_of(F.col("url"))).alias("tokens"), F.lit(True).alias("blocked"))
-    assert all(len(c) <= urlrules.MAX_TOKENS for c, _ in urlrules.mine(long, 0.9, 0.9))
+    assert all(len(c) <= urlrules.MAX_TOKENS for c, _ in urlrules.mine(long, 0.9, 0.9, 1))
 
 
 # Exact top-k.
