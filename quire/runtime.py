@@ -5,11 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Folders of the checkpoints made so far, one list for each `materialised` that is under way.
+_MADE: list[list[str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -32,9 +35,38 @@ def ship(spark: SparkSession) -> None:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder of `spark.checkpoint.dir`, so that a lost executor costs no data.
 
-    Only where a session names no folder (tests, notebooks) one is made on this machine.
+    A session on one machine (tests, notebooks) may name no folder, and gets one; a cluster must.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-ckpt-"))
-    return df.checkpoint()
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quire-ckpt-"))
+    out = df.checkpoint()
+    if _MADE and (path := _folder(out)):
+        _MADE[-1].append(path)
+    return out
+
+
+def _folder(checkpointed: DataFrame) -> str | None:
+    """Where a checkpointed frame's rows lie."""
+    file = checkpointed._jdf.logicalPlan().rdd().getCheckpointFile()
+    return file.get() if file.isDefined() else None
+
+
+def materialised(make: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+    """`make()`, checkpointed; the checkpoints that it made on the way are deleted."""
+    _MADE.append([])
+    try:
+        out = checkpoint(make())
+    finally:
+        made = _MADE.pop()
+    keep = _folder(out)
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in {p for p in made if p != keep}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(hadoop).delete(at, True)
+    if _MADE and keep:
+        _MADE[-1].append(keep)
+    return out
