@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import heavy_aware_join
 from quire.runtime import checkpoint
 
 #: 16 MB of edges: what one task may hold.
@@ -44,7 +45,8 @@ def connected(edges: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
 
     Each round maps every node to the smallest id among itself and its neighbours and contracts
     the edges accordingly.  Ids are random, so the number of edges falls by a constant factor a
-    round, long chains included.  Minima are combined before they are shuffled.
+    round, long chains included.  Minima are combined before they are shuffled; nodes of very many
+    edges, and components of very many nodes, are joined apart.
     """
     left = checkpoint(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if left.count() <= at_once:
@@ -52,9 +54,12 @@ def connected(edges: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct().select("node", F.col("node").alias("comp"))
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
-        to = checkpoint(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("comp"), F.least("a", "low").alias("low")))
-        nodes = checkpoint(nodes.join(to, "comp", "left").select("node", F.coalesce("low", "comp").alias("comp")))
-        ends = left.join(to.withColumnsRenamed({"comp": "a", "low": "x"}), "a").join(to.withColumnsRenamed({"comp": "b", "low": "y"}), "b")
+        to = checkpoint(both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")).select(F.col("a").alias("comp"), F.least("a", "low").alias("low"), "n"))
+        held = to.drop("n").join(nodes.groupBy("comp").agg(F.count("*").alias("held")), "comp")
+        nodes = checkpoint(heavy_aware_join(nodes, held, "comp", "held", nodes.count()).select("node", F.coalesce("low", "comp").alias("comp")))
+        total = left.count()
+        x, y = (to.withColumnsRenamed({"comp": c, "low": d, "n": f"n_{d}"}) for c, d in (("a", "x"), ("b", "y")))
+        ends = heavy_aware_join(heavy_aware_join(left, x, "a", "n_x", total), y, "b", "n_y", total)
         left = checkpoint(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     sizes = nodes.groupBy("comp").agg(F.count("*").alias("n"))
-    return checkpoint(nodes.join(sizes, "comp").select("node", "comp", "n"))
+    return checkpoint(heavy_aware_join(nodes, sizes, "comp", "n", nodes.count()).select("node", "comp", "n"))

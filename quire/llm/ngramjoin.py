@@ -13,12 +13,19 @@ boundary between small and large is where enumerating starts to cost more than s
 
 A list of k classes is not expanded into pairs.  Its smallest class is compared with the others
 (a star); lists whose members then lie in one component are done, because further links could not
-change the components.  What remains is gathered into clusters, cut into blocks of BLOCK classes,
-and every two classes of different components that may link are compared in some pair of blocks,
-their overlaps coming from one matrix product.  No link between different components is lost.
+change the components.  Of what remains, classes without enough shared rare shingles to link with
+another component leave again.  The rest is gathered into clusters and cut into blocks of BLOCK
+classes of one band of sizes; blocks meet those of their band and the next within their cluster, for
+linked sizes differ by less than a band, and every two classes of different components that may link
+are compared in some pair of blocks, their overlaps coming from one matrix product.  No link between
+different components is lost.
 
-Shingles are 64-bit hashes and so are classes; for n of them the chance that any two collide is
-n**2 / 2**65.
+Lists longer than HOT_LIST are dealt out by class before they are sorted, and their smallest class is
+broadcast; a class that very many others are compared with has its shingles once for every SPOKES.
+
+A class is known by a 64-bit hash of its set.  A second one is compared for every document; where two
+sets share the first, the second names their classes.  Shingles are 64-bit hashes: for n of them the
+chance that any two collide is n**2 / 2**65, which adds at most one to an overlap.
 
 Edge cases: null, empty and blank texts have the empty set, link with nothing and are their own
 component; fewer than n words make one shingle; repeated rows share a class; a null doc_id takes
@@ -31,7 +38,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +50,12 @@ from quire.llm.bloom import bloom_of, maybe
 from quire.llm.common import batch_of, heavy_aware_join, sliced, union_all
 from quire.llm.graph import connected
 from quire.llm.shingles import mix64, shingle_sets
-from quire.runtime import checkpoint, ship
+from quire.runtime import checkpoint, materialised, ship
 
 WORDS = 5
 #: Jaccard threshold as a fraction.
 NUM, DEN = 4, 5
-BLOCK = 128
+BLOCK = 64
 #: What a list costs at most, in rows: a star replaces its pairs.
 LIST_COST = 16
 
@@ -59,6 +66,11 @@ _SEGMENT = 1 << 14
 #: Prefixes are longer by one shingle in SPARE than one common shingle needs, and so linked sets share as many.
 SPARE = 10
 
+#: Lists that may be longer are dealt out by class.
+HOT_LIST = 1 << 18
+#: Comparisons with one class that share one copy of its shingles.
+SPOKES = 4096
+
 _FIRST, _SECOND, _MUTUAL, _LIST = 0, 1, 2, 3
 
 
@@ -98,12 +110,28 @@ def boundary(list_length: float, num: int = NUM, den: int = DEN) -> int:
     return n
 
 
-def class_of(shingles: np.ndarray) -> int:
-    """One 64-bit id of a non-empty set."""
+def class_of(shingles: np.ndarray, bits: int = 64) -> int:
+    """One 64-bit id of a non-empty set, of which tests may use fewer bits."""
     total = mix64(shingles).sum(dtype=_U, keepdims=True) + np.array([len(shingles)], _U) * _U(0xA24BAED4963EE407)
+    return int((mix64(total) >> _U(64 - bits))[0].astype(np.int64))
+
+
+def second_of(shingles: np.ndarray) -> int:
+    """Another 64-bit id, independent of the first."""
+    total = mix64(shingles * _U(0xD6E8FEB86659FD93) + _U(0x589965CC75374CC3)).sum(dtype=_U, keepdims=True)
     return int(mix64(total)[0].astype(np.int64))
 
 
+def namer(bits: int, shared: frozenset[int]) -> Callable[[np.ndarray], int]:
+    """The name of a set's class, where the ids in `shared` belong to several sets."""
+
+    def name(shingles: np.ndarray) -> int:
+        first = class_of(shingles, bits)
+        return second_of(shingles) if first in shared else first
+
+    return name
+
+
 def _light(shingles: np.ndarray, bound: int, num: int, den: int) -> Iterator[tuple[int, int]]:
     """(signature, role) of a small set's subsets, once for each order of the two sizes."""
     n = len(shingles)
@@ -131,14 +159,15 @@ def _places(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (shingles & _U(_WIDTH - 1)).astype(np.int64), (shingles >> _U(32) & _U(_WIDTH - 1)).astype(np.int64)
 
 
-def prefix(shingles: np.ndarray, counts: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
-    """The rarest shingles of a set, as many as guarantee a common one with any linked set."""
+def prefix(shingles: np.ndarray, counts: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest shingles of a set, as many as guarantee a common one with any linked set, and how often each occurs at most."""
     rare = np.minimum(*(row[at] for row, at in zip(counts, _places(shingles))))
-    return shingles[np.lexsort((shingles, rare))[: prefix_length(len(shingles), num, den)]]
+    first = np.lexsort((shingles, rare))[: prefix_length(len(shingles), num, den)]
+    return shingles[first], rare[first]
 
 
-def _first_pass(words: int):
-    """One row per document (id, n, cls, mark) and, per task, the segments of a counting sketch."""
+def _first_pass(words: int, bits: int):
+    """One row per document (id, n, cls, second, mark) and, per task, the segments of a counting sketch."""
 
     def run(batches):
         counts = np.zeros((2, _WIDTH), np.int64)
@@ -149,11 +178,12 @@ def _first_pass(words: int):
             if sets:
                 for row, at in zip(counts, _places(np.concatenate(sets))):
                     row += np.bincount(at, minlength=_WIDTH)
-            yield _first_batch(b.column(0), [len(s) for s in sets], [class_of(s) if len(s) else None for s in sets], b.column(2))
+            yield _first_batch(b.column(0), [len(s) for s in sets], [class_of(s, bits) if len(s) else None for s in sets], [second_of(s) if len(s) else None for s in sets], b.column(2))
         if kinds is not None:
             parts = counts.reshape(-1, _SEGMENT)
             full = np.flatnonzero(parts.any(axis=1)).tolist()
-            yield _first_batch(pa.nulls(len(full), kinds), [None] * len(full), [None] * len(full), pa.nulls(len(full), pa.int64()), full, [TaskContext.get().partitionId()] * len(full), [_pack(parts[i]) for i in full])
+            none = pa.nulls(len(full), pa.int64())
+            yield _first_batch(pa.nulls(len(full), kinds), none, none, none, none, full, [TaskContext.get().partitionId()] * len(full), [_pack(parts[i]) for i in full])
 
     return run
 
@@ -166,10 +196,10 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), np.int64)
 
 
-def _first_batch(ids, sizes, classes, marks, segments=None, tasks=None, counts=None):
+def _first_batch(ids, sizes, classes, seconds, marks, segments=None, tasks=None, counts=None):
     k = len(ids)
-    fields = [("id", ids.type), ("n", pa.int64()), ("cls", pa.int64()), ("mark", pa.int64()), ("segment", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())]
-    return batch_of(fields, [ids, sizes, classes, marks, segments or [None] * k, tasks or [None] * k, counts or [None] * k])
+    fields = [("id", ids.type), ("n", pa.int64()), ("cls", pa.int64()), ("second", pa.int64()), ("mark", pa.int64()), ("segment", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())]
+    return batch_of(fields, [ids, sizes, classes, seconds, marks, segments or [None] * k, tasks or [None] * k, counts or [None] * k])
 
 
 def _sketch(first: DataFrame) -> np.ndarray:
@@ -198,41 +228,43 @@ def mean_list_length(counts: np.ndarray) -> float:
     return max(1.0, moment / total)
 
 
-def _signatures(words: int, num: int, den: int, bound: int, counts):
+def _signatures(words: int, num: int, den: int, bound: int, counts, name: Callable[[np.ndarray], int], hot: int):
     def run(batches):
         sketch, seen = counts.value, set()
         for b in sliced(batches):
-            sig, role, cls, size = [], [], [], []
+            sig, role, cls, size, deal = [], [], [], [], []
             for s in shingle_sets(b.column(0).to_pylist(), words):
                 n = len(s)
                 if not n:
                     continue
-                c = class_of(s)
+                c = name(s)
                 if c in seen:  # a class once per task
                     continue
                 seen.add(c)
                 if n <= bound:
                     for x, r in _light(s, bound, num, den):
-                        sig.append(np.array([x])), role.append(np.array([r], np.int8)), cls.append(np.array([c])), size.append(np.array([n]))
+                        sig.append(np.array([x])), role.append(np.array([r], np.int8)), cls.append(np.array([c])), size.append(np.array([n])), deal.append(np.zeros(1, np.int32))
                 if n > bound or largest_partner(n, num, den) > bound:
-                    x = mix64(prefix(s, sketch, num, den) + _U(0x2545F4914F6CDD1D)).astype(np.int64)
+                    rare, often = prefix(s, sketch, num, den)
+                    x = mix64(rare + _U(0x2545F4914F6CDD1D)).astype(np.int64)
                     sig.append(x), role.append(np.full(len(x), _LIST, np.int8)), cls.append(np.full(len(x), c)), size.append(np.full(len(x), n))
+                    deal.append(np.where(often > hot, 1 + c % np.maximum(1, -(-often // hot)), 0).astype(np.int32))
             if sig:
-                fields = [("sig", pa.int64()), ("role", pa.int8()), ("cls", pa.int64()), ("n", pa.int64())]
-                yield batch_of(fields, [pa.array(np.concatenate(x)) for x in (sig, role, cls, size)])
+                fields = [("sig", pa.int64()), ("role", pa.int8()), ("cls", pa.int64()), ("n", pa.int64()), ("deal", pa.int32())]
+                yield batch_of(fields, [pa.array(np.concatenate(x)) for x in (sig, role, cls, size, deal)])
 
     return run
 
 
 def _shared(batches):
-    """Sorted (sig, role, cls, n) rows in; those of lists with several classes out, each once."""
+    """Sorted (sig, role, cls, n, deal) rows in; those of lists with several classes, or that are dealt out, each once, out."""
     held = None  # the last row, not yet out because no other class has followed it
     last = None  # sig and cls of the last row
     for b in batches:
-        cols = [b.column(i).to_numpy() for i in range(4)]
+        cols = [b.column(i).to_numpy() for i in range(5)]
         if held is not None:
             cols = [np.concatenate([np.array([v], c.dtype), c]) for v, c in zip(held, cols)]
-        sig, role, cls, _ = cols
+        sig, role, cls, *_ = cols
         if not len(sig):
             continue
         again = np.zeros(len(sig), bool)
@@ -243,7 +275,7 @@ def _shared(batches):
         sig = cols[0]
         if not len(sig):
             continue
-        hit = np.zeros(len(sig), bool)
+        hit = cols[4] > 0
         same = sig[1:] == sig[:-1]
         hit[1:] |= same
         hit[:-1] |= same
@@ -252,7 +284,7 @@ def _shared(batches):
         last = (cols[0][-1], cols[2][-1])
         held = None if hit[-1] else tuple(c[-1] for c in cols)
         if hit.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in cols], names=["sig", "role", "cls", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in cols[:4]], names=["sig", "role", "cls", "n"])
 
 
 def _stars(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -265,19 +297,27 @@ def _stars(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     smallest = F.ceil(F.col("n") * num / den)
     able = shared.where(F.col("k") >= F.ceil(smallest / SPARE)).select("cls")
     rows = checkpoint(heavy.join(able, "cls").select(*rows.columns).union(rows.where(f"role < {_LIST}")))
-    first = rows.groupBy("sig").agg(F.min(F.struct("role", "cls", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
-    members = rows.join(first, "sig").where("cls <> hub.cls")
+    first = checkpoint(rows.groupBy("sig").agg(F.min(F.struct("role", "cls", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1"))
+    members = _met(rows, first, "sig", "members").where("cls <> hub.cls")
     meets = f"(role >= {_MUTUAL} or hub.role = {_FIRST} and role = {_SECOND})"
     lists = checkpoint(members.where(meets).select("sig", "role", "cls", "n", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n")))
     return lists, checkpoint(lists.where(_alike("hub_n", "n", num, den)).select("hub", "cls").distinct())
 
 
+def _met(rows: DataFrame, first: DataFrame, key: str, count: str) -> DataFrame:
+    """rows JOIN first USING (key); keys too hot for one task, if there are any, apart."""
+    longest = first.agg(F.max(count)).first()[0] or 0
+    if longest <= HOT_LIST:
+        return rows.join(first, key)
+    return heavy_aware_join(rows, first, key, count, rows.count()).where(F.col(count).isNotNull())
+
+
 def _alike(a: str, b: str, num: int, den: int) -> str:
     """SQL: sizes that can reach the threshold."""
     return f"{den} * least({a}, {b}) >= {num} * greatest({a}, {b})"
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def _sets(texts: DataFrame, wanted: DataFrame, words: int, name: Callable[[np.ndarray], int]) -> DataFrame:
     """(cls, shingles binary) of the classes whose representative text has a hash among `wanted`.mark."""
     sieve = bloom_of(wanted, "mark")
 
@@ -287,7 +327,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             may = maybe(sieve.value, b.column(1).to_numpy())
             cls, sets = [], []
             for s in shingle_sets(b.column(0).filter(pa.array(may)).to_pylist(), words):
-                c = class_of(s) if len(s) else None
+                c = name(s) if len(s) else None
                 if c is not None and c not in seen:
                     seen.add(c)
                     cls.append(c), sets.append(s.tobytes())
@@ -298,6 +338,19 @@ def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return checkpoint(found.groupBy("cls").agg(F.first("shingles").alias("shingles")))
 
 
+def _with_both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(hub, cls, x, y): pairs with the shingles of both; a hub of very many pairs has one copy of its own for each SPOKES."""
+    met = pairs.join(sets, "cls").withColumnsRenamed({"shingles": "x"})
+    hubs = sets.withColumnsRenamed({"cls": "hub", "shingles": "y"})
+    spokes = pairs.groupBy("hub").agg(F.count("*").alias("spokes"))
+    if (spokes.agg(F.max("spokes")).first()[0] or 0) <= SPOKES:
+        return met.join(hubs, "hub")
+    spokes = checkpoint(spokes.withColumn("copies", F.ceil(F.col("spokes") / SPOKES)))
+    met = heavy_aware_join(met, spokes, "hub", "spokes", pairs.count()).withColumn("copy", F.pmod("cls", "copies")).drop("spokes", "copies")
+    hubs = hubs.join(spokes, "hub").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("spokes", "copies")
+    return met.join(hubs, ["hub", "copy"])
+
+
 def _verify(num: int, den: int):
     def run(batches):
         for b in batches:
@@ -351,21 +404,24 @@ def _cluster_links(lists: DataFrame, comps: DataFrame, fetch: Callable[[DataFram
     """(a, b) links between components, from the lists that stars left in several components."""
     rows = lists.join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").select("sig", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
     open_rows = checkpoint(_several(rows))
+    # Links to other components need as many open lists as linked sets share rare shingles; what leaves may close more lists.
+    enough = F.ceil(F.ceil(F.col("n") * num / den) / SPARE)
+    able = open_rows.groupBy("cls", "n").agg(F.count("*").alias("k")).where(F.col("k") >= enough).select("cls")
+    open_rows = checkpoint(_several(open_rows.drop("low").join(able, "cls")))
     cluster_of = connected(open_rows.select(F.col("cls").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("cls"), F.col("comp").alias("cluster"))
-    members = checkpoint(open_rows.select("cls", "n", "comp").distinct().join(cluster_of, "cls"))
-    # Blocks: a component of BLOCK members or more has its own, the small ones share.
-    per = members.groupBy("cluster", "comp").agg(F.count("*").alias("size"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(den / num))).alias("band")
+    members = checkpoint(open_rows.select("cls", "n", "comp", band).distinct().join(cluster_of, "cls"))
+    # Blocks within bands of sizes: a component of BLOCK members or more has its own, the small ones share.
+    per = checkpoint(members.groupBy("cluster", "band", "comp").agg(F.count("*").alias("size")))
     small = F.sum(F.when(F.col("size") < BLOCK, F.col("size")).otherwise(0))
-    per = per.join(per.groupBy("cluster").agg(small.alias("rest")), "cluster")
+    bands = checkpoint(per.groupBy("cluster", "band").agg(small.alias("rest"), F.count("*").alias("comps")).withColumn("at", F.struct("cluster", "band")).drop("cluster", "band"))
+    per = _met(per.withColumn("at", F.struct("cluster", "band")), bands, "at", "comps").drop("at", "comps")
     own = F.struct("comp", F.pmod("cls", F.ceil(F.col("size") / BLOCK)).alias("part"))
     shared = F.struct(F.lit(None).cast("long").alias("comp"), F.pmod("comp", F.greatest(F.lit(1), F.ceil(F.col("rest") / BLOCK))).alias("part"))
-    pair = F.struct("cluster", "comp")
+    pair = F.struct("cluster", "band", "comp")
     sized = heavy_aware_join(members.withColumn("pair", pair), per.select(pair.alias("pair"), "size", "rest"), "pair", "size", members.count())
-    members = checkpoint(sized.drop("pair").withColumn("block", F.xxhash64(F.when(F.col("size") >= BLOCK, own).otherwise(shared))).drop("size", "rest"))
-    blocks = members.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    one, two = (blocks.withColumnsRenamed({c: f"{c}_{s}" for c in ("block", "lo", "hi", "c0", "c1")}) for s in ("x", "y"))
-    pairs = one.join(two, "cluster").where("block_x <= block_y and not (c0_x = c1_x and c0_y = c1_y and c0_x = c0_y)")
-    pairs = pairs.where(f"{den} * hi_x >= {num} * lo_y and {den} * hi_y >= {num} * lo_x").select("cluster", "block_x", "block_y", F.xxhash64("cluster", "block_x", "block_y").alias("pair"))
+    members = checkpoint(sized.drop("pair").withColumn("block", F.xxhash64("band", F.when(F.col("size") >= BLOCK, own).otherwise(shared))).drop("size", "rest"))
+    pairs = _block_pairs(members, num, den)
     same = F.when(F.col("block_x") == F.col("block_y"), F.array(F.struct(F.col("block_x").alias("block"), F.lit(2).alias("side"))))
     ends = same.otherwise(F.array(F.struct(F.col("block_x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("block_y").alias("block"), F.lit(1).alias("side"))))
     roles = pairs.select("cluster", "pair", F.explode(ends).alias("end")).select("cluster", "pair", "end.block", "end.side")
@@ -373,27 +429,51 @@ def _cluster_links(lists: DataFrame, comps: DataFrame, fetch: Callable[[DataFram
     return work.groupBy("pair").applyInArrow(_block_links(num, den), "a bigint, b bigint")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+def _block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(cluster, block_x, block_y, pair) of the blocks of (cluster, band, block, n, comp) rows that can hold a link between components."""
+    blocks = checkpoint(members.groupBy("cluster", "band", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1")))
+    one, two = (blocks.withColumnsRenamed({c: f"{c}_{s}" for c in ("block", "lo", "hi", "c0", "c1")}) for s in ("x", "y"))
+    one = one.withColumn("own", F.col("band")).withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    pairs = one.join(two, ["cluster", "band"]).where("(own < band or block_x <= block_y) and not (c0_x = c1_x and c0_y = c1_y and c0_x = c0_y)")
+    return pairs.where(f"{den} * hi_x >= {num} * lo_y and {den} * hi_y >= {num} * lo_x").select("cluster", "block_x", "block_y", F.xxhash64("cluster", "block_x", "block_y").alias("pair"))
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, bits: int = 64) -> DataFrame:
     """(id, n_shingles, component_id) of every document."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    first = checkpoint(src.withColumn("mark", F.xxhash64("text")).mapInArrow(_first_pass(words), f"id {kind}, n bigint, cls bigint, mark bigint, segment int, task int, counts binary"))
-    keys = first.where("segment is null").select("id", "n", "cls", "mark")
+    first = checkpoint(src.withColumn("mark", F.xxhash64("text")).mapInArrow(_first_pass(words, bits), f"id {kind}, n bigint, cls bigint, second bigint, mark bigint, segment int, task int, counts binary"))
+    keys = first.where("segment is null").select("id", "n", "cls", "second", "mark")
     counts = _sketch(first)
+    # Ids that several sets share: none, but for n**2 / 2**65 of n sets.
+    ids = keys.where("cls is not null").groupBy("cls").agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a <> b")
+    shared = frozenset(r.cls for r in ids.select("cls").toLocalIterator())
+    if shared:
+        keys = keys.withColumn("cls", F.when(F.col("cls").isin(*shared), F.col("second")).otherwise(F.col("cls")))
+    named = materialised(lambda: _named(src, keys.drop("second"), counts, words, num, den, namer(bits, shared)), spark)
+    out = heavy_aware_join(keys.where("cls is not null"), named, "cls", "copies", keys.count())
+    cols = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("name").alias("component_id")]
+    return union_all([out.select(*cols), keys.where("cls is null").withColumn("name", F.col("id")).select(*cols)])
+
+
+def _named(src: DataFrame, keys: DataFrame, counts: np.ndarray, words: int, num: int, den: int, name: Callable[[np.ndarray], int]) -> DataFrame:
+    """(cls, copies, name): each class with the smallest id of its component."""
     bound = boundary(mean_list_length(counts), num, den)
     classes = checkpoint(keys.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"), F.min("id").alias("low"), F.min("mark").alias("mark")))
 
-    rows = src.select("text").mapInArrow(_signatures(words, num, den, bound, docs.sparkSession.sparkContext.broadcast(counts)), "sig bigint, role tinyint, cls bigint, n bigint")
-    sorted_rows = rows.repartition("sig").sortWithinPartitions("sig", "role", "cls")
+    signatures = _signatures(words, num, den, bound, src.sparkSession.sparkContext.broadcast(counts), name, HOT_LIST)
+    rows = src.select("text").mapInArrow(signatures, "sig bigint, role tinyint, cls bigint, n bigint, deal int")
+    sorted_rows = rows.repartition("sig", "deal").sortWithinPartitions("sig", "role", "cls")
     lists, pairs = _stars(checkpoint(sorted_rows.mapInArrow(_shared, "sig bigint, role tinyint, cls bigint, n bigint")), num, den)
     texts = src.select("text", F.xxhash64("text").alias("mark")).where("text is not null")
 
     def fetch(some: DataFrame) -> DataFrame:
-        return _sets(texts, some.join(classes, "cls").select("mark"), words)
+        return _sets(texts, some.join(classes, "cls").select("mark"), words, name)
 
     sets = fetch(pairs.select("cls").union(pairs.select("hub")).distinct())
-    met = pairs.join(sets, "cls").withColumnsRenamed({"shingles": "x"}).join(sets.withColumnsRenamed({"cls": "hub", "shingles": "y"}), "hub")
+    met = _with_both(pairs, sets)
     comps = connected(met.select("hub", "cls", "x", "y").mapInArrow(_verify(num, den), "a bigint, b bigint"))
     across = connected(_cluster_links(lists.where(f"role = {_LIST}").select("sig", "cls", "n"), comps, fetch, num, den))
 
@@ -407,7 +487,4 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = checkpoint(linked.join(classes.select("cls", "low"), "cls"))
     names = linked.groupBy("whole").agg(F.min("low").alias("name"), F.count("*").alias("size"))
     of_class = heavy_aware_join(linked, names, "whole", "size", linked.count()).select("cls", "name")
-    named = checkpoint(classes.join(of_class, "cls", "left").select("cls", "copies", F.coalesce("name", "low").alias("name")))
-    out = heavy_aware_join(keys.where("cls is not null"), named, "cls", "copies", keys.count())
-    cols = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("name").alias("component_id")]
-    return union_all([out.select(*cols), keys.where("cls is null").withColumn("name", F.col("id")).select(*cols)])
+    return classes.join(of_class, "cls", "left").select("cls", "copies", F.coalesce("name", "low").alias("name"))

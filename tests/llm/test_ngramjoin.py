@@ -75,6 +75,43 @@ def test_dense_group_around_the_threshold(spark, monkeypatch):
     assert same(run(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)), brute(rows))
 
 
+def test_sets_that_share_an_id(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert same(run(docs, bits=3), brute(rows))
+
+
+def test_long_lists_and_busy_hubs(spark, docs, monkeypatch):
+    """Every list and hub is treated as one that is too hot for a task."""
+    monkeypatch.setattr(ngramjoin, "HOT_LIST", 3)
+    monkeypatch.setattr(ngramjoin, "SPOKES", 2)
+    assert same(run(docs), brute([(r.doc_id, r.text) for r in docs.collect()]))
+
+
+def test_one_giant_templated_cluster(spark, monkeypatch):
+    """Texts of one template whose own parts are just too large to link: few pairs of blocks are compared, no link is lost."""
+    monkeypatch.setattr(ngramjoin, "BLOCK", 8)
+    counted = []
+    real = ngramjoin._block_pairs
+
+    def counting(members, num, den):
+        pairs = real(members, num, den)
+        blocks = members.select("cluster", "block").distinct().count()
+        counted.append((pairs.count(), blocks))
+        return pairs
+
+    monkeypatch.setattr(ngramjoin, "_block_pairs", counting)
+    rng = random.Random(19)
+    template = words(rng, 400, 10**6)
+    rows = []
+    for i in range(200):
+        size = rng.randrange(60, 400)
+        own = [f"o{i}x{k}" for k in range(int(size * rng.choice([0.05, 0.12, 0.2, 0.3])))]
+        rows.append((i, " ".join([*own, *template[:size]])))
+    assert same(run(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)), brute(rows))
+    ((pairs, blocks),) = counted
+    assert blocks > 4 and pairs < 0.6 * blocks * (blocks + 1) / 2
+
+
 def test_signatures_lose_no_link():
     """Each linked pair of light sets shares a subset, each other linked pair enough of its prefixes."""
     rng = random.Random(1)
@@ -92,7 +129,7 @@ def test_signatures_lose_no_link():
             x, y = (dict(ngramjoin._light(s, bound, 4, 5)) for s in (a, b))
             assert any(s in y and (x[s] != y[s] or x[s] == ngramjoin._MUTUAL) for s in x)
         else:
-            x, y = (ngramjoin.prefix(s, counts) for s in (a, b))
+            x, y = (ngramjoin.prefix(s, counts)[0] for s in (a, b))
             small = min(len(a), len(b))
             assert len(np.intersect1d(x, y)) >= ngramjoin.common_rare(small) >= -(--(-(-max(len(a), len(b)) * 4 // 5)) // ngramjoin.SPARE) - 1
 
