@@ -2,13 +2,12 @@
 
 quality     documents that the classifier rejects go
 line_dedup  repeated runs of lines go; documents of which nothing is left go
-near_dup    one row of each group of near duplicates stays, that with the smallest doc_id, then hash of the text
+near_dup    one row of each group of near duplicates stays, that with the smallest doc_id (null last), then hash of the text
 mixing      documents as often, and as much of them, as the target weights say
 bpe         token ids, with digests of the round trip
 
-Rows without a doc_id pass `near_dup`, which could not name the one that stays; rows that share a
-doc_id are told apart by their texts.  The last two
-stages give a row for each document and pass of the mix.
+Rows that share a doc_id, or have none, are told apart by their texts; repeats of a doc_id and text
+are one row after `near_dup`.  The last two stages give a row for each document and pass of the mix.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import bpe, linededup, mixing, ngramjoin, quality
 from quire.llm.queries import table, vocabulary
-from quire.runtime import checkpoint
+from quire.runtime import materialised
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +30,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("mark")))
+    mark = [F.xxhash64(F.lit(k), "text").alias(f"mark{k}") for k in range(2)]
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), *mark)
     rows = docs.withColumn("near_dup row", row)
     found = ngramjoin.components(rows, "near_dup row")
     stays = found.where("`near_dup row` = component_id").select("near_dup row").distinct()
-    kept = rows.join(stays, "near_dup row", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return rows.join(stays, "near_dup row", "left_semi").dropDuplicates(["near_dup row"]).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of `sf_dir`, each materialised in the shared folder before the next."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = checkpoint(stage(spark, docs, sf_dir))
+        docs = materialised(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), spark)
     return STAGES[-1][1](spark, docs, sf_dir)
