@@ -19,6 +19,15 @@ class PdfError(ValueError):
         self.kind, self.offset = kind, offset
 
 
+#: What a damaged or hostile file may raise beside PdfError: it costs the file, never the task.
+FAULTS = (PdfError, RecursionError, ArithmeticError, AttributeError, LookupError, TypeError, ValueError)
+
+
+def fault(e: Exception) -> PdfError:
+    """Any of FAULTS as a PdfError."""
+    return e if isinstance(e, PdfError) else PdfError("internal", f"{type(e).__name__}: {e}"[:200])
+
+
 class Name(bytes):
     """A name without its slash."""
 
@@ -63,18 +72,21 @@ _PLAIN_STRING = re.compile(rb"\(([^()\\]*)\)")
 _STRING_PART = re.compile(rb"[^()\\]+|\\(?:[0-7]{1,3}|\r\n|.)|[()]", re.S)
 _HEX = re.compile(rb"<([^>]*)>?")
 _NAME_ESCAPE = re.compile(rb"#([0-9A-Fa-f]{2})")
-_REFERENCE = re.compile(rb"(\d+)[\x00\t\n\x0c\r ]+(\d+)[\x00\t\n\x0c\r ]+R(?![^\x00\t\n\x0c\r ()<>\[\]{}/%])")
+_REFERENCE = re.compile(rb"(\d{1,10})[\x00\t\n\x0c\r ]+(\d{1,10})[\x00\t\n\x0c\r ]+R(?![^\x00\t\n\x0c\r ()<>\[\]{}/%])")
 _NOT_HEX = re.compile(rb"[^0-9A-Fa-f]")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 _NUMERIC = frozenset(b"0123456789+-.")
 _INT64 = 1 << 63
+#: Arrays and dictionaries may nest this deep; object numbers stay below.
+MAX_DEPTH = 200
+MAX_NUMBER = 1 << 32
 
 
 class Lexer:
     """Tokens of a byte string from a position on."""
 
     def __init__(self, data: bytes, pos: int = 0):
-        self.data, self.pos = data, pos
+        self.data, self.pos, self.depth = data, pos, 0
 
     def skip(self) -> int:
         self.pos = _SKIP.match(self.data, self.pos).end()
@@ -127,7 +139,7 @@ class Lexer:
         if not text.strip(b"+-."):
             raise PdfError("parse", "number without digits", at)
         self.pos = m.end()
-        if b"." not in text:
+        if b"." not in text and len(text) < 400:
             n = int(text)
             return n if -_INT64 <= n < _INT64 else float(n)
         return float(text)
@@ -169,10 +181,13 @@ def parse_value(lex: Lexer) -> Any:
             lex.pos = m.end()
             return Ref(int(m[1]), int(m[2]))
     t = lex.token()
-    if t is ARRAY_OPEN:
-        return _array(lex)
-    if t is DICT_OPEN:
-        return _dict_or_stream(lex)
+    if t is ARRAY_OPEN or t is DICT_OPEN:
+        if lex.depth >= MAX_DEPTH:
+            raise PdfError("parse", "nested too deeply", at)
+        lex.depth += 1
+        value = _array(lex) if t is ARRAY_OPEN else _dict_or_stream(lex)
+        lex.depth -= 1
+        return value
     if isinstance(t, Keyword):
         return {b"true": True, b"false": False, b"null": None}.get(t, MISSING)
     return MISSING if isinstance(t, _Mark) else t

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
-from quire.kernel.cos import MISSING, Keyword, Lexer, Name, PdfError, Ref, Stream, as_int, dict_of, parse_indirect, parse_value, serialize_pdf
+from quire.kernel.cos import END, MAX_NUMBER, MISSING, Keyword, Lexer, Name, PdfError, Ref, Stream, as_int, dict_of, parse_indirect, parse_value, serialize_pdf
 from quire.kernel.filters import decode_stream
 
 _TAIL = 1024
@@ -51,8 +51,10 @@ def xref_table(data: bytes, offset: int) -> tuple[dict[int, Entry], dict[bytes,
         count = lex.token()
         if type(count) is not int:
             raise PdfError("xref", "xref section without count", lex.pos)
-        for num in range(start, start + count):
+        for num in range(max(0, start), min(start + count, MAX_NUMBER)):
             a, b, mark = lex.token(), lex.token(), lex.token()
+            if mark is END:
+                break
             if type(a) is int and type(b) is int and mark in (b"n", b"f"):
                 out.setdefault(num, Entry("inuse" if mark == b"n" else "free", a, b))
     trailer = parse_value(lex)
@@ -66,6 +68,8 @@ def xref_stream(head: dict[bytes, Any], data: bytes) -> dict[int, Entry]:
     if len(widths) < 3:
         raise PdfError("xref", "xref stream without /W")
     w0, w1, w2 = widths[:3]
+    if min(widths[:3]) < 0 or max(widths[:3]) > 8:
+        raise PdfError("xref", "xref stream with odd /W")
     size = w0 + w1 + w2
     index = head.get(b"Index")
     ranges = [as_int(x) or 0 for x in index] if isinstance(index, list) else [0, as_int(head.get(b"Size")) or 0]
@@ -73,12 +77,12 @@ def xref_stream(head: dict[bytes, Any], data: bytes) -> dict[int, Entry]:
     at = 0
     kinds = {0: "free", 1: "inuse", 2: "compressed"}
     for first, count in zip(ranges[::2], ranges[1::2]):
-        for num in range(first, first + count):
+        for num in range(max(0, first), min(first + count, MAX_NUMBER)):
             if not size or at + size > len(data):
                 return out
             kind = read_field(data, at, w0, 1)
             entry = Entry(kinds.get(kind, ""), read_field(data, at + w0, w1, 0), read_field(data, at + w0 + w1, w2, 0))
-            if entry.kind:
+            if entry.kind and max(entry.a, entry.b) < 1 << 63:
                 out.setdefault(num, entry)
             at += size
     return out
@@ -124,6 +128,7 @@ class Document:
         self._members: dict[int, dict[int, Any]] = {}
         if data is None:
             self.next_num = 1
+            self.fonts = {}
             return
         if not data.startswith(b"%PDF-"):
             raise PdfError("parse", "no PDF header", 0)
@@ -136,6 +141,7 @@ class Document:
         self.trailer = dict(trailer)
         size = as_int(trailer.get(b"Size"))
         self.next_num = 1 if size is None else size
+        self.fonts: dict[int, Any] = {}
 
     @property
     def version(self) -> str | None:
@@ -180,9 +186,15 @@ class Document:
             body = decode_stream(head, stream.data)
             count, first = as_int(head.get(b"N")) or 0, as_int(head.get(b"First")) or 0
             lex = Lexer(body[:first])
-            pairs = [(lex.token(), lex.token()) for _ in range(count)]
+            pairs = []
+            for _ in range(count):
+                pairs.append((lex.token(), lex.token()))
+                if pairs[-1][1] is END:
+                    break
             starts = [p for p in pairs if type(p[0]) is int and type(p[1]) is int]
             for member, at in starts:
+                if first + at < 0 or first + at > len(body):
+                    continue
                 try:
                     value = parse_value(Lexer(body, first + at))
                     if value is not MISSING:

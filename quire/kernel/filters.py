@@ -13,6 +13,15 @@ import numpy as np
 from quire.kernel.cos import Name, PdfError, as_int, dict_of
 
 _FULL_NAMES = {b"Fl": "FlateDecode", b"A85": "ASCII85Decode", b"AHx": "ASCIIHexDecode", b"LZW": "LZWDecode", b"RL": "RunLengthDecode"}
+#: Bytes that one filter may give; more is an error, for a small file can hold gigabytes of blanks.
+MAX_DECODED = 1 << 28
+
+
+def _bounded(size: int) -> None:
+    if size > MAX_DECODED:
+        raise PdfError("filter", f"more than {MAX_DECODED} decoded bytes")
+
+
 _BLANK = re.compile(rb"[\x00\t\n\x0c\r \x0b]+")
 
 
@@ -23,7 +32,9 @@ def flate_decode(data: bytes) -> bytes:
     for bits in (zlib.MAX_WBITS, -zlib.MAX_WBITS):
         try:
             d = zlib.decompressobj(bits)
-            return d.decompress(data) + d.flush()
+            out = d.decompress(data, MAX_DECODED + 1)
+            _bounded(len(out))
+            return out + d.flush()
         except zlib.error:
             continue
     raise PdfError("filter", "Flate data is damaged")
@@ -59,11 +70,13 @@ def asciihex_encode(data: bytes) -> bytes:
 
 
 def runlength_decode(data: bytes) -> bytes:
-    out, at, n = [], 0, len(data)
+    out, at, n, size = [], 0, len(data), 0
     while at < n:
         k = data[at]
         if k == 128:
             break
+        size += k + 1 if k < 128 else 257 - k
+        _bounded(size)
         if k < 128:
             out.append(data[at + 1 : at + 2 + k])
             at += k + 2
@@ -99,7 +112,7 @@ def lzw_decode(data: bytes, early: int = 1) -> bytes:
     out: list[bytes] = []
     roots = [bytes([i]) for i in range(256)] + [b"", b""]
     table = roots.copy()
-    width, held, bits, previous = 9, 0, 0, None
+    width, held, bits, previous, size = 9, 0, 0, None, 0
     for byte in data:
         held = (held << 8 | byte) & 0xFFFFFFFF
         bits += 8
@@ -118,6 +131,8 @@ def lzw_decode(data: bytes, early: int = 1) -> bytes:
             else:
                 raise PdfError("filter", "LZW code outside the table")
             out.append(entry)
+            size += len(entry)
+            _bounded(size)
             if previous is not None and len(table) < 4096:
                 table.append(previous + entry[:1])
             previous = entry
@@ -180,6 +195,8 @@ def predict(data: bytes, predictor: int, colors: int, bits: int, columns: int) -
         return data
     pixel = max(1, colors * max(bits, 8) // 8)
     row = pixel * columns
+    if not 0 <= row <= MAX_DECODED:
+        raise PdfError("filter", "predictor with odd rows")
     if predictor == 2:
         if bits > 8 or not row:
             return data

@@ -10,6 +10,9 @@ from quire.kernel.cos import Name, PdfError, Ref, Stream, as_float, as_int, as_n
 from quire.kernel.document import Document
 from quire.kernel.encodings import REPLACEMENT, encoding, glyph_text
 
+#: Codes that all ranges of a map, or of widths, may span together.
+MAX_CODES = 1 << 20
+
 FONT_TYPES = {"Type1", "TrueType", "Type0", "Type3", "CIDFontType0", "CIDFontType2", "MMType1"}
 _SUBSET = re.compile(r"[A-Z]{6}\+.")
 
@@ -61,6 +64,7 @@ class CMap:
     chars: dict[int, str] = field(default_factory=dict)
     ranges: list[tuple[int, int, int]] = field(default_factory=list)
     _found: dict[int, str | None] = field(default_factory=dict)
+    _unfolded: bool = False
 
     @classmethod
     def parse(cls, data: bytes) -> CMap:
@@ -87,7 +91,29 @@ class CMap:
             if None not in numbers:
                 self.ranges.append(tuple(numbers))
 
+    def codes(self) -> list[int]:
+        """All mapped codes, in order; of a range at most 65,536."""
+        spans = [(a, min(b, a + 65535)) for a, b, _ in self.ranges if a <= b]
+        if sum(b - a + 1 for a, b in spans) > MAX_CODES:
+            raise PdfError("font", "a map of too many codes")
+        return sorted({c for a, b in spans for c in range(a, b + 1)} | set(self.chars))
+
+    def _unfold(self) -> None:
+        """All ranges code by code, where there are so many that a look at each would take long."""
+        spans = [(a, min(b, 0xFFFF), to) for a, b, to in self.ranges if a <= min(b, 0xFFFF)]
+        if sum(b - a + 1 for a, b, _ in spans) > MAX_CODES:
+            raise PdfError("font", "a map of too many codes")
+        self._found = dict.fromkeys(range(0x10000))
+        for a, b, to in spans:
+            for code in range(a, b + 1):
+                if self._found[code] is None:
+                    self._found[code] = _char(to + code - a)
+        self._found.update(self.chars)
+        self._unfolded = True
+
     def lookup(self, code: int) -> str | None:
+        if len(self.ranges) > 256 and not self._unfolded:
+            self._unfold()
         if code not in self._found:
             hits = (_char(to + code - a) for a, b, to in self.ranges if a <= code <= b)
             self._found[code] = self.chars[code] if code in self.chars else next((c for c in hits if c is not None), None)
@@ -168,7 +194,7 @@ def _cid_widths(head: dict[bytes, Any], doc: Document) -> tuple[dict[int, float]
     items = cid.get(b"W")
     out: dict[int, float] = {}
     items = items if isinstance(items, list) else []
-    i = 0
+    i = spanned = 0
     while i < len(items):
         first, then = as_int(items[i]), items[i + 1] if i + 1 < len(items) else None
         if first is not None and isinstance(then, list) and not isinstance(then, Ref):
@@ -176,7 +202,11 @@ def _cid_widths(head: dict[bytes, Any], doc: Document) -> tuple[dict[int, float]
             i += 2
         elif first is not None and as_int(then) is not None and i + 2 < len(items):
             w = as_float(items[i + 2])
-            out.update(dict.fromkeys(range(first, min(as_int(then), first + 65535) + 1), default if w is None else w))
+            codes = range(first, min(as_int(then), first + 65535) + 1)
+            spanned += len(codes)
+            if spanned > MAX_CODES:
+                raise PdfError("font", "widths of too many codes")
+            out.update(dict.fromkeys(codes, default if w is None else w))
             i += 3
         else:
             i += 1

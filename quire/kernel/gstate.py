@@ -87,7 +87,7 @@ def apply(stack: Stack, op: Op) -> None:
     elif op.op in _NUMBERS:
         stack.set(**{_NUMBERS[op.op]: number(args, 0)})
     elif op.op in _WHOLE:
-        stack.set(**{_WHOLE[op.op]: int(number(args, 0))})
+        stack.set(**{_WHOLE[op.op]: int(max(-(2.0**31), min(2.0**31 - 1, number(args, 0))))})
     elif op.op == "d":
         lengths = args[0] if args and isinstance(args[0], list) else []
         stack.set(dash=tuple(number(lengths, i) for i in range(len(lengths))), dash_phase=number(args, 1))

@@ -6,13 +6,15 @@ with a guard against cycles.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
+from math import isfinite
 from typing import Any
 
 from quire.kernel.content import Op, number, parse_content, string
 from quire.kernel.cos import Name, PdfError, Ref, Stream, as_float, as_int, as_name, dict_of, is_string, kind_of
 from quire.kernel.document import Document
-from quire.kernel.filters import filters_of
+from quire.kernel.filters import MAX_DECODED, filters_of
 from quire.kernel.fonts import Font, load_font
 
 # Text strings.  Four readers of such strings differ only in what they do without a UTF-16 mark.
@@ -117,8 +119,14 @@ def content_of(doc: Document, page: dict[bytes, Any]) -> bytes:
     if isinstance(value, Stream):
         return doc.decoded(value)
     if isinstance(value, list):
-        parts = [doc.resolve(v) for v in value]
-        return b"\n".join(doc.decoded(p) for p in parts if isinstance(p, Stream))
+        out, size = [], 0
+        for part in map(doc.resolve, value):
+            if isinstance(part, Stream):
+                out.append(doc.decoded(part))
+                size += len(out[-1]) + 1
+                if size > MAX_DECODED:
+                    raise PdfError("filter", f"more than {MAX_DECODED} bytes of content")
+        return b"\n".join(out)
     return b""
 
 
@@ -127,8 +135,14 @@ def fonts_of(doc: Document, resources: Any) -> dict[bytes, Font]:
     out = {}
     for name, value in dict_of(fonts).items():
         head = doc.resolve(value)
-        if isinstance(head, (dict, Stream)):
+        if not isinstance(head, (dict, Stream)):
+            continue
+        if not isinstance(value, Ref):
             out[name] = load_font(head, doc)
+        elif value.num in doc.fonts:
+            out[name] = doc.fonts[value.num]
+        else:
+            out[name] = doc.fonts[value.num] = load_font(head, doc)
     return out
 
 
@@ -322,9 +336,9 @@ def action_rows(doc: Document) -> Iterator[dict[str, Any]]:
     owners = [("annotation", obj, a) for _, _, page in pages(doc) for obj, a in annots_of(doc, page)]
     owners += [("bookmark", r["obj_num"], dict_of(doc.get(r["obj_num"]))) for r in bookmark_rows(doc)]
     for kind, obj, owner in owners:
-        queue, seen, seq = [owner.get(b"A")], set(), 0
+        queue, seen, seq = deque([owner.get(b"A")]), set(), 0
         while queue:
-            value = queue.pop(0)
+            value = queue.popleft()
             if isinstance(value, Ref):
                 if value.num in seen:
                     continue
@@ -497,7 +511,7 @@ def tagged(value: Any) -> Any:
     if kind == "int":
         return {"i": value}
     if kind == "real":
-        return {"f": value}
+        return {"f": value if isfinite(value) else 0.0}
     if kind == "name":
         return {"n": value.decode("utf-8", "replace")}
     if kind == "str":

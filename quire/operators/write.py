@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.codecs import is_jpeg
-from quire.kernel.cos import PdfError
+from quire.kernel.cos import FAULTS
 from quire.kernel.document import Document
 from quire.kernel.edit import LETTER, add_image, jpeg_image, raw_image, rgb_of_bgr
 from quire.runtime import ship
@@ -33,7 +33,7 @@ def edit(corpus: Corpus, change: Callable[[Document, dict], None], *columns: str
                     if doc is not None:
                         change(doc, row)
                     out.append(doc.save() if doc is not None else None)
-                except PdfError:
+                except FAULTS:
                     out.append(None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=[key.name, "content"])
 

@@ -20,12 +20,13 @@ from pyspark.sql.types import StructType
 
 from quire.kernel import content as content_kernel
 from quire.kernel import gstate, structure
-from quire.kernel.cos import PdfError, Stream, as_int, as_name, dict_of, kind_of
+from quire.kernel.cos import FAULTS, PdfError, Stream, as_int, as_name, dict_of, fault, kind_of
 from quire.kernel.document import Document
 from quire.kernel.filters import filters_of
 from quire.runtime import ship
 
 _BATCH_BYTES = 8 << 20
+_BATCH_ROWS = 1 << 16
 
 RECT = "array<double>"
 
@@ -50,11 +51,18 @@ SCHEMAS = {
 }
 
 
-def _safe(make: Callable[[Document], Iterable[dict[str, Any]]]) -> Callable[[bytes], Iterator[dict[str, Any]]]:
-    def rows(data: bytes) -> Iterator[dict[str, Any]]:
-        yield from make(Document(data))
+#: What converting odd values to Arrow may raise.
+_ODD = (pa.ArrowException, OverflowError, TypeError, ValueError)
 
-    return rows
+
+@dataclass(frozen=True)
+class _Table:
+    """A table's rows from the bytes of a file, or `of` a document that is already parsed."""
+
+    of: Callable[[Document], Iterable[dict[str, Any]]]
+
+    def __call__(self, data: bytes) -> Iterable[dict[str, Any]]:
+        return self.of(Document(data))
 
 
 def _document_rows(data: bytes) -> Iterator[dict[str, Any]]:
@@ -65,7 +73,8 @@ def _document_rows(data: bytes) -> Iterator[dict[str, Any]]:
         doc = Document(data)
         row |= {"header_version": doc.version, "next_obj_num": doc.next_num, "is_encrypted": b"Encrypt" in doc.trailer}
         row |= {"stated_page_count": structure.stated_page_count(doc), "page_count": sum(1 for _ in structure.pages(doc))}
-    except PdfError as e:
+    except FAULTS as raised:
+        e = fault(raised)
         row["error"] = {"kind": e.kind, "offset": e.offset, "message": str(e)}
     yield row
 
@@ -134,8 +143,7 @@ def _font_rows(doc: Document) -> Iterator[dict[str, Any]]:
         for name, font in structure.fonts_of(doc, page.get(b"Resources")).items():
             cmap = None
             if font.cmap:
-                codes = {c for a, b, _ in font.cmap.ranges for c in range(a, min(b, a + 65535) + 1)} | set(font.cmap.chars)
-                cmap = {c: s for c in sorted(codes) if (s := font.cmap.lookup(c)) is not None}
+                cmap = {c: s for c in font.cmap.codes() if (s := font.cmap.lookup(c)) is not None}
             yield {
                 "page_num": num, "font_name": name.decode("utf-8", "replace"), "font_type": font.type, "base_font": font.base, "is_cid": font.is_cid, "has_tounicode": font.cmap is not None,
                 "encoding": font.table, "cmap": list(cmap.items()) if cmap is not None else None, "widths": list(font.widths.items()), "default_width": font.default_width, "first_char": font.first_char,
@@ -151,10 +159,10 @@ def _text_rows(doc: Document) -> Iterator[dict[str, Any]]:
 
 
 _MAKERS: dict[str, Callable[[bytes], Iterator[dict[str, Any]]]] = {
-    "documents": _document_rows, "trailers": _safe(_trailer_rows), "xref_entries": _safe(_xref_rows), "objects": _safe(_object_rows), "raw_pages": _safe(_page_rows),
-    "doc_info": _safe(lambda d: [structure.info_row(d)]), "content_ops": _safe(_op_rows), "graphics_states": _safe(_state_rows), "fonts": _safe(_font_rows), "page_text": _safe(_text_rows),
-    "raw_annotations": _safe(structure.annot_rows), "raw_fields": _safe(structure.field_rows), "form_values": _safe(structure.field_values), "bookmarks": _safe(structure.bookmark_rows),
-    "actions": _safe(structure.action_rows), "images": _safe(structure.image_rows),
+    "documents": _document_rows, "trailers": _Table(_trailer_rows), "xref_entries": _Table(_xref_rows), "objects": _Table(_object_rows), "raw_pages": _Table(_page_rows),
+    "doc_info": _Table(lambda d: [structure.info_row(d)]), "content_ops": _Table(_op_rows), "graphics_states": _Table(_state_rows), "fonts": _Table(_font_rows), "page_text": _Table(_text_rows),
+    "raw_annotations": _Table(structure.annot_rows), "raw_fields": _Table(structure.field_rows), "form_values": _Table(structure.field_values), "bookmarks": _Table(structure.bookmark_rows),
+    "actions": _Table(structure.action_rows), "images": _Table(structure.image_rows),
 }
 
 
@@ -162,8 +170,8 @@ _MAKERS: dict[str, Callable[[bytes], Iterator[dict[str, Any]]]] = {
 class Corpus:
     """A DataFrame of (key, content) whose content is PDF bytes.
 
-    Documents that cannot be read give no rows but in `documents`, which states the error; with
-    `fail_fast` they end the query instead.
+    Documents that cannot be read, whatever is wrong with them, give no further rows but in
+    `documents`, which states the error; with `fail_fast` they end the query instead.
     """
 
     files: DataFrame
@@ -173,34 +181,73 @@ class Corpus:
 
     def table(self, name: str) -> DataFrame:
         """One of SCHEMAS, keyed by the document."""
+        make = _MAKERS[name]
+        return self._rows(SCHEMAS[name], lambda raw: make(raw) if raw is not None or name == "documents" else ())
+
+    def tables(self, *names: str) -> DataFrame:
+        """Several of SCHEMAS in one pass: `table` names a row's table, whose struct column alone is not null.
+
+        Files are read and parsed once, whatever is then aggregated, or split by `table`.
+        """
+        plain, strict = [n for n in names if n != "documents"], self.fail_fast
+
+        def rows(raw: bytes | None) -> Iterator[dict[str, Any]]:
+            if "documents" in names:
+                yield from ({"table": "documents", "documents": row} for row in _document_rows(raw))
+            if raw is None or not plain:
+                return
+            doc = Document(raw)
+            for n in plain:
+                try:
+                    yield from ({"table": n, n: row} for row in _MAKERS[n].of(doc))
+                except FAULTS:
+                    if strict:
+                        raise
+
+        fields = ", ".join(f"{n} {StructType.fromDDL(SCHEMAS[n]).simpleString()}" for n in names)
+        return self._rows(f"table string, {fields}", rows)
+
+    def _rows(self, ddl: str, make: Callable[[bytes | None], Iterable[dict[str, Any]]]) -> DataFrame:
+        """Rows of every document, keyed; one that raises has those that came before, one whose values Arrow cannot hold none."""
         src = self.files.select(F.col(self.key), F.col(self.content).alias("content"))
-        key_type = src.schema[0].dataType.simpleString()
-        ddl = f"`{self.key}` {key_type}, {SCHEMAS[name]}"
+        ddl = f"`{self.key}` {src.schema[0].dataType.simpleString()}, {ddl}"
         schema = to_arrow_schema(StructType.fromDDL(ddl))
-        make, strict = _MAKERS[name], self.fail_fast
+        strict, name = self.fail_fast, self.key
+
+        def converted(documents: list[list[dict[str, Any]]]) -> Iterator[pa.RecordBatch]:
+            try:
+                yield pa.RecordBatch.from_pylist([row for rows in documents for row in rows], schema=schema)
+                return
+            except _ODD:
+                if strict:
+                    raise
+            for rows in documents:
+                try:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                except _ODD:
+                    continue
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            fields = [f.name for f in schema]
             for b in batches:
-                rows: list[dict[str, Any]] = []
-                held = 0
-                for key, data in zip(b.column(0), b.column(1)):
+                documents: list[list[dict[str, Any]]] = []
+                held = count = 0
+                for key, data in zip(b.column(0).to_pylist(), b.column(1)):
                     raw = data.as_py()
-                    mine = []
+                    mine: list[dict[str, Any]] = []
                     try:
-                        if raw is not None or name == "documents":
-                            for row in make(raw):
-                                mine.append({fields[0]: key.as_py(), **row})
-                    except PdfError:
+                        for row in make(raw):
+                            mine.append({name: key, **row})
+                    except FAULTS as e:
                         if strict:
-                            raise
-                    rows += mine
+                            raise fault(e) from e
+                    documents.append(mine)
                     held += len(raw or b"")
-                    if held >= _BATCH_BYTES:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    count += len(mine)
+                    if held >= _BATCH_BYTES or count >= _BATCH_ROWS:
+                        yield from converted(documents)
+                        documents, held, count = [], 0, 0
+                if count:
+                    yield from converted(documents)
 
         ship(self.files.sparkSession)
         return src.mapInArrow(run, ddl)
