@@ -71,7 +71,7 @@ def write_files(corpus: Corpus, path: str) -> DataFrame:
         from pyarrow.fs import FileSystem
         from pyspark import TaskContext
 
-        fs, root = FileSystem.from_uri(path) if "://" in path else FileSystem.from_uri(f"file://{path}")
+        fs, root = FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
         fs.create_dir(root, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
         for b in batches:

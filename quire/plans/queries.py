@@ -16,13 +16,15 @@ from quire.functions import geometry as g
 from quire.functions import objects as o_
 from quire.functions import text as t
 from quire.kernel import edit as kernel_edit
-from quire.kernel.cos import dict_of
+from quire.kernel.cos import Name, dict_of
+from quire.kernel.document import Document
 from quire.operators import annotations as a
 from quire.operators import pages as p
 from quire.operators import search as s
 from quire.operators import write as w
-from quire.plans import synth
-from quire.runtime import ship
+from quire.plans import handmade, synth
+from quire.runtime import shared_folder, ship
+from quire.sources import pdf as pdf_source
 from quire.sources.pdf import Corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,8 +49,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows in as many tasks as there are cores, where their files give fewer: what follows is work by the row."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+
+
 def documents(spark: SparkSession, sf_dir: str, make: Callable[[str], bytes]) -> Corpus:
-    return w.build(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", lambda r: make(r["text"] or ""))
+    return w.build(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", lambda r: make(r["text"] or ""))
 
 
 def texts(corpus: Corpus) -> DataFrame:
@@ -119,11 +127,12 @@ def doc_scan(spark, sf_dir):
     return d.select("doc_id", F.col("header_version").alias("version"), F.col("page_count").alias("pages"), F.col("error").isNotNull().alias("broken"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'parse' END AS error_kind FROM documents")
+@query("SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN 'parse' WHEN 2 THEN 'xref' WHEN 3 THEN 'xref' WHEN 4 THEN 'parse' WHEN 5 THEN 'object' END AS error_kind, CAST(CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END AS BIGINT) AS texts FROM documents")
 def broken_documents(spark, sf_dir):
+    """Damaged files, among them sections of billions of entries and thousands of open brackets, cost their own rows only."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    made = w.build(rows, "doc_id", lambda r: b"no pdf" if r["doc_id"] % 3 == 0 else synth.text_pdf(r["text"] or ""))
-    return made.table("documents").select("doc_id", F.col("error.kind").alias("error_kind"))
+    made = w.build(rows, "doc_id", lambda r: handmade.broken(r["doc_id"] % 6, r["text"] or "")).tables("documents", "page_text")
+    return made.groupBy("doc_id").agg(F.max("documents.error.kind").alias("error_kind"), F.count("page_text").alias("texts"))
 
 
 def _boxed(spark, sf_dir) -> Corpus:
@@ -210,44 +219,54 @@ def field_count(spark, sf_dir):
     return a.field_count(_forms(spark, sf_dir))
 
 
-@query("SELECT c_custkey, upper(c_name) AS value FROM customer")
+@query("""
+SELECT c_custkey, 'name' AS partial_name, upper(c_name) AS value FROM customer UNION ALL SELECT c_custkey, 'segment', NULL FROM customer
+UNION ALL SELECT c_custkey, 'active', CASE WHEN c_custkey % 2 = 1 THEN 'Off' ELSE 'Yes' END FROM customer
+""")
 def form_edit(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
     made = w.build(rows, "c_custkey", lambda r: synth.customer_form_pdf(r["c_name"], r["c_acctbal"], r["c_mktsegment"], r["c_custkey"]))
 
     def shout(doc, row):
+        """The name in capitals, the segment cleared, the check box turned over."""
         for num in doc.numbers():
-            d = doc.get(num)
-            if dict_of(d).get(b"T") == b"name":
-                doc.update(num, d | {b"V": d[b"V"].upper()})
+            d = dict_of(doc.get(num))
+            if d.get(b"T") == b"name":
+                kernel_edit.set_field(doc, num, d[b"V"].decode().upper())
+            elif d.get(b"T") == b"segment":
+                kernel_edit.set_field(doc, num, None)
+            elif d.get(b"T") == b"active":
+                kernel_edit.set_field(doc, num, Name(b"Off" if d[b"V"] == b"Yes" else b"Yes"))
+
+    return w.edit(made, shout).table("raw_fields").select("c_custkey", "partial_name", "value").where("partial_name <> 'balance'")
 
-    return w.edit(made, shout).table("form_values").where("name = 'name'").select("c_custkey", "value")
+
+#: Customers of an outline: one document lists those whose keys share all but these last digits.
+_LISTED = 1000
 
 
 def _outlines(spark, sf_dir) -> Corpus:
-    people = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.sort_array(F.collect_list("c_name")).alias("customers"))
-    nations = table(spark, sf_dir, "nation").join(people, "n_nationkey", "left").select("n_regionkey", "n_name", F.coalesce("customers", F.array().cast("array<string>")).alias("customers"))
-    by_region = nations.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.sort_array(F.collect_list(F.struct("n_name", "customers"))).alias("nations"))
-    rows = table(spark, sf_dir, "region").join(by_region, "r_regionkey")
-    return w.build(rows, "r_regionkey", lambda r: synth.region_outline_pdf(r["r_name"], r["nations"]))
-
-
-_OUTLINE = """
-WITH o AS (
-  SELECT r_regionkey, r_name AS title, 0 AS depth, '' AS n, '' AS c FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)
-  UNION ALL SELECT n_regionkey, n_name, 1, n_name, '' FROM nation
-  UNION ALL SELECT n_regionkey, c_name, 2, n_name, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey)
+    """A document for each nation and thousand of customer keys, so that no document grows with the corpus."""
+    people = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey"), F.expr(f"c_custkey div {_LISTED}").alias("part")).agg(F.sort_array(F.collect_list("c_name")).alias("customers"))
+    rows = people.join(table(spark, sf_dir, "nation"), "n_nationkey").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = rows.select(F.concat_ws("/", "n_nationkey", "part").alias("outline"), "r_name", "n_name", "customers")
+    return w.build(rows, "outline", lambda r: synth.region_outline_pdf(r["r_name"], [r]))
+
+
+_OUTLINE = f"""
+WITH p AS (SELECT n_nationkey || '/' || (c_custkey // {_LISTED}) AS outline, r_name, n_name, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+o AS (SELECT DISTINCT outline, r_name AS title, 0 AS depth, '' AS c FROM p UNION ALL SELECT DISTINCT outline, n_name, 1, '' FROM p UNION ALL SELECT outline, c_name, 2, c_name FROM p)
 """
 
 
-@query(_OUTLINE + "SELECT r_regionkey, CAST(row_number() OVER (PARTITION BY r_regionkey ORDER BY n, c) - 1 AS INTEGER) AS seq, CAST(depth AS INTEGER) AS depth, title FROM o")
+@query(_OUTLINE + "SELECT outline, CAST(row_number() OVER (PARTITION BY outline ORDER BY depth, c) - 1 AS INTEGER) AS seq, CAST(depth AS INTEGER) AS depth, title FROM o")
 def outline_dfs(spark, sf_dir):
-    return a.bookmarks(_outlines(spark, sf_dir)).select("r_regionkey", "seq", "depth", "title")
+    return a.bookmarks(_outlines(spark, sf_dir)).select("outline", "seq", "depth", "title")
 
 
-@query(_OUTLINE + "SELECT r_regionkey, CAST(depth AS INTEGER) AS depth, count(*) AS items, 'XYZ' AS fit, CAST(1 AS INTEGER) AS page_num FROM o GROUP BY r_regionkey, depth")
+@query(_OUTLINE + "SELECT outline, CAST(depth AS INTEGER) AS depth, count(*) AS items, 'XYZ' AS fit, CAST(1 AS INTEGER) AS page_num FROM o GROUP BY outline, depth")
 def outline_pages(spark, sf_dir):
-    return a.bookmark_pages(_outlines(spark, sf_dir)).groupBy("r_regionkey", "depth", "fit", "page_num").agg(F.count("*").alias("items"))
+    return a.bookmark_pages(_outlines(spark, sf_dir)).groupBy("outline", "depth", "fit", "page_num").agg(F.count("*").alias("items"))
 
 
 @query("SELECT page_id, url AS uri FROM pages")
@@ -306,15 +325,16 @@ def images(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_orderstatus || '/new' AS title, 'writer' AS author, CAST(2 AS BIGINT) AS sections FROM orders")
 def xref_newest_wins(spark, sf_dir):
-    made = w.build(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", lambda r: synth.revised_pdf(r["o_orderstatus"], r["o_orderstatus"] + "/new"))
-    sections = made.table("xref_entries").groupBy("o_orderkey").agg(F.count_distinct("section").alias("sections"))
-    return made.table("doc_info").select("o_orderkey", "title", "author").join(sections, "o_orderkey")
+    """Sections and metadata from one parse of each file."""
+    made = w.build(spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")), "o_orderkey", lambda r: synth.revised_pdf(r["o_orderstatus"], r["o_orderstatus"] + "/new"))
+    both = made.tables("xref_entries", "doc_info").groupBy("o_orderkey")
+    return both.agg(F.max("doc_info.title").alias("title"), F.max("doc_info.author").alias("author"), F.size(F.collect_set("xref_entries.section")).cast("bigint").alias("sections"))
 
 
 @query("SELECT o_orderkey, CAST(3 AS BIGINT) AS in_use, CAST(1 AS BIGINT) AS replaced FROM orders")
 def xref_merge(spark, sf_dir):
     """The newest entry of each object, by a window over the sections."""
-    made = w.build(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", lambda r: synth.revised_pdf(r["o_orderstatus"], "x"))
+    made = w.build(spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")), "o_orderkey", lambda r: synth.revised_pdf(r["o_orderstatus"], "x"))
     entries = made.table("xref_entries").where("kind = 'inuse'")
     newest = entries.groupBy("o_orderkey", "obj_num").agg(F.min("section").alias("section"), F.count("*").alias("n"))
     return newest.groupBy("o_orderkey").agg(F.count("*").alias("in_use"), F.sum((F.col("n") > 1).cast("bigint")).alias("replaced"))
@@ -323,15 +343,15 @@ def xref_merge(spark, sf_dir):
 @query("SELECT n_nationkey, n_name AS text, CAST(4 AS BIGINT) AS members FROM nation")
 def objstm_expand(spark, sf_dir):
     made = w.build(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey", lambda r: synth.compressed_pdf(r["n_name"]))
-    members = made.objects(False).where("origin = 'objstm'").groupBy("n_nationkey").agg(F.count("*").alias("members"))
-    return made.table("page_text").select("n_nationkey", "text").join(members, "n_nationkey")
+    both = made.tables("page_text", "objects").groupBy("n_nationkey")
+    return both.agg(F.max("page_text.text").alias("text"), F.count(F.when(F.col("objects.origin") == "objstm", 1)).alias("members"))
 
 
 @query("SELECT n_nationkey, n_name AS text, CAST(0 AS BIGINT) AS boxes FROM nation")
 def save_rewrites(spark, sf_dir):
     made = w.save(w.build(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey", lambda r: synth.compressed_pdf(r["n_name"])))
-    boxes = made.objects(False).groupBy("n_nationkey").agg(F.sum(F.col("type_name").isin("ObjStm", "XRef").cast("bigint")).alias("boxes"))
-    return made.table("page_text").select("n_nationkey", "text").join(boxes.select("n_nationkey", F.coalesce("boxes", F.lit(0)).alias("boxes")), "n_nationkey")
+    both = made.tables("page_text", "objects").groupBy("n_nationkey")
+    return both.agg(F.max("page_text.text").alias("text"), F.count(F.when(F.col("objects.type_name").isin("ObjStm", "XRef"), 1)).alias("boxes"))
 
 
 @query("SELECT o_orderkey, o_orderstatus AS title, o_orderpriority AS subject FROM orders")
@@ -361,8 +381,14 @@ def add_image(spark, sf_dir):
         page = next(n for n in doc.numbers() if dict_of(doc.get(n)).get(b"Type") == b"Page")
         kernel_edit.add_image(doc, page, kernel_edit.raw_image(doc, bytes(12), 2, 2), (0, 0, 10, 10), "Stamp")
 
-    out = w.edit(made, stamp)
-    return out.table("page_text").select("s_suppkey", "text").join(a.find_image(out, "Stamp").select("s_suppkey", F.col("name").alias("image")), "s_suppkey")
+    both = w.edit(made, stamp).tables("page_text", "images").groupBy("s_suppkey")
+    return both.agg(F.max("page_text.text").alias("text"), F.max(F.when(F.col("images.name") == "Stamp", F.col("images.name"))).alias("image"))
+
+
+@query("SELECT doc_id, 'Img0' AS name, md5(text) AS pixels FROM documents")
+def find_image(spark, sf_dir):
+    found = a.find_image(documents(spark, sf_dir, lambda x: synth.image_pdf(x.encode())), "Img0")
+    return found.select("doc_id", "name", F.md5("decoded").alias("pixels"))
 
 
 @query("""
@@ -453,15 +479,6 @@ def search_limit(spark, sf_dir):
     return s.search(_shown(spark, sf_dir), "en", s.SearchOptions(max_results=2)).groupBy("doc_id").agg(F.count("*").alias("hits"))
 
 
-@query(f"""
-WITH d AS (SELECT doc_id, {SHOWN} AS t FROM documents), h AS (SELECT doc_id, t, CAST(strpos(t, 'the') AS BIGINT) AS place FROM d)
-SELECT doc_id, 'the' AS match_text, substr(t, greatest(1, place - 41), place - greatest(1, place - 41) + 43) AS context FROM h WHERE place > 0
-""")
-def search_context(spark, sf_dir):
-    hits = s.search(_shown(spark, sf_dir), "the", s.SearchOptions(case_sensitive=True, max_results=1))
-    return hits.select("doc_id", "match_text", "context")
-
-
 @query(f"""
 WITH d AS (SELECT doc_id, {SHOWN} AS t FROM documents), p AS (SELECT doc_id, t, string_split(t, 'the') AS parts FROM d WHERE t <> ''),
 b AS (SELECT doc_id, t, unnest(list_transform(range(1, len(parts)), lambda k: array_to_string(parts[1:k], 'the'))) AS before FROM p)
@@ -469,7 +486,7 @@ SELECT doc_id, 'the' AS match_text, CAST(strlen(before) AS BIGINT) AS "offset",
        substr(t, greatest(0, len(before) - 41) + 1, len(before) - greatest(0, len(before) - 41) + 43) AS context FROM b
 """)
 def search_contexts(spark, sf_dir):
-    """Every hit, where `search_context` has the first of a document."""
+    """Offset and context of every hit."""
     hits = s.search(_shown(spark, sf_dir), "the", s.SearchOptions(case_sensitive=True))
     return hits.select("doc_id", "match_text", "offset", "context")
 
@@ -494,10 +511,25 @@ def search_rollup(spark, sf_dir):
     return docs.select("doc_id", "lang", "source").join(hits, "doc_id", "left").rollup("lang", "source").agg(F.coalesce(F.sum("matches"), F.lit(0)).alias("matches"), F.count("*").alias("docs"))
 
 
-@query("SELECT count(*) AS files, CAST(sum(CAST(strlen(text) > 0 AS INTEGER)) AS BIGINT) AS filled FROM documents")
+@query("SELECT CAST(3 AS BIGINT) + count(*) AS files, CAST(7 * 3 + 2 * sum(strlen(n_name)) AS BIGINT) AS bytes FROM nation")
 def corpus_stats(spark, sf_dir):
-    d = documents(spark, sf_dir, synth.text_pdf).table("documents")
-    return d.agg(F.count("*").alias("files"), F.sum((F.col("length") > 500).cast("bigint")).alias("filled"))
+    """Files and bytes below a folder; three of them lie deeper."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.concat("n_name", "n_name").cast("binary").alias("content"))
+    folder = shared_folder(spark)
+    w.write_files(Corpus(rows, "key"), folder).count()
+    w.write_files(Corpus(spark.range(3).select(F.col("id").alias("key"), F.lit("1234567").cast("binary").alias("content")), "key"), f"{folder}/deeper/still").count()
+    return pdf_source.corpus_stats(spark, folder)
+
+
+@query("SELECT s_suppkey, s_name || chr(10) || s_nationkey AS text, '1.7' AS version FROM supplier")
+def file_roundtrip(spark, sf_dir):
+    """Documents written as files and read back by path."""
+    folder = shared_folder(spark)
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat_ws("\n", "s_name", F.col("s_nationkey").cast("string")).alias("text"))
+    w.write_files(w.build(rows, "s_suppkey", lambda r: synth.text_pdf(r["text"])), folder).count()
+    both = pdf_source.read_pdf(spark, folder).tables("documents", "page_text").groupBy("path")
+    read = both.agg(F.max("page_text.text").alias("text"), F.max("documents.header_version").alias("version"))
+    return read.select(F.regexp_extract("path", r"([0-9]+)\.pdf$", 1).cast(table(spark, sf_dir, "supplier").schema["s_suppkey"].dataType).alias("s_suppkey"), "text", "version")
 
 
 # Scalars.
@@ -655,3 +687,159 @@ def encodings(spark, sf_dir):
 def standard_fonts(spark, sf_dir):
     rows = spark.createDataFrame([(n,) for n in ("Courier", "Helvetica-Bold", "Symbol", "ABCDEF+Arial")], "font string")
     return rows.select("font", t.standard_width(F.col("font")).alias("width"), t.is_subset_font(F.col("font")).alias("subset"))
+
+
+# Files put together by hand: the reader alone is under test.
+
+
+def _handmade(spark, sf_dir, name: str, key: str, make: Callable[[dict], bytes], *more: str) -> Corpus:
+    return w.build(spread(table(spark, sf_dir, name).select(key, *more)), key, make)
+
+
+def _joined(values: F.Column) -> F.Column:
+    return F.array_join(F.transform(values, lambda x: x.cast("bigint").cast("string")), " ")
+
+
+@query("""
+SELECT p_partkey, CAST(seq AS INTEGER) AS seq, op, replace(nums, '%', CAST(p_size AS VARCHAR)) AS nums, names, strs FROM part, (VALUES
+(0, 'q', '', '', ''), (1, 'cm', '1 0 0 1 % 0', '', ''), (2, 'J', '2', '', ''), (3, 'j', '1', '', ''), (4, 'M', '4', '', ''), (5, 'd', '3 % 1', '', ''), (6, 'ri', '', 'Perceptual', ''), (7, 'i', '50', '', ''), (8, 'gs', '', 'G1', ''), (9, 'w', '7', '', ''),
+(10, 'm', '% 0', '', ''), (11, 'l', '% 1', '', ''), (12, 'c', '1 2 3 4 5 %', '', ''), (13, 'v', '1 2 3 %', '', ''), (14, 'y', '4 3 2 %', '', ''), (15, 'h', '', '', ''), (16, 're', '0 0 % 9', '', ''), (17, 'S', '', '', ''),
+(18, 's', '', '', ''), (19, 'f', '', '', ''), (20, 'F', '', '', ''), (21, 'f*', '', '', ''), (22, 'B', '', '', ''), (23, 'B*', '', '', ''), (24, 'b', '', '', ''), (25, 'b*', '', '', ''), (26, 'n', '', '', ''), (27, 'W', '', '', ''), (28, 'W*', '', '', ''),
+(29, 'CS', '', 'Cs1', ''), (30, 'cs', '', 'Cs2', ''), (31, 'SC', '1 2 3 %', '', ''), (32, 'SCN', '1 %', '', ''), (33, 'sc', '3', '', ''), (34, 'scn', '% 4', '', ''), (35, 'G', '1', '', ''), (36, 'g', '0', '', ''), (37, 'RG', '1 0 %', '', ''), (38, 'rg', '0 1 %', '', ''), (39, 'K', '1 2 3 %', '', ''), (40, 'k', '4 3 2 %', '', ''),
+(41, 'sh', '', 'Sh1', ''), (42, 'MP', '', 'T1', ''), (43, 'DP', '', 'T2', ''), (44, 'BMC', '', 'T3', ''), (45, 'EMC', '', '', ''), (46, 'BX', '', '', ''), (47, 'EX', '', '', ''), (48, 'Q', '', '', ''),
+(49, 'BT', '', '', ''), (50, 'Tc', '2', '', ''), (51, 'Tw', '3', '', ''), (52, 'Tz', '90', '', ''), (53, 'TL', '14', '', ''), (54, 'Tf', '%', 'F1', ''), (55, 'Tr', '1', '', ''), (56, 'Ts', '5', '', ''), (57, 'Td', '10 %', '', ''), (58, 'TD', '0 -%', '', ''), (59, 'Tm', '1 0 0 1 % 2', '', ''),
+(60, 'T*', '', '', ''), (61, 'Tj', '', '', 'a'), (62, 'TJ', '-100', '', 'b|c'), (63, chr(39), '', '', 'd'), (64, '"', '1 2', '', 'e'), (65, 'ET', '', '', '')) AS o(seq, op, nums, names, strs)
+""")
+def every_operator(spark, sf_dir):
+    ops = _handmade(spark, sf_dir, "part", "p_partkey", lambda r: handmade.every_operator(r["p_size"]), "p_size").table("content_ops")
+    strs = F.array_join(F.transform("strs", lambda x: x.cast("string")), "|")
+    return ops.select("p_partkey", "seq", "op", _joined(F.col("nums")).alias("nums"), F.array_join("names", " ").alias("names"), strs.alias("strs"))
+
+
+@query("""
+SELECT p_partkey, CAST(2 AS INTEGER) AS line_cap, CAST(1 AS INTEGER) AS line_join, CAST(4 AS DOUBLE) AS miter_limit, '3 ' || p_size AS dash, CAST(1 AS DOUBLE) AS dash_phase, 'Perceptual' AS rendering_intent, CAST(50 AS DOUBLE) AS flatness, 'G1' AS ext_state,
+       'DeviceCMYK' AS stroke_space, 'DeviceCMYK' AS fill_space, '1 2 3 ' || p_size AS stroke_color, '4 3 2 ' || p_size AS fill_color, '1 0 0 1 ' || p_size || ' 0' AS ctm FROM part
+""")
+def drawing_states(spark, sf_dir):
+    """What painting depends on before the state is restored."""
+    states = _handmade(spark, sf_dir, "part", "p_partkey", lambda r: handmade.every_operator(r["p_size"]), "p_size").table("graphics_states").where("op = 'EX'")
+    joined = [_joined(F.col(c)).alias(c) for c in ("dash", "stroke_color", "fill_color", "ctm")]
+    return states.select("p_partkey", "line_cap", "line_join", "miter_limit", "dash_phase", "rendering_intent", "flatness", "ext_state", "stroke_space", "fill_space", *joined)
+
+
+@query("""
+SELECT p_partkey, CAST(2 AS DOUBLE) AS char_spacing, CAST(3 AS DOUBLE) AS word_spacing, CAST(90 AS DOUBLE) AS horizontal_scaling, CAST(p_size AS DOUBLE) AS leading, 'F1' AS font, CAST(p_size AS DOUBLE) AS font_size,
+       CAST(1 AS INTEGER) AS render_mode, CAST(5 AS DOUBLE) AS rise, CAST(0 AS INTEGER) AS line_cap, 'DeviceGray' AS fill_space, CAST(0 AS INTEGER) AS depth FROM part
+""")
+def text_states(spark, sf_dir):
+    """What showing text depends on at its end; the drawing's state was restored before it."""
+    states = _handmade(spark, sf_dir, "part", "p_partkey", lambda r: handmade.every_operator(r["p_size"]), "p_size").table("graphics_states").where("op = 'ET'")
+    return states.select("p_partkey", "char_spacing", "word_spacing", "horizontal_scaling", "leading", "font", "font_size", "render_mode", "rise", "line_cap", "fill_space", "depth")
+
+
+@query("SELECT s_suppkey, array_to_string([s_name, 'two', 'three widenear', 'fivesix', 'sevena bc', 'after'], chr(10)) AS text FROM supplier")
+def text_fold(spark, sf_dir):
+    return texts(_handmade(spark, sf_dir, "supplier", "s_suppkey", lambda r: handmade.folded_text(r["s_name"]), "s_name"))
+
+
+@query("""
+SELECT p_partkey, 'AÉα€Ä ' || p_size AS text, 'TrueType' AS font_type, 'ABCDEF+Own' AS base_font, CAST(65 AS INTEGER) AS first_char, CAST(p_size AS DOUBLE) AS width_a, CAST(333 AS DOUBLE) AS width_c, CAST(111 AS DOUBLE) AS other_width, 'É€Ä' AS mapped FROM part
+""")
+def simple_fonts(spark, sf_dir):
+    both = _handmade(spark, sf_dir, "part", "p_partkey", lambda r: handmade.simple_font(r["p_size"]), "p_size").tables("page_text", "fonts").groupBy("p_partkey")
+    width = lambda code: F.max(F.try_element_at("fonts.widths", F.lit(code)))
+    mapped = F.concat(*[F.get("fonts.encoding", F.lit(c)) for c in (66, 200, 128)])
+    return both.agg(
+        F.max("page_text.text").alias("text"), F.max("fonts.font_type").alias("font_type"), F.max("fonts.base_font").alias("base_font"), F.max("fonts.first_char").alias("first_char"),
+        width(65).alias("width_a"), width(67).alias("width_c"), F.max("fonts.default_width").alias("other_width"), F.max(mapped).alias("mapped"),
+    )
+
+
+@query("""
+SELECT s_suppkey, CAST(s_suppkey + 10 AS BIGINT) AS width, CAST(2 * s_suppkey + 5 AS BIGINT) AS height, 'DCTDecode' AS filter, TRUE AS undecoded,
+       'FFD8FFE000104A46494600010100000100010000FFC0001108' || printf('%04X', 2 * s_suppkey + 5) || printf('%04X', s_suppkey + 10) || '03011100021100031100FFD9' AS raw FROM supplier
+""")
+def jpeg_images(spark, sf_dir):
+    def embed(row: dict) -> bytes:
+        doc = Document.empty()
+        k = row["s_suppkey"]
+        kernel_edit.add_image(doc, doc.create_page(kernel_edit.LETTER), kernel_edit.jpeg_image(doc, handmade.jpeg(k + 10, 2 * k + 5)), kernel_edit.LETTER, "Photo")
+        return doc.save()
+
+    i = a.find_image(_handmade(spark, sf_dir, "supplier", "s_suppkey", embed), "Photo")
+    return i.select("s_suppkey", "width", "height", F.array_join("filters", " ").alias("filter"), F.col("decoded").isNull().alias("undecoded"), F.hex("raw").alias("raw"))
+
+
+@query("SELECT s_suppkey, CAST(s_suppkey + 10 AS BIGINT) AS width, CAST(2 * s_suppkey + 5 AS BIGINT) AS height, TRUE AS is_photo FROM supplier")
+def image_files(spark, sf_dir):
+    """JPEG files below a folder, each made into a document of one page."""
+    folder = shared_folder(spark)
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey")
+    w.write_files(w.build(rows, "s_suppkey", lambda r: handmade.jpeg(r["s_suppkey"] + 10, 2 * r["s_suppkey"] + 5)), folder).count()
+    i = a.images(w.image_files(spark, folder))
+    key = F.regexp_extract("doc_id", r"([0-9]+)\.pdf$", 1).cast(rows.schema["s_suppkey"].dataType)
+    return i.select(key.alias("s_suppkey"), "width", "height", codecs.is_jpeg(F.col("raw")).alias("is_photo"))
+
+
+@query("""
+SELECT s_suppkey, 'Line' AS subtype, CAST(s_suppkey AS DOUBLE) AS shape_x, CAST(1 AS BIGINT) AS shapes, 'Dashed' AS border, CAST(s_suppkey AS DOUBLE) AS border_width, '3 ' || s_suppkey AS dash, CAST(8 AS BIGINT) AS popup, 'n' || s_suppkey AS name, 'Author' AS title, 'about' AS subject, CAST(2024 AS INTEGER) AS modified, CAST(2023 AS INTEGER) AS created, CAST(1 AS DOUBLE) AS opacity, 'PRINT' AS flags FROM supplier
+UNION ALL SELECT s_suppkey, 'Ink', s_suppkey, 2, 'Solid', 1, '3', NULL, NULL, NULL, NULL, NULL, NULL, 1, '' FROM supplier
+UNION ALL SELECT s_suppkey, 'Polygon', s_suppkey, 3, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0.5, '' FROM supplier
+""")
+def annot_details(spark, sf_dir):
+    n = a.annotations(_handmade(spark, sf_dir, "supplier", "s_suppkey", lambda r: handmade.annotated(r["s_suppkey"])))
+    ink, corners = F.col("ink_lists"), F.col("vertices")
+    x = F.coalesce(F.get("line", F.lit(2)), F.get(F.get(ink, F.lit(0)), F.lit(1))["x"], F.get(corners, F.lit(1))["x"])
+    shapes = F.when(F.col("line").isNotNull(), 1).when(ink.isNotNull(), F.size(ink)).otherwise(F.size(corners)).cast("bigint")
+    return n.select(
+        "s_suppkey", "subtype", x.alias("shape_x"), shapes.alias("shapes"), F.col("border_style").alias("border"), "border_width", _joined(F.col("border_dash")).alias("dash"), F.col("popup_obj").alias("popup"),
+        "name", "title", "subject", F.col("modified.year").alias("modified"), F.col("created.year").alias("created"), "opacity", F.array_join("flag_names", " ").alias("flags"),
+    )
+
+
+@query("""
+SELECT n_nationkey, CAST(0 AS INTEGER) AS seq, n_name AS title, n_nationkey % 3 = 2 AS is_open, n_nationkey % 2 = 1 AS is_italic, n_nationkey % 4 >= 2 AS is_bold, n_nationkey % 2 = 1 AS has_children, CAST(0.5 AS DOUBLE) AS blue, NULL AS fit FROM nation
+UNION ALL SELECT n_nationkey, 1, 'below', FALSE, FALSE, FALSE, FALSE, NULL, 'FitH' FROM nation WHERE n_nationkey % 2 = 1
+""")
+def bookmark_flags(spark, sf_dir):
+    marks = a.bookmarks(_handmade(spark, sf_dir, "nation", "n_nationkey", lambda r: handmade.styled_bookmark(r["n_nationkey"], r["n_name"]), "n_name"))
+    return marks.select("n_nationkey", "seq", "title", "is_open", "is_italic", "is_bold", "has_children", F.get("color", F.lit(2)).alias("blue"), "fit")
+
+
+@query("""
+SELECT s_suppkey, TRUE AS b, 'Name' || s_suppkey AS n, '3 0 R' AS r, TRUE AS x_is_y, FALSE AS x_is_z, CAST(s_suppkey AS BIGINT) AS i, CAST(-s_suppkey AS BIGINT) AS f, CAST(-s_suppkey - 0.75 AS DOUBLE) AS f64, 'text' AS s, TRUE AS o, CAST(3 AS INTEGER) AS size, TRUE AS is_number, CAST(NULL AS BIGINT) AS wrong FROM supplier
+""")
+def variant_access(spark, sf_dir):
+    o = _handmade(spark, sf_dir, "supplier", "s_suppkey", lambda r: handmade.typed_values(r["s_suppkey"])).objects().where("obj_num = 5")
+    m = lambda key: o_.member(F.col("v"), key)
+    ref, same = o_.as_ref(m("R")), F.lit("array")
+    return o.select(
+        "s_suppkey", o_.as_bool(m("B")).alias("b"), o_.as_name(m("N")).alias("n"), o_.ref_text(ref["num"], ref["gen"]).alias("r"), o_.equal(m("X"), m("Y"), same, same).alias("x_is_y"), o_.equal(m("X"), m("Z"), same, same).alias("x_is_z"),
+        o_.as_i64(m("I")).alias("i"), o_.as_i64(m("F")).alias("f"), o_.as_f64(m("F")).alias("f64"), o_.as_text(m("S")).alias("s"), o_.is_kind(m("O"), "null").alias("o"), o_.array_size(m("X")).alias("size"),
+        o_.is_number(m("F")).alias("is_number"), o_.as_i64(m("N")).alias("wrong"),
+    )
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, round(2 * l_quantity, 6) AS a, round(5 * l_tax + 7 * (1 + l_tax), 6) AS d, round(11 * l_quantity + 13 * l_discount + l_linenumber, 6) AS h FROM lineitem
+""")
+def matrix_concat(spark, sf_dir):
+    """A matrix put before another: m.concat(n) is n, then m."""
+    m = g.matrix(F.col("l_quantity"), F.col("l_tax"), F.col("l_discount"), 1 + F.col("l_tax"), F.col("l_linenumber"), F.lit(0.0))
+    both = g.concat(m, g.matrix(2, 0, 5, 7, 11, 13))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", both.alias("n"))
+    return rows.select("l_orderkey", "l_linenumber", F.round("n.a", 6).alias("a"), F.round("n.d", 6).alias("d"), F.round("n.h", 6).alias("h"))
+
+
+@query("""
+SELECT * FROM (VALUES ('ASCII85Decode', '<~87cURD]j7BEbo80~>', 'Hello world!'), ('ASCIIHexDecode', '48 656C6c 6F>zz', 'Hello'), ('ASCIIHexDecode', '4>', '@')) AS v(filter, encoded, decoded)
+UNION ALL SELECT * FROM (VALUES ('FlateDecode', '789ccb48cdc9c95728cf2fca4901001a0b045d', 'hello world'), ('LZWDecode', '800b6050220c0c8501', '-----A---B'), ('RunLengthDecode', '0268656cfe6c006f80', 'hellllo')) AS h(filter, encoded, decoded)
+""")
+def codec_vectors(spark, sf_dir):
+    """Encoded bytes that other programs and the format's specification give."""
+    ship(spark)
+    plain = [("ASCII85Decode", "<~87cURD]j7BEbo80~>"), ("ASCIIHexDecode", "48 656C6c 6F>zz"), ("ASCIIHexDecode", "4>")]
+    coded = [("FlateDecode", "789ccb48cdc9c95728cf2fca4901001a0b045d"), ("LZWDecode", "800b6050220c0c8501"), ("RunLengthDecode", "0268656cfe6c006f80")]
+    rows = spark.createDataFrame([(f, e, e.encode()) for f, e in plain] + [(f, e, bytes.fromhex(e)) for f, e in coded], "filter string, encoded string, data binary")
+    decoded = F.coalesce(*[F.when(F.col("filter") == f, codecs.decode_stream(F.col("data"), f)) for f in sorted({f for f, _ in plain + coded})])
+    return rows.select("filter", "encoded", decoded.cast("string").alias("decoded"))

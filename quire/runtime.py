@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -49,6 +50,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below that of checkpoints, or on a single machine a temporary one."""
+    sc = spark.sparkContext
+    shared = sc._jsc.sc().getCheckpointDir()
+    base = shared.get() if shared.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{base or tempfile.mkdtemp(prefix='quire-')}/files-{uuid.uuid4().hex}"
+
+
 def _folder(checkpointed: DataFrame) -> str | None:
     """Where a checkpointed frame's rows lie."""
     file = checkpointed._jdf.logicalPlan().rdd().getCheckpointFile()

@@ -137,7 +137,7 @@ def test_a_bad_document_costs_its_own_rows(spark):
         alone = {r.doc_id for r in Corpus(spark.createDataFrame(rows[len(bad) : -1], "doc_id string, content binary")).table(name).select("doc_id").distinct().collect()}
         assert alone <= seen
     strict = Corpus(corpus.files, fail_fast=True)
-    with pytest.raises(Exception, match="PDF"):
+    with pytest.raises(Exception, match="PdfError"):
         strict.table("raw_pages").collect()
 
 
