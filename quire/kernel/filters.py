@@ -107,23 +107,54 @@ def runlength_encode(data: bytes) -> bytes:
 _CLEAR, _EOD = 256, 257
 
 
+def _lzw_widths(early: int, count: int) -> np.ndarray:
+    """Bits of the codes that follow a clear code: from the second on, each finds one more entry in the table."""
+    full = np.minimum(257 + np.arange(count), 4096) + early
+    return 9 + (full >= 512).astype(np.int64) + (full >= 1024) + (full >= 2048)
+
+
+#: The first codes of a run, all of nine bits, are read one by one; runs are often short.
+_FIRST_CODES = 64
+
+
+def _lzw_run(data: bytes, held: np.ndarray, at: int, plan: np.ndarray) -> tuple[list[int], int, int]:
+    """The codes from a bit on, the clear or end code after them (-1 if the data ends), and the bit behind it."""
+    codes: list[int] = []
+    total = 8 * len(data)
+    while len(codes) < _FIRST_CODES:
+        if at + 9 > total:
+            return codes, -1, at
+        code = int.from_bytes(data[at >> 3 : (at >> 3) + 2], "big") >> (7 - (at & 7)) & 511
+        at += 9
+        if code == _CLEAR or code == _EOD:
+            return codes, code, at
+        codes.append(code)
+    width = plan[_FIRST_CODES:]
+    rest = total - at - int(width.sum())
+    if rest > 0:  # a full table that is not cleared stays at 12 bits
+        width = np.concatenate([width, np.full(rest // 12, 12, np.int64)])
+    ends = at + np.cumsum(width)
+    n = int(np.searchsorted(ends, total, "right"))
+    offset, width = ends[:n] - width[:n], width[:n]
+    byte = offset >> 3
+    value = (held[byte] << 16 | held[byte + 1] << 8 | held[byte + 2]) >> (24 - width - (offset & 7)) & (1 << width) - 1
+    stops = np.flatnonzero((value == _CLEAR) | (value == _EOD))
+    if not len(stops):
+        return codes + value.tolist(), -1, total
+    return codes + value[: stops[0]].tolist(), int(value[stops[0]]), int(ends[stops[0]])
+
+
 def lzw_decode(data: bytes, early: int = 1) -> bytes:
     """Variable-width codes, most significant bit first; an end code is required."""
     out: list[bytes] = []
     roots = [bytes([i]) for i in range(256)] + [b"", b""]
-    table = roots.copy()
-    width, held, bits, previous, size = 9, 0, 0, None, 0
-    for byte in data:
-        held = (held << 8 | byte) & 0xFFFFFFFF
-        bits += 8
-        while bits >= width:
-            code = held >> (bits - width) & (1 << width) - 1
-            bits -= width
-            if code == _EOD:
-                return b"".join(out)
-            if code == _CLEAR:
-                table, width, previous = roots.copy(), 9, None
-                continue
+    held = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
+    plan = _lzw_widths(early, 4096)
+    at = size = 0
+    while True:
+        codes, stop, at = _lzw_run(data, held, at, plan)
+        table, previous = roots.copy() if codes else roots, None
+        for code in codes:
             if code < len(table):
                 entry = table[code]
             elif previous is not None and code == len(table):
@@ -136,51 +167,48 @@ def lzw_decode(data: bytes, early: int = 1) -> bytes:
             if previous is not None and len(table) < 4096:
                 table.append(previous + entry[:1])
             previous = entry
-            full = len(table) + early
-            width = 9 if full < 512 else 10 if full < 1024 else 11 if full < 2048 else 12
-    raise PdfError("filter", "LZW data has no end code")
+        if stop < 0:
+            raise PdfError("filter", "LZW data has no end code")
+        if stop == _EOD:
+            return b"".join(out)
 
 
 def lzw_encode(data: bytes, early: int = 1) -> bytes:
-    out, held, bits = bytearray(), 0, 0
-    table: dict[bytes, int] = {bytes([i]): i for i in range(256)}
-    free, width = 258, 9
-
-    def put(code: int):
-        nonlocal held, bits
-        held = held << width | code
-        bits += width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits & 255)
-        held &= (1 << bits) - 1
-
-    put(_CLEAR)
-    current = b""
-    for i in range(len(data)):
-        longer = current + data[i : i + 1]
-        if longer in table:
+    codes, runs = [_CLEAR], []  # runs: codes after each clear code, with the clear or end code that follows them
+    table: dict[int, int] = {}
+    begun, free, current = 1, 258, -1
+    for byte in data:
+        if current < 0:
+            current = byte
+            continue
+        key = current << 8 | byte
+        longer = table.get(key)
+        if longer is not None:
             current = longer
             continue
-        put(table[current])
-        table[longer] = free
+        codes.append(current)
+        table[key] = free
         free += 1
-        # The reader's table is one entry behind.
-        full = free - 1 + early
-        width = 9 if full < 512 else 10 if full < 1024 else 11 if full < 2048 else 12
         if free >= 4094:
-            put(_CLEAR)
-            table = {bytes([k]): k for k in range(256)}
-            free, width = 258, 9
-        current = longer[-1:]
-    if current:
-        put(table[current])
-        full = free + early
-        width = 9 if full < 512 else 10 if full < 1024 else 11 if full < 2048 else 12
-    put(_EOD)
-    if bits:
-        out.append(held << (8 - bits) & 255)
-    return bytes(out)
+            codes.append(_CLEAR)
+            runs.append(len(codes) - begun)
+            begun, free = len(codes), 258
+            table.clear()
+        current = byte
+    if current >= 0:
+        codes.append(current)
+    codes.append(_EOD)
+    runs.append(len(codes) - begun)
+    plan = _lzw_widths(early, 4096)
+    width = np.concatenate([[9], *(plan[:n] for n in runs)])
+    value = np.array(codes, np.int64)
+    offset = np.cumsum(width) - width
+    placed = value << (24 - width - (offset & 7))
+    bits = int(offset[-1] + width[-1])
+    packed = np.zeros((bits + 7) // 8 + 3)
+    for k in range(3):
+        packed += np.bincount((offset >> 3) + k, weights=placed >> (16 - 8 * k) & 255, minlength=len(packed))
+    return packed[: (bits + 7) // 8].astype(np.uint8).tobytes()
 
 
 def paeth(a: int, b: int, c: int) -> int:

@@ -49,14 +49,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows in as many tasks as there are cores, where their files give fewer: what follows is work by the row."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+def tasks(rows: DataFrame) -> int:
+    """Partitions for work by the row, which is heavy however few bytes the rows have."""
+    spark = rows.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def build(rows: DataFrame, key: str, make: Callable[[dict], bytes]) -> Corpus:
+    """One document per row; rows that come from few pieces of a file are first dealt to all cores."""
+    plan = rows._jdf.queryExecution()
+    if "AdaptiveSparkPlan" not in plan.executedPlan().toString() and plan.toRdd().getNumPartitions() < rows.sparkSession.sparkContext.defaultParallelism:
+        rows = rows.repartition(tasks(rows))
+    return w.build(rows, key, make)
 
 
 def documents(spark: SparkSession, sf_dir: str, make: Callable[[str], bytes]) -> Corpus:
-    return w.build(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", lambda r: make(r["text"] or ""))
+    return build(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", lambda r: make(r["text"] or ""))
 
 
 def texts(corpus: Corpus) -> DataFrame:
@@ -110,7 +118,7 @@ def text_spaced(spark, sf_dir):
 @query("SELECT turn, role || ': ' || conv_id AS text, conv_id FROM conversations")
 def page_texts(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role").alias("x")).groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    made = w.build(rows, "conv_id", lambda r: synth.pages_pdf([f"{x['role']}: {r['conv_id']}" for x in r["xs"]]))
+    made = build(rows, "conv_id", lambda r: synth.pages_pdf([f"{x['role']}: {r['conv_id']}" for x in r["xs"]]))
     turns = rows.select("conv_id", F.posexplode("xs").alias("i", "x")).select("conv_id", (F.col("i") + 1).alias("page_num"), "x.turn")
     return made.table("page_text").join(turns, ["conv_id", "page_num"]).select("conv_id", "turn", "text")
 
@@ -118,7 +126,7 @@ def page_texts(spark, sf_dir):
 @query("SELECT conv_id, count(*) AS pages, count(*) AS stated FROM conversations GROUP BY conv_id")
 def page_count(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("roles"))
-    return p.page_counts(w.build(rows, "conv_id", lambda r: synth.pages_pdf(r["roles"]))).select("conv_id", F.col("page_count").alias("pages"), F.col("stated_page_count").alias("stated"))
+    return p.page_counts(build(rows, "conv_id", lambda r: synth.pages_pdf(r["roles"]))).select("conv_id", F.col("page_count").alias("pages"), F.col("stated_page_count").alias("stated"))
 
 
 @query("SELECT doc_id, '1.7' AS version, CAST(1 AS BIGINT) AS pages, FALSE AS broken FROM documents")
@@ -131,12 +139,12 @@ def doc_scan(spark, sf_dir):
 def broken_documents(spark, sf_dir):
     """Damaged files, among them sections of billions of entries and thousands of open brackets, cost their own rows only."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    made = w.build(rows, "doc_id", lambda r: handmade.broken(r["doc_id"] % 6, r["text"] or "")).tables("documents", "page_text")
+    made = build(rows, "doc_id", lambda r: handmade.broken(r["doc_id"] % 6, r["text"] or "")).tables("documents", "page_text")
     return made.groupBy("doc_id").agg(F.max("documents.error.kind").alias("error_kind"), F.count("page_text").alias("texts"))
 
 
 def _boxed(spark, sf_dir) -> Corpus:
-    return w.build(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", lambda r: synth.boxed_pdf(r["p_partkey"], r["p_size"]))
+    return build(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", lambda r: synth.boxed_pdf(r["p_partkey"], r["p_size"]))
 
 
 _BOXES = """
@@ -171,12 +179,12 @@ def get_page(spark, sf_dir):
 @query("SELECT page_id, url AS title, 'page ' || page_id AS author, CAST(NULL AS VARCHAR) AS subject FROM pages")
 def doc_info(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select("page_id", "url")
-    return w.build(rows, "page_id", lambda r: synth.info_pdf(Title=r["url"], Author=f"page {r['page_id']}")).table("doc_info").select("page_id", "title", "author", "subject")
+    return build(rows, "page_id", lambda r: synth.info_pdf(Title=r["url"], Author=f"page {r['page_id']}")).table("doc_info").select("page_id", "title", "author", "subject")
 
 
 def _forms(spark, sf_dir) -> Corpus:
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    return w.build(rows, "c_custkey", lambda r: synth.customer_form_pdf(r["c_name"], r["c_acctbal"], r["c_mktsegment"], r["c_custkey"]))
+    return build(rows, "c_custkey", lambda r: synth.customer_form_pdf(r["c_name"], r["c_acctbal"], r["c_mktsegment"], r["c_custkey"]))
 
 
 @query("""
@@ -225,7 +233,7 @@ UNION ALL SELECT c_custkey, 'active', CASE WHEN c_custkey % 2 = 1 THEN 'Off' ELS
 """)
 def form_edit(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    made = w.build(rows, "c_custkey", lambda r: synth.customer_form_pdf(r["c_name"], r["c_acctbal"], r["c_mktsegment"], r["c_custkey"]))
+    made = build(rows, "c_custkey", lambda r: synth.customer_form_pdf(r["c_name"], r["c_acctbal"], r["c_mktsegment"], r["c_custkey"]))
 
     def shout(doc, row):
         """The name in capitals, the segment cleared, the check box turned over."""
@@ -250,7 +258,7 @@ def _outlines(spark, sf_dir) -> Corpus:
     people = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey"), F.expr(f"c_custkey div {_LISTED}").alias("part")).agg(F.sort_array(F.collect_list("c_name")).alias("customers"))
     rows = people.join(table(spark, sf_dir, "nation"), "n_nationkey").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = rows.select(F.concat_ws("/", "n_nationkey", "part").alias("outline"), "r_name", "n_name", "customers")
-    return w.build(rows, "outline", lambda r: synth.region_outline_pdf(r["r_name"], [r]))
+    return build(rows, "outline", lambda r: synth.region_outline_pdf(r["r_name"], [r]))
 
 
 _OUTLINE = f"""
@@ -271,7 +279,7 @@ def outline_pages(spark, sf_dir):
 
 @query("SELECT page_id, url AS uri FROM pages")
 def link_uris(spark, sf_dir):
-    return a.links(w.build(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", lambda r: synth.link_pdf(r["url"] or ""))).select("page_id", "uri")
+    return a.links(build(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", lambda r: synth.link_pdf(r["url"] or ""))).select("page_id", "uri")
 
 
 @query("""
@@ -279,15 +287,16 @@ SELECT page_id, 'annotation' AS owner, CAST(0 AS INTEGER) AS seq, 'URI' AS actio
 UNION ALL SELECT page_id, 'annotation', 2, 'Named', 'NextPage' FROM pages UNION ALL SELECT page_id, 'bookmark', 0, 'GoTo', 'FitH 700' FROM pages
 """)
 def actions(spark, sf_dir):
-    made = w.build(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", lambda r: synth.actions_pdf(r["url"] or "", f"alert({r['page_id']})"))
+    made = build(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", lambda r: synth.actions_pdf(r["url"] or "", f"alert({r['page_id']})"))
     target = F.coalesce("uri", "javascript", "named", F.concat_ws(" ", "fit", F.get("coords", F.lit(0)).cast("int").cast("string")))
     return made.table("actions").select("page_id", "owner", "seq", "action", target.alias("target"))
 
 
 def _marked(spark, sf_dir) -> Corpus:
     cols = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("lines"))
-    return w.build(rows, "l_orderkey", lambda r: synth.marked_pdf(r["lines"]))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", *cols)
+    rows = items.repartition(tasks(items), "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("lines"))
+    return build(rows, "l_orderkey", lambda r: synth.marked_pdf(r["lines"]))
 
 
 @query("""
@@ -326,7 +335,7 @@ def images(spark, sf_dir):
 @query("SELECT o_orderkey, o_orderstatus || '/new' AS title, 'writer' AS author, CAST(2 AS BIGINT) AS sections FROM orders")
 def xref_newest_wins(spark, sf_dir):
     """Sections and metadata from one parse of each file."""
-    made = w.build(spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")), "o_orderkey", lambda r: synth.revised_pdf(r["o_orderstatus"], r["o_orderstatus"] + "/new"))
+    made = build(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", lambda r: synth.revised_pdf(r["o_orderstatus"], r["o_orderstatus"] + "/new"))
     both = made.tables("xref_entries", "doc_info").groupBy("o_orderkey")
     return both.agg(F.max("doc_info.title").alias("title"), F.max("doc_info.author").alias("author"), F.size(F.collect_set("xref_entries.section")).cast("bigint").alias("sections"))
 
@@ -334,7 +343,7 @@ def xref_newest_wins(spark, sf_dir):
 @query("SELECT o_orderkey, CAST(3 AS BIGINT) AS in_use, CAST(1 AS BIGINT) AS replaced FROM orders")
 def xref_merge(spark, sf_dir):
     """The newest entry of each object, by a window over the sections."""
-    made = w.build(spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")), "o_orderkey", lambda r: synth.revised_pdf(r["o_orderstatus"], "x"))
+    made = build(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", lambda r: synth.revised_pdf(r["o_orderstatus"], "x"))
     entries = made.table("xref_entries").where("kind = 'inuse'")
     newest = entries.groupBy("o_orderkey", "obj_num").agg(F.min("section").alias("section"), F.count("*").alias("n"))
     return newest.groupBy("o_orderkey").agg(F.count("*").alias("in_use"), F.sum((F.col("n") > 1).cast("bigint")).alias("replaced"))
@@ -342,14 +351,14 @@ def xref_merge(spark, sf_dir):
 
 @query("SELECT n_nationkey, n_name AS text, CAST(4 AS BIGINT) AS members FROM nation")
 def objstm_expand(spark, sf_dir):
-    made = w.build(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey", lambda r: synth.compressed_pdf(r["n_name"]))
+    made = build(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey", lambda r: synth.compressed_pdf(r["n_name"]))
     both = made.tables("page_text", "objects").groupBy("n_nationkey")
     return both.agg(F.max("page_text.text").alias("text"), F.count(F.when(F.col("objects.origin") == "objstm", 1)).alias("members"))
 
 
 @query("SELECT n_nationkey, n_name AS text, CAST(0 AS BIGINT) AS boxes FROM nation")
 def save_rewrites(spark, sf_dir):
-    made = w.save(w.build(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey", lambda r: synth.compressed_pdf(r["n_name"])))
+    made = w.save(build(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey", lambda r: synth.compressed_pdf(r["n_name"])))
     both = made.tables("page_text", "objects").groupBy("n_nationkey")
     return both.agg(F.max("page_text.text").alias("text"), F.count(F.when(F.col("objects.type_name").isin("ObjStm", "XRef"), 1)).alias("boxes"))
 
@@ -357,7 +366,7 @@ def save_rewrites(spark, sf_dir):
 @query("SELECT o_orderkey, o_orderstatus AS title, o_orderpriority AS subject FROM orders")
 def overlay_save(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    made = w.build(rows, "o_orderkey", lambda r: synth.info_pdf(Title=r["o_orderstatus"], Keywords=r["o_orderpriority"]))
+    made = build(rows, "o_orderkey", lambda r: synth.info_pdf(Title=r["o_orderstatus"], Keywords=r["o_orderpriority"]))
 
     def change(doc, row):
         num = doc.trailer[b"Info"].num
@@ -368,14 +377,14 @@ def overlay_save(spark, sf_dir):
 
 @query("SELECT s_suppkey, CAST(2 AS BIGINT) AS pages, CAST(300 AS DOUBLE) AS width FROM supplier")
 def create_page(spark, sf_dir):
-    made = w.build(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", lambda r: synth.text_pdf(r["s_name"]))
+    made = build(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", lambda r: synth.text_pdf(r["s_name"]))
     added = w.edit(made, lambda doc, row: doc.create_page((0, 0, 300, 400)))
     return p.pages(added).groupBy("s_suppkey").agg(F.count("*").alias("pages"), F.max_by("width", "page_num").alias("width"))
 
 
 @query("SELECT s_suppkey, s_name AS text, 'Stamp' AS image FROM supplier")
 def add_image(spark, sf_dir):
-    made = w.build(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", lambda r: synth.text_pdf(r["s_name"]))
+    made = build(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", lambda r: synth.text_pdf(r["s_name"]))
 
     def stamp(doc, row):
         page = next(n for n in doc.numbers() if dict_of(doc.get(n)).get(b"Type") == b"Page")
@@ -395,7 +404,7 @@ def find_image(spark, sf_dir):
 SELECT p_partkey, CAST(17 AS BIGINT) AS ops, CAST(2 AS INTEGER) AS deepest, CAST(p_size / 2.0 AS DOUBLE) AS line_width, CAST(p_size AS DOUBLE) AS moved, 'Span' AS tag, 'x' AS inline_image, CAST(1 AS BIGINT) AS unknown FROM part
 """)
 def content_ops(spark, sf_dir):
-    ops = w.build(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", lambda r: synth.drawing_pdf(r["p_size"])).table("content_ops")
+    ops = build(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", lambda r: synth.drawing_pdf(r["p_size"])).table("content_ops")
     pick = lambda name, value: F.max(F.when(F.col("op") == name, value))
     return ops.groupBy("p_partkey").agg(
         F.count("*").alias("ops"), F.max("depth").alias("deepest"), pick("w", F.get("nums", F.lit(0))).alias("line_width"), pick("cm", F.get("nums", F.lit(4))).alias("moved"),
@@ -412,7 +421,7 @@ def fonts(spark, sf_dir):
 @query("SELECT s_suppkey, 'Catalog' AS root_type, CAST(1 AS BIGINT) AS kids FROM supplier")
 def object_graph(spark, sf_dir):
     """Reference to object by an equi-join on (document, number), values read through VARIANT paths."""
-    made = w.build(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", lambda r: synth.text_pdf(r["s_name"]))
+    made = build(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", lambda r: synth.text_pdf(r["s_name"]))
     objects = made.objects()
     roots = made.table("trailers").select("s_suppkey", F.col("root_num").alias("obj_num"))
     catalog = objects.join(roots, ["s_suppkey", "obj_num"]).select("s_suppkey", F.col("type_name").alias("root_type"), F.try_variant_get("v", "$.d.Pages.r[0]", "bigint").alias("obj_num"))
@@ -422,13 +431,13 @@ def object_graph(spark, sf_dir):
 
 @query("SELECT kind, count(*) * n AS objects FROM supplier, (VALUES ('dict', 4), ('stream', 1)) AS k(kind, n) GROUP BY kind, n")
 def object_kinds(spark, sf_dir):
-    made = w.build(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", lambda r: synth.text_pdf(r["s_name"]))
+    made = build(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", lambda r: synth.text_pdf(r["s_name"]))
     return made.objects(False).groupBy("kind").agg(F.count("*").alias("objects"))
 
 
 @query("SELECT s_suppkey, s_name || chr(10) || 'shown ' || s_suppkey AS text FROM supplier")
 def widget_text(spark, sf_dir):
-    made = w.build(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", lambda r: synth.widget_pdf(r["s_name"], f"shown {r['s_suppkey']}"))
+    made = build(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", lambda r: synth.widget_pdf(r["s_name"], f"shown {r['s_suppkey']}"))
     return made.table("page_text").select("s_suppkey", "text")
 
 
@@ -470,7 +479,7 @@ SELECT doc_id, CAST(len(regexp_extract_all(t, '(?i)\bthe\b')) AS BIGINT) AS hits
 """)
 def search_word(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("text"))
-    made = w.build(rows, "doc_id", lambda r: synth.text_pdf(r["text"] or ""))
+    made = build(rows, "doc_id", lambda r: synth.text_pdf(r["text"] or ""))
     return s.search(made, "the", s.SearchOptions(whole_word=True)).groupBy("doc_id").agg(F.count("*").alias("hits"))
 
 
@@ -526,7 +535,7 @@ def file_roundtrip(spark, sf_dir):
     """Documents written as files and read back by path."""
     folder = shared_folder(spark)
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat_ws("\n", "s_name", F.col("s_nationkey").cast("string")).alias("text"))
-    w.write_files(w.build(rows, "s_suppkey", lambda r: synth.text_pdf(r["text"])), folder).count()
+    w.write_files(build(rows, "s_suppkey", lambda r: synth.text_pdf(r["text"])), folder).count()
     both = pdf_source.read_pdf(spark, folder).tables("documents", "page_text").groupBy("path")
     read = both.agg(F.max("page_text.text").alias("text"), F.max("documents.header_version").alias("version"))
     return read.select(F.regexp_extract("path", r"([0-9]+)\.pdf$", 1).cast(table(spark, sf_dir, "supplier").schema["s_suppkey"].dataType).alias("s_suppkey"), "text", "version")
@@ -617,7 +626,7 @@ def text_decoding(spark, sf_dir):
 SELECT p_partkey, CAST(2 AS INTEGER) AS depth, CAST(p_size AS DOUBLE) AS moved, CAST(1 AS DOUBLE) AS width_before, CAST(p_size / 2.0 AS DOUBLE) AS width_after, 'DeviceRGB' AS stroke_space, CAST(0.5 AS DOUBLE) AS fill_gray FROM part
 """)
 def graphics_states(spark, sf_dir):
-    states = w.build(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", lambda r: synth.drawing_pdf(r["p_size"])).table("graphics_states")
+    states = build(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", lambda r: synth.drawing_pdf(r["p_size"])).table("graphics_states")
     at = lambda op, value: F.max(F.when(F.col("op") == op, value))
     return states.groupBy("p_partkey").agg(
         at("S", F.col("depth")).alias("depth"), at("S", F.get("ctm", F.lit(4))).alias("moved"), at("S", F.col("line_width")).alias("width_before"), at("xx", F.col("line_width")).alias("width_after"),
@@ -645,7 +654,7 @@ def token_rows(spark, sf_dir):
 
 @query("SELECT s_suppkey, 'Highlight' AS subtype, s_name AS contents, CAST(132 AS INTEGER) AS flags, CAST(220 AS DOUBLE) AS y2, CAST(0.5 AS DOUBLE) AS green FROM supplier")
 def annot_edit(spark, sf_dir):
-    made = w.build(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", lambda r: synth.text_pdf(r["s_name"]))
+    made = build(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", lambda r: synth.text_pdf(r["s_name"]))
 
     def mark(doc, row):
         page = next(n for n in doc.numbers() if dict_of(doc.get(n)).get(b"Type") == b"Page")
@@ -693,7 +702,7 @@ def standard_fonts(spark, sf_dir):
 
 
 def _handmade(spark, sf_dir, name: str, key: str, make: Callable[[dict], bytes], *more: str) -> Corpus:
-    return w.build(spread(table(spark, sf_dir, name).select(key, *more)), key, make)
+    return build(table(spark, sf_dir, name).select(key, *more), key, make)
 
 
 def _joined(values: F.Column) -> F.Column:
@@ -775,7 +784,7 @@ def image_files(spark, sf_dir):
     """JPEG files below a folder, each made into a document of one page."""
     folder = shared_folder(spark)
     rows = table(spark, sf_dir, "supplier").select("s_suppkey")
-    w.write_files(w.build(rows, "s_suppkey", lambda r: handmade.jpeg(r["s_suppkey"] + 10, 2 * r["s_suppkey"] + 5)), folder).count()
+    w.write_files(build(rows, "s_suppkey", lambda r: handmade.jpeg(r["s_suppkey"] + 10, 2 * r["s_suppkey"] + 5)), folder).count()
     i = a.images(w.image_files(spark, folder))
     key = F.regexp_extract("doc_id", r"([0-9]+)\.pdf$", 1).cast(rows.schema["s_suppkey"].dataType)
     return i.select(key.alias("s_suppkey"), "width", "height", codecs.is_jpeg(F.col("raw")).alias("is_photo"))

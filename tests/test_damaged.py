@@ -105,6 +105,14 @@ def test_mutated_files(arrow):
             read_all(bytes(raw), 1.5, arrow)
 
 
+def test_lzw_of_very_short_runs():
+    for run in ([256], [256, 65]):
+        bits = "".join(format(c, "09b") for c in run) * 100_000 + format(66, "09b") + format(257, "09b")
+        data = bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+        begin = time.perf_counter()
+        assert filters.lzw_decode(data) == b"A" * (100_000 * (len(run) - 1)) + b"B" and time.perf_counter() - begin < 2
+
+
 def test_limits_are_errors():
     with pytest.raises(PdfError, match="deeply"):
         parse_value(Lexer(b"[" * 3000))
