@@ -19,7 +19,7 @@ def _codec(name: str) -> list[str | None]:
     return out
 
 
-#: Where StandardEncoding differs from the Windows code page, "byte: character".
+#: Where StandardEncoding differs from the Windows code page; bytes that neither has stand as in that page.
 _STANDARD = {
     0x27: "’", 0x60: "‘", 0xA1: "¡", 0xA2: "¢", 0xA3: "£", 0xA4: "⁄", 0xA5: "¥", 0xA6: "ƒ", 0xA7: "§", 0xA8: "¤",
     0xAC: "ﬁ", 0xAD: "ﬂ", 0xB0: "–", 0xB1: "†", 0xB2: "‡", 0xB3: "·", 0xB7: "•", 0xB8: "‚", 0xB9: "„", 0xBA: "”",
@@ -28,7 +28,7 @@ _STANDARD = {
     0xE9: "Ø", 0xEA: "Œ", 0xEB: "º", 0xF1: "æ", 0xF5: "ı", 0xF8: "ł", 0xF9: "ø", 0xFA: "œ", 0xFB: "ß",
 }
 
-#: Runs of Zapf Dingbats, (first byte, last byte, first character).
+#: The font follows the Unicode block of that name in runs: (first byte, last byte, first character).
 _DINGBAT_RUNS = [(0x21, 0x7E, 0x2701), (0x80, 0x8D, 0x2768), (0xA1, 0xA7, 0x2761), (0xB1, 0xBA, 0x2460), (0xC0, 0xC9, 0x2776), (0xD1, 0xDA, 0x2780), (0xE1, 0xEA, 0x278A), (0xF1, 0xF1, 0x2794)]
 #: Zapf Dingbats outside the runs.
 _DINGBATS = {0x20: " ", 0x25: "☎", 0x2A: "☛", 0x2B: "☞", 0x48: "★", 0x6C: "●", 0x6E: "■", 0x73: "▲", 0x74: "▼", 0x75: "◆", 0x77: "◗", 0xF2: "→", 0xF3: "↔", 0xF4: "↕"}
@@ -92,34 +92,45 @@ def encoding(name: str) -> list[str | None]:
     return list(_table(name))
 
 
-#: Glyph names without a rule, in the order of the characters they stand for.
-_GLYPHS = """
-space 0020 nbspace 0020 exclam 0021 quotedbl 0022 numbersign 0023 dollar 0024 percent 0025 ampersand 0026 quotesingle 0027 parenleft 0028 parenright 0029
-asterisk 002A plus 002B comma 002C hyphen 002D minus 002D hyphenchar 002D period 002E slash 002F colon 003A semicolon 003B less 003C equal 003D greater 003E
-question 003F at 0040 bracketleft 005B backslash 005C bracketright 005D asciicircum 005E underscore 005F braceleft 007B bar 007C braceright 007D asciitilde 007E
-section 00A7 dieresis 00A8 copyright 00A9 guillemotleft 00AB guilsinglleft 00AB logicalnot 00AC neg 00AC registered 00AE macron 00AF degree 00B0 plusminus 00B1
-acute 00B4 paragraph 00B6 pilcrow 00B6 dotmath 00B7 cdot 00B7 periodcentered 00B7 middot 00B7 cedilla 00B8 guillemotright 00BB guilsinglright 00BB AE 00C6 Eth 00D0
-multiply 00D7 times 00D7 Oslash 00D8 Thorn 00DE germandbls 00DF ae 00E6 eth 00F0 divide 00F7 oslash 00F8 thorn 00FE dotlessi 0131 Lslash 0141 lslash 0142
-OE 0152 oe 0153 florin 0192 circumflex 02C6 caron 02C7 breve 02D8 dotaccent 02D9 ring 02DA ogonek 02DB tilde 02DC hungarumlaut 02DD
-varepsilon 03B5 varsigma 03C2 sigmafinal 03C2 varphi 03C6 vartheta 03D1 varpi 03D6 endash 2013 emdash 2014 grave 2018 quoteleft 2018 quoteright 2019
-quotesinglbase 201A quotedblleft 201C quotedblright 201D quotedblbase 201E dagger 2020 daggerdbl 2021 bullet 2022 ellipsis 2026 perthousand 2030 fraction 2044
-Euro 20AC Ifraktur 2111 Im 2111 weierstrass 2118 wp 2118 Rfraktur 211C Re 211C trademark 2122 aleph 2135 arrowleft 2190 leftarrow 2190 arrowup 2191 uparrow 2191
-arrowright 2192 rightarrow 2192 arrowdown 2193 downarrow 2193 arrowboth 2194 leftrightarrow 2194 Arrowleft 21D0 Leftarrow 21D0 Arrowright 21D2 Rightarrow 21D2
-Arrowboth 21D4 Leftrightarrow 21D4 forall 2200 universal 2200 partial 2202 partialdiff 2202 existential 2203 exists 2203 emptyset 2205 nabla 2207 gradient 2207
-element 2208 in 2208 notelement 2209 notin 2209 product 220F summation 2211 minusmath 2212 radical 221A sqrt 221A proportional 221D propto 221D infinity 221E
-angle 2220 logicaland 2227 wedge 2227 logicalor 2228 vee 2228 intersection 2229 cap 2229 union 222A cup 222A integral 222B therefore 2234 because 2235
-approxequal 2248 approx 2248 notequal 2260 equivalence 2261 equiv 2261 lessequal 2264 leq 2264 greaterequal 2265 geq 2265 propersubset 2282 subset 2282
-propersuperset 2283 superset 2283 reflexsubset 2286 subseteq 2286 reflexsuperset 2287 supseteq 2287 circleplus 2295 oplus 2295 circlemultiply 2297 otimes 2297
-perpendicular 22A5 perp 22A5 star 22C6 filledbox 25A0 blacksquare 25A0 openbox 25A1 square 25A1 triagup 25B2 triagdn 25BC blackdiamond 25C6 diamond 25C6
-opendiamond 25C7 lozenge 25CA circle 25CB opencircle 25CB filledcircle 25CF blackcircle 25CF ff FB00 fi FB01 fl FB02 ffi FB03 ffl FB04
-""".split()
+#: Names of the public glyph list without a rule, in the order of their characters.
+_GLYPHS = {
+    "space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'",
+    "parenleft": "(", "parenright": ")", "asterisk": "*", "plus": "+", "comma": ",", "hyphen": "-", "period": ".", "slash": "/", "colon": ":",
+    "semicolon": ";", "less": "<", "equal": "=", "greater": ">", "question": "?", "at": "@", "bracketleft": "[", "backslash": "\\",
+    "bracketright": "]", "asciicircum": "^", "underscore": "_", "braceleft": "{", "bar": "|", "braceright": "}", "asciitilde": "~", "section": "§",
+    "dieresis": "¨", "copyright": "©", "guillemotleft": "«", "logicalnot": "¬", "registered": "®", "macron": "¯", "degree": "°", "plusminus": "±",
+    "acute": "´", "paragraph": "¶", "periodcentered": "·", "middot": "·", "cedilla": "¸", "guillemotright": "»", "AE": "Æ", "Eth": "Ð",
+    "multiply": "×", "Oslash": "Ø", "Thorn": "Þ", "germandbls": "ß", "ae": "æ", "eth": "ð", "divide": "÷", "oslash": "ø", "thorn": "þ",
+    "dotlessi": "ı", "Lslash": "Ł", "lslash": "ł", "OE": "Œ", "oe": "œ", "florin": "ƒ", "circumflex": "ˆ", "caron": "ˇ", "breve": "˘",
+    "dotaccent": "˙", "ring": "˚", "ogonek": "˛", "tilde": "˜", "hungarumlaut": "˝", "sigmafinal": "ς", "endash": "–", "emdash": "—",
+    "quoteleft": "‘", "quoteright": "’", "quotesinglbase": "‚", "quotedblleft": "“", "quotedblright": "”", "quotedblbase": "„", "dagger": "†",
+    "daggerdbl": "‡", "bullet": "•", "ellipsis": "…", "perthousand": "‰", "fraction": "⁄", "Euro": "€", "Ifraktur": "ℑ", "weierstrass": "℘",
+    "Rfraktur": "ℜ", "trademark": "™", "aleph": "ℵ", "arrowleft": "←", "arrowup": "↑", "arrowright": "→", "arrowdown": "↓", "arrowboth": "↔",
+    "universal": "∀", "partialdiff": "∂", "existential": "∃", "emptyset": "∅", "nabla": "∇", "gradient": "∇", "element": "∈", "notelement": "∉",
+    "product": "∏", "summation": "∑", "radical": "√", "proportional": "∝", "infinity": "∞", "angle": "∠", "logicaland": "∧", "logicalor": "∨",
+    "intersection": "∩", "union": "∪", "integral": "∫", "therefore": "∴", "because": "∵", "approxequal": "≈", "notequal": "≠", "equivalence": "≡",
+    "lessequal": "≤", "greaterequal": "≥", "propersubset": "⊂", "subset": "⊂", "propersuperset": "⊃", "superset": "⊃", "reflexsubset": "⊆",
+    "reflexsuperset": "⊇", "circleplus": "⊕", "circlemultiply": "⊗", "perpendicular": "⊥", "star": "⋆", "filledbox": "■", "blacksquare": "■",
+    "triagup": "▲", "triagdn": "▼", "blackdiamond": "◆", "lozenge": "◊", "circle": "○", "blackcircle": "●", "ff": "ﬀ", "fi": "ﬁ", "fl": "ﬂ",
+    "ffi": "ﬃ", "ffl": "ﬄ",
+}
+#: Names that the public list lacks, or maps to another character, in the order of their characters.
+_OTHER_GLYPHS = {
+    "nbspace": " ", "minus": "-", "hyphenchar": "-", "guilsinglleft": "«", "neg": "¬", "pilcrow": "¶", "dotmath": "·", "cdot": "·",
+    "guilsinglright": "»", "times": "×", "varepsilon": "ε", "varsigma": "ς", "varphi": "φ", "vartheta": "ϑ", "varpi": "ϖ", "grave": "‘", "Im": "ℑ",
+    "wp": "℘", "Re": "ℜ", "leftarrow": "←", "uparrow": "↑", "rightarrow": "→", "downarrow": "↓", "leftrightarrow": "↔", "Arrowleft": "⇐",
+    "Leftarrow": "⇐", "Arrowright": "⇒", "Rightarrow": "⇒", "Arrowboth": "⇔", "Leftrightarrow": "⇔", "forall": "∀", "partial": "∂", "exists": "∃",
+    "in": "∈", "notin": "∉", "minusmath": "−", "sqrt": "√", "propto": "∝", "wedge": "∧", "vee": "∨", "cap": "∩", "cup": "∪", "approx": "≈",
+    "equiv": "≡", "leq": "≤", "geq": "≥", "subseteq": "⊆", "supseteq": "⊇", "oplus": "⊕", "otimes": "⊗", "perp": "⊥", "openbox": "□", "square": "□",
+    "diamond": "◆", "opendiamond": "◇", "opencircle": "○", "filledcircle": "●",
+}
 
 _MARKS = {"̀": "grave", "́": "acute", "̂": "circumflex", "̃": "tilde", "̈": "dieresis", "̊": "ring", "̧": "cedilla", "̌": "caron"}
 
 
 @cache
 def _glyphs() -> dict[str, str]:
-    out = {n: chr(int(code, 16)) for n, code in zip(_GLYPHS[::2], _GLYPHS[1::2], strict=True)}
+    out = _GLYPHS | _OTHER_GLYPHS
     for i, word in enumerate("zero one two three four five six seven eight nine".split()):
         out[word] = str(i)
     # Accented letters are named letter + mark; the ones of Latin-1 and four beyond it are known.
