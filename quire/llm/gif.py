@@ -103,6 +103,37 @@ def lzw_encode(data: bytes, min_size: int = 8) -> bytes:
     return packed[:size].astype(np.uint8).tobytes()
 
 
+#: The first codes of a run are read one by one: runs of a few codes cost no more than they hold.
+_FIRST_CODES = 64
+
+
+def _run(stream: bytes, bits: np.ndarray, at: int, plan: np.ndarray, clear: int) -> tuple[list[int], int, int]:
+    """The codes from a bit on, the clear or end code after them (-1 if the data ends), and the bit behind it."""
+    codes: list[int] = []
+    total = 8 * len(stream)
+    for w in plan[:_FIRST_CODES].tolist():
+        if at + w > total:
+            return codes, -1, at
+        code = int.from_bytes(stream[at >> 3 : (at >> 3) + 3], "little") >> (at & 7) & (1 << w) - 1
+        at += w
+        if code == clear or code == clear + 1:
+            return codes, code, at
+        codes.append(code)
+    width = plan[_FIRST_CODES:]
+    rest = total - at - int(width.sum())
+    if rest > 0:  # a full table that is never cleared stays at 12 bits
+        width = np.concatenate([width, np.full(rest // 12, 12, np.int64)])
+    ends = at + np.cumsum(width)
+    n = int(np.searchsorted(ends, total, "right"))
+    offset = ends[:n] - width[:n]
+    byte = offset >> 3
+    value = ((bits[byte] | bits[byte + 1] << 8 | bits[byte + 2] << 16) >> (offset & 7)) & ((1 << width[:n]) - 1)
+    stops = np.flatnonzero((value == clear) | (value == clear + 1))
+    if not len(stops):
+        return codes + value.tolist(), -1, total
+    return codes + value[: stops[0]].tolist(), int(value[stops[0]]), int(ends[stops[0]])
+
+
 def lzw_decode(stream: bytes, min_size: int, expected: int) -> bytes:
     """The samples of a code stream; codes are unpacked in runs whose widths are known beforehand."""
     if not 2 <= min_size <= 8:
@@ -110,28 +141,12 @@ def lzw_decode(stream: bytes, min_size: int, expected: int) -> bytes:
     clear = 1 << min_size
     plan = _SCHEDULES[min_size + 1]
     bits = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
-    total = 8 * len(stream)
     roots = [bytes([i]) for i in range(clear)] + [b"", b""]
     out: list[bytes] = []
-    have, at, first = 0, 0, min_size + 1
+    have = at = 0
     while True:
-        # One run: up to a clear code, an end code, or the end of the data.
-        width = plan
-        ends = at + np.cumsum(width)
-        n = int(np.searchsorted(ends, total, "right"))
-        tail = n == len(plan)  # a full table that is never cleared stays at 12 bits
-        if tail:
-            more = max(0, (total - int(ends[-1])) // 12)
-            width = np.concatenate([plan, np.full(more, 12, np.int64)])
-            ends = at + np.cumsum(width)
-            n = len(ends)
-        offset = ends[:n] - width[:n]
-        byte = offset >> 3
-        value = ((bits[byte] | bits[byte + 1] << 8 | bits[byte + 2] << 16) >> (offset & 7)) & ((1 << width[:n]) - 1)
-        stops = np.flatnonzero((value == clear) | (value == clear + 1))
-        stop = int(stops[0]) if len(stops) else -1
-        codes = value[: stop if stop >= 0 else n].tolist()
-        table = roots.copy()
+        codes, stop, at = _run(stream, bits, at, plan, clear)
+        table = roots.copy() if codes else roots
         add, emit = table.append, out.append
         previous = None
         for code in codes:
@@ -148,9 +163,8 @@ def lzw_decode(stream: bytes, min_size: int, expected: int) -> bytes:
             previous = entry
             if have >= expected:
                 break
-        if have >= expected or stop < 0 or value[stop] == clear + 1:
+        if have >= expected or stop != clear:
             break
-        at = int(ends[stop])
     data = b"".join(out)
     if len(data) < expected:
         raise ValueError("LZW stream ends early")

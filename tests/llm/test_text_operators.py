@@ -91,6 +91,15 @@ def test_token_counts(docs, wide_docs, no_docs, vocab):
     assert wordpiece.token_counts(no_docs, vocab).collect() == []
 
 
+def test_lzw_of_very_short_runs():
+    for run in ([256], [256, 65]):
+        bits = "".join(format(c, "09b")[::-1] for c in [*run * 100_000, 66, 257])
+        data = bytes(int(bits[i : i + 8].ljust(8, "0")[::-1], 2) for i in range(0, len(bits), 8))
+        want = b"A" * (100_000 * (len(run) - 1)) + b"B"
+        begin = time.perf_counter()
+        assert gif.lzw_decode(data, 8, len(want)) == want and time.perf_counter() - begin < 2
+
+
 def test_lzw_round_trips():
     rng = random.Random(8)
     for n in (0, 1, 2, 5000, 40_000):
