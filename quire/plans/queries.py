@@ -685,11 +685,20 @@ def byte_decoding(spark, sf_dir):
 
 
 @query("""
-SELECT * FROM (VALUES ('MacRomanEncoding', 128, 'Ä'), ('StandardEncoding', 39, '’'), ('SymbolEncoding', 97, 'α'), ('WinAnsiEncoding', 128, '€'), ('ZapfDingbatsEncoding', 117, '◆')) AS e(encoding, code, ch)
+WITH c AS (SELECT CAST(unnest(range(1, 256)) AS INTEGER) AS code),
+mac AS (SELECT code, CASE WHEN code < 128 THEN chr(code) ELSE substr('ÄÅÇÉÑÖÜáàâäãåçéèêëíìîïñóòôöõúùûü†°¢£§•¶ß®©™´¨≠ÆØ∞±≤≥¥µ∂∑∏π∫ªºΩæø¿¡¬√ƒ≈∆«»… ÀÃÕŒœ–—“”‘’÷◊ÿŸ⁄€‹›ﬁﬂ‡·‚„‰ÂÊÁËÈÍÎÏÌÓÔÒÚÛÙıˆ˜¯˘˙˚¸˝˛ˇ', code - 127, 1) END AS ch FROM c),
+win AS (SELECT code, CASE WHEN code BETWEEN 128 AND 159 THEN substr('€?‚ƒ„…†‡ˆ‰Š‹Œ?Ž??‘’“”•–—˜™š›œ?žŸ', code - 127, 1) ELSE chr(code) END AS ch FROM c),
+greek AS (SELECT code, substr('ΑΒΧΔΕΦΓΗΙ?ΚΛΜΝΟΠΘΡΣΤΥ?ΩΞΨΖ', code - 64, 1) AS ch FROM c WHERE code BETWEEN 65 AND 90 UNION ALL SELECT code, substr('αβχδεφγηι?κλμνοπθρστυ?ωξψζ', code - 96, 1) FROM c WHERE code BETWEEN 97 AND 122),
+zapf AS (SELECT code, CASE code WHEN 37 THEN '☎' WHEN 42 THEN '☛' WHEN 43 THEN '☞' WHEN 72 THEN '★' WHEN 108 THEN '●' WHEN 110 THEN '■' WHEN 115 THEN '▲' WHEN 116 THEN '▼' WHEN 117 THEN '◆' WHEN 119 THEN '◗' ELSE chr(9985 + code - 33) END AS ch FROM c WHERE code BETWEEN 33 AND 126),
+std AS (SELECT code, CASE code WHEN 39 THEN '’' WHEN 96 THEN '‘' ELSE chr(code) END AS ch FROM c WHERE code < 127 UNION ALL SELECT * FROM (VALUES (162, '¢'), (164, '⁄'), (172, 'ﬁ'), (173, 'ﬂ'), (176, '–'), (177, '†'), (208, '—'), (225, 'Æ'), (251, 'ß')) AS v(code, ch))
+SELECT 'MacRomanEncoding' AS encoding, code, ch FROM mac UNION ALL SELECT 'WinAnsiEncoding', code, ch FROM win WHERE ch <> '?' OR code = 63 UNION ALL SELECT 'SymbolEncoding', code, ch FROM greek WHERE ch <> '?' UNION ALL SELECT 'ZapfDingbatsEncoding', code, ch FROM zapf UNION ALL SELECT 'StandardEncoding', code, ch FROM std
 """)
 def encodings(spark, sf_dir):
+    """Whole tables of the two code pages, and of the others the letters and what stands apart."""
     e = t.encoding_table(spark, "WinAnsiEncoding", "MacRomanEncoding", "StandardEncoding", "SymbolEncoding", "ZapfDingbatsEncoding")
-    return e.where("encoding = 'WinAnsiEncoding' and code = 128 or encoding = 'MacRomanEncoding' and code = 128 or encoding = 'StandardEncoding' and code = 39 or encoding = 'SymbolEncoding' and code = 97 or encoding = 'ZapfDingbatsEncoding' and code = 117")
+    return e.where(F.expr("""code > 0 and case encoding when 'MacRomanEncoding' then true when 'WinAnsiEncoding' then code not in (129, 141, 143, 144, 157)
+        when 'SymbolEncoding' then (code between 65 and 90 or code between 97 and 122) and code not in (74, 86, 106, 118) when 'ZapfDingbatsEncoding' then code between 33 and 126
+        else code < 127 or code in (162, 164, 172, 173, 176, 177, 208, 225, 251) end"""))
 
 
 @query("SELECT * FROM (VALUES ('Courier', CAST(600 AS DOUBLE), FALSE), ('Helvetica-Bold', 278, FALSE), ('Symbol', 250, FALSE), ('ABCDEF+Arial', NULL, TRUE)) AS f(font, width, subset)")
