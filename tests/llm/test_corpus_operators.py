@@ -219,6 +219,26 @@ def test_chunks_put_together_are_the_text(lined):
         assert "\n".join(d.decode() for _, _, d, _ in linededup.chunks(r.text)) == r.text
 
 
+def test_boundaries_depend_on_two_lines_only():
+    """Whether a chunk ends after a line follows from it and the one before, wherever they stand; about a third of lines end one."""
+    rng = random.Random(14)
+    lines = [f"line {i}" for i in range(40)] + [" ".join(f"l{k}" for k in range(50 + i)) for i in range(3)]
+    ends, count = {}, Counter()
+    for _ in range(300):
+        text = [rng.choice(lines) for _ in range(rng.randrange(2, 60))]
+        found = linededup.chunks("\n".join(text))
+        assert [at for at, *_ in found] == list(np.cumsum([0, *(n for _, n, _, _ in found)])[:-1])
+        assert all(counts == (n > 1 or len(data.split()) >= 50) for _, n, data, counts in found)
+        last = {at + n - 1 for at, n, _, _ in found}
+        for i in range(1, len(text) - 1):
+            if len(text[i].split()) >= 50 or len(text[i + 1].split()) >= 50:
+                continue  # a long line is a chunk, so one ends before it too
+            before = None if len(text[i - 1].split()) >= 50 else text[i - 1]
+            assert ends.setdefault((before, text[i]), i in last) == (i in last)
+    share = sum(ends.values()) / len(ends)
+    assert 0.25 < share < 0.42
+
+
 def test_boundaries_do_not_shift():
     rng = random.Random(3)
     lines = [f"line {rng.randrange(10**9)}" for _ in range(200)]
