@@ -67,7 +67,7 @@ def _folder(checkpointed: DataFrame) -> str | None:
 
 
 def materialised(make: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
-    """`make()`, checkpointed; the checkpoints that it made on the way are deleted."""
+    """`make()`, checkpointed; the checkpoints that it made on the way are deleted, and so are shuffle files that nothing refers to any more."""
     _MADE.append([])
     try:
         out = checkpoint(make())
@@ -80,4 +80,5 @@ def materialised(make: Callable[[], DataFrame], spark: SparkSession) -> DataFram
         at.getFileSystem(hadoop).delete(at, True)
     if _MADE and keep:
         _MADE[-1].append(keep)
+    spark._jvm.System.gc()  # the driver's cleaner drops the files of what was collected
     return out
