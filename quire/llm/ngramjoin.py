@@ -55,7 +55,7 @@ from quire.runtime import checkpoint, materialised, ship
 WORDS = 5
 #: Jaccard threshold as a fraction.
 NUM, DEN = 4, 5
-BLOCK = 64
+BLOCK = 128
 #: What a list costs at most, in rows: a star replaces its pairs.
 LIST_COST = 16
 
@@ -287,8 +287,8 @@ def _shared(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in cols[:4]], names=["sig", "role", "cls", "n"])
 
 
-def _stars(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """((sig, role, cls, n) of each list's classes but its smallest, pairs of that smallest with the others).
+def _stars(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(sig, role, cls, n, hub, hub_n) of each list's classes but its smallest, which is the hub.
 
     A class without enough shared rare shingles to link with anything leaves its lists first.
     """
@@ -300,8 +300,7 @@ def _stars(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     first = checkpoint(rows.groupBy("sig").agg(F.min(F.struct("role", "cls", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1"))
     members = _met(rows, first, "sig", "members").where("cls <> hub.cls")
     meets = f"(role >= {_MUTUAL} or hub.role = {_FIRST} and role = {_SECOND})"
-    lists = checkpoint(members.where(meets).select("sig", "role", "cls", "n", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n")))
-    return lists, checkpoint(lists.where(_alike("hub_n", "n", num, den)).select("hub", "cls").distinct())
+    return members.where(meets).select("sig", "role", "cls", "n", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"))
 
 
 def _met(rows: DataFrame, first: DataFrame, key: str, count: str) -> DataFrame:
@@ -466,16 +465,20 @@ def _named(src: DataFrame, keys: DataFrame, counts: np.ndarray, words: int, num:
     signatures = _signatures(words, num, den, bound, src.sparkSession.sparkContext.broadcast(counts), name, HOT_LIST)
     rows = src.select("text").mapInArrow(signatures, "sig bigint, role tinyint, cls bigint, n bigint, deal int")
     sorted_rows = rows.repartition("sig", "deal").sortWithinPartitions("sig", "role", "cls")
-    lists, pairs = _stars(checkpoint(sorted_rows.mapInArrow(_shared, "sig bigint, role tinyint, cls bigint, n bigint")), num, den)
+    spark = src.sparkSession
+    lists = materialised(lambda: _stars(checkpoint(sorted_rows.mapInArrow(_shared, "sig bigint, role tinyint, cls bigint, n bigint")), num, den), spark)
+    pairs = checkpoint(lists.where(_alike("hub_n", "n", num, den)).select("hub", "cls").distinct())
     texts = src.select("text", F.xxhash64("text").alias("mark")).where("text is not null")
 
     def fetch(some: DataFrame) -> DataFrame:
         return _sets(texts, some.join(classes, "cls").select("mark"), words, name)
 
-    sets = fetch(pairs.select("cls").union(pairs.select("hub")).distinct())
-    met = _with_both(pairs, sets)
-    comps = connected(met.select("hub", "cls", "x", "y").mapInArrow(_verify(num, den), "a bigint, b bigint"))
-    across = connected(_cluster_links(lists.where(f"role = {_LIST}").select("sig", "cls", "n"), comps, fetch, num, den))
+    def star_links() -> DataFrame:
+        sets = fetch(pairs.select("cls").union(pairs.select("hub")).distinct())
+        return connected(_with_both(pairs, sets).select("hub", "cls", "x", "y").mapInArrow(_verify(num, den), "a bigint, b bigint"))
+
+    comps = materialised(star_links, spark)
+    across = materialised(lambda: connected(_cluster_links(lists.where(f"role = {_LIST}").select("sig", "cls", "n"), comps, fetch, num, den)), spark)
 
     # Classes with links, by final component; a class that only `across` knows is a component of itself.
     # A component may hold a large share of the classes, so joins on components keep large ones apart.
