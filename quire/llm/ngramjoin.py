@@ -68,8 +68,12 @@ SPARE = 10
 
 #: Lists that may be longer are dealt out by class.
 HOT_LIST = 1 << 18
+#: Rows of one key that may meet in a task of a join.
+HOT_ROWS = 1024
 #: Comparisons with one class that share one copy of its shingles.
 SPOKES = 4096
+#: Partitions to which pairs of blocks are dealt in turn.
+MOST_DEALS = 4096
 
 _FIRST, _SECOND, _MUTUAL, _LIST = 0, 1, 2, 3
 
@@ -306,7 +310,7 @@ def _stars(rows: DataFrame, num: int, den: int) -> DataFrame:
 def _met(rows: DataFrame, first: DataFrame, key: str, count: str) -> DataFrame:
     """rows JOIN first USING (key); keys too hot for one task, if there are any, apart."""
     longest = first.agg(F.max(count)).first()[0] or 0
-    if longest <= HOT_LIST:
+    if longest <= HOT_ROWS:
         return rows.join(first, key)
     return heavy_aware_join(rows, first, key, count, rows.count()).where(F.col(count).isNotNull())
 
@@ -395,18 +399,18 @@ def _block_links(num: int, den: int):
 
 def _several(rows: DataFrame) -> DataFrame:
     """The rows of lists that hold several components, with the list's smallest class as `low`."""
-    split = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cls").alias("low")).where("lo <> hi").select("sig", "low")
-    return rows.join(split, "sig")
+    split = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cls").alias("low"), F.count("*").alias("members")).where("lo <> hi")
+    return _met(rows, checkpoint(split.select("sig", "low", "members")), "sig", "members").drop("members")
 
 
 def _cluster_links(lists: DataFrame, comps: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """(a, b) links between components, from the lists that stars left in several components."""
-    rows = lists.join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").select("sig", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
+    rows = checkpoint(lists.join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").select("sig", "cls", "n", F.coalesce("comp", "cls").alias("comp")))
     open_rows = checkpoint(_several(rows))
     # Links to other components need as many open lists as linked sets share rare shingles; what leaves may close more lists.
     enough = F.ceil(F.ceil(F.col("n") * num / den) / SPARE)
     able = open_rows.groupBy("cls", "n").agg(F.count("*").alias("k")).where(F.col("k") >= enough).select("cls")
-    open_rows = checkpoint(_several(open_rows.drop("low").join(able, "cls")))
+    open_rows = checkpoint(_several(checkpoint(open_rows.drop("low").join(able, "cls"))))
     cluster_of = connected(open_rows.select(F.col("cls").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("cls"), F.col("comp").alias("cluster"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(den / num))).alias("band")
     members = checkpoint(open_rows.select("cls", "n", "comp", band).distinct().join(cluster_of, "cls"))
@@ -423,18 +427,33 @@ def _cluster_links(lists: DataFrame, comps: DataFrame, fetch: Callable[[DataFram
     pairs = _block_pairs(members, num, den)
     same = F.when(F.col("block_x") == F.col("block_y"), F.array(F.struct(F.col("block_x").alias("block"), F.lit(2).alias("side"))))
     ends = same.otherwise(F.array(F.struct(F.col("block_x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("block_y").alias("block"), F.lit(1).alias("side"))))
-    roles = pairs.select("cluster", "pair", F.explode(ends).alias("end")).select("cluster", "pair", "end.block", "end.side")
-    work = members.join(roles, ["cluster", "block"]).select("pair", "side", "cls", "comp").join(fetch(members.select("cls")), "cls")
-    return work.groupBy("pair").applyInArrow(_block_links(num, den), "a bigint, b bigint")
+    roles = pairs.select("cluster", "pair", "deal", F.explode(ends).alias("end")).select("cluster", "pair", "deal", "end.block", "end.side")
+    work = members.join(roles, ["cluster", "block"]).select("deal", "pair", "side", "cls", "comp").join(fetch(members.select("cls")), "cls")
+    return work.repartition(_partitions(work), "deal").groupBy("deal", "pair").applyInArrow(_block_links(num, den), "a bigint, b bigint")
+
+
+def _partitions(frame: DataFrame) -> int:
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _evenly(pairs: DataFrame) -> DataFrame:
+    """Adds `deal`, by whose hash the rows go to all partitions in turn: a pair is much work, and few fall unevenly."""
+    count = _partitions(pairs)
+    place = F.pmod(F.hash("id"), F.lit(count)).alias("place")
+    to = {r.place: r.id for r in pairs.sparkSession.range(32 * count).select("id", place).groupBy("place").agg(F.min("id").alias("id")).orderBy("place").limit(MOST_DEALS).collect()}
+    number = F.monotonically_increasing_id()
+    turn = F.pmod(F.shiftright(number, 33) + number.bitwiseAND(F.lit((1 << 33) - 1)), F.lit(len(to)))
+    return pairs.withColumn("deal", F.get(F.array(*[F.lit(v).cast("bigint") for v in to.values()]), turn.cast("int")))
 
 
 def _block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(cluster, block_x, block_y, pair) of the blocks of (cluster, band, block, n, comp) rows that can hold a link between components."""
+    """(cluster, block_x, block_y, pair, deal) of the blocks of (cluster, band, block, n, comp) rows that can hold a link between components."""
     blocks = checkpoint(members.groupBy("cluster", "band", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1")))
     one, two = (blocks.withColumnsRenamed({c: f"{c}_{s}" for c in ("block", "lo", "hi", "c0", "c1")}) for s in ("x", "y"))
     one = one.withColumn("own", F.col("band")).withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
     pairs = one.join(two, ["cluster", "band"]).where("(own < band or block_x <= block_y) and not (c0_x = c1_x and c0_y = c1_y and c0_x = c0_y)")
-    return pairs.where(f"{den} * hi_x >= {num} * lo_y and {den} * hi_y >= {num} * lo_x").select("cluster", "block_x", "block_y", F.xxhash64("cluster", "block_x", "block_y").alias("pair"))
+    pairs = pairs.where(f"{den} * hi_x >= {num} * lo_y and {den} * hi_y >= {num} * lo_x")
+    return checkpoint(_evenly(pairs.select("cluster", "block_x", "block_y", F.xxhash64("cluster", "block_x", "block_y").alias("pair"))))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, bits: int = 64) -> DataFrame:

@@ -4,6 +4,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from quire.llm import graph, ngramjoin
 from quire.llm.shingles import shingle_set, shingle_sets
 from tests.llm.conftest import same, sample_texts, words
@@ -83,6 +85,7 @@ def test_sets_that_share_an_id(spark, docs):
 def test_long_lists_and_busy_hubs(spark, docs, monkeypatch):
     """Every list and hub is treated as one that is too hot for a task."""
     monkeypatch.setattr(ngramjoin, "HOT_LIST", 3)
+    monkeypatch.setattr(ngramjoin, "HOT_ROWS", 1)
     monkeypatch.setattr(ngramjoin, "SPOKES", 2)
     assert same(run(docs), brute([(r.doc_id, r.text) for r in docs.collect()]))
 
@@ -112,6 +115,13 @@ def test_one_giant_templated_cluster(spark, monkeypatch):
     assert blocks > 4 and pairs < 0.6 * blocks * (blocks + 1) / 2
 
 
+def test_pairs_are_dealt_evenly(spark):
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = ngramjoin._evenly(spark.range(25 * count, numPartitions=1)).repartition(count, "deal")
+    sizes = [r[1] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sizes == [25] * count
+
+
 def test_signatures_lose_no_link():
     """Each linked pair of light sets shares a subset, each other linked pair enough of its prefixes."""
     rng = random.Random(1)
